@@ -12,6 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wiretally import constants as K
 from wiretally.functions.common import any_of, c, let
@@ -259,19 +260,34 @@ def is_dynamic_text(value: Column) -> Column:
 def body_variables(nodes: Column) -> Column:
     """Paths whose value is likely to change between requests. A dynamic key takes its whole
     subtree; arrays are not entered."""
-    below_root = F.filter(nodes, lambda n: (n["path"] != "") & ~n["in_array"])
-    named = F.filter(below_root, lambda n: is_dynamic_key(n["key"]) & (n["type"] != "null"))
-    tops = F.transform(named, lambda n: n["path"])
-    hits = F.filter(
-        below_root,
-        lambda n: (
-            (is_dynamic_key(n["key"]) & (n["type"] != "null"))
-            | (n["type"] == "number")
-            | ((n["type"] == "string") & is_dynamic_text(n["value"]))
-        )
-        & ~F.exists(tops, lambda t: n["path"].startswith(F.concat(t, F.lit(".")))),
+
+    def named(n: Column) -> Column:
+        return is_dynamic_key(n["key"]) & (n["type"] != "null")
+
+    def of(ns: Column) -> Column:
+        tops = F.transform(F.filter(ns, lambda n: n["hot"]), lambda n: F.concat(n["path"], F.lit(".")))
+
+        def pick(ts: Column) -> Column:
+            hits = F.filter(
+                ns,
+                lambda n: (n["hot"] | n["dynamic"]) & ~F.exists(ts, lambda t: n["path"].startswith(t)),
+            )
+            return F.array_sort(F.array_distinct(F.transform(hits, lambda n: n["path"])))
+
+        return let(tops, pick)
+
+    marked = F.transform(
+        F.filter(nodes, lambda n: (n["path"] != "") & ~n["in_array"]),
+        lambda n: F.struct(
+            n["path"].alias("path"),
+            named(n).alias("hot"),
+            (
+                (n["type"] == "number")
+                | ((n["type"] == "string") & F.coalesce(is_dynamic_text(n["value"]), F.lit(False)))
+            ).alias("dynamic"),
+        ),
     )
-    return F.array_sort(F.array_distinct(F.transform(hits, lambda n: n["path"])))
+    return let(marked, of)
 
 
 def graphql_variables(nodes: Column) -> Column:
@@ -351,7 +367,7 @@ def _scrub_value(value):
     return value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def scrub_body(bodies: pd.Series) -> pd.Series:
     """A body with sensitive fields and personal data replaced, as JSON text. A text that is not
     JSON is scrubbed as plain text."""
@@ -436,7 +452,7 @@ def truncate_responses(
     array that fits after losing items from its end, never leave the JVM; only an object, a text or
     one oversized item is handed to Python, every other row sends it a null."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _cut_json(t, max_bytes))
 

@@ -12,6 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wiretally import constants as K
 from wiretally.functions.common import WS, c, let, trim_ws
@@ -206,7 +207,7 @@ def _nested_root(html: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nested_root(html: pd.Series) -> pd.Series:
     return html.map(_nested_root)
 
