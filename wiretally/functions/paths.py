@@ -106,6 +106,11 @@ def endpoint_id(method: Column | str, path: Column | str, operation: Column | No
     ).otherwise(rest)
 
 
+def path_id(method: Column | str, path: Column | str) -> Column:
+    """Id of a path that no framework prefix is cut from."""
+    return F.concat(F.lower(c(method)), F.lit("-"), _slug(c(path)))
+
+
 def dedup_key(method: Column | str, path: Column | str, operation: Column | None = None) -> Column:
     rest = F.concat(c(method), F.lit(" "), clean_framework_path(path))
     if operation is None:
