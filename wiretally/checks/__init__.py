@@ -1,6 +1,6 @@
 """Registered queries and the SQL they are checked against."""
 
-from wiretally.checks import pages, signals, traffic  # noqa: F401
+from wiretally.checks import catalog, pages, signals, traffic  # noqa: F401
 from wiretally.checks.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

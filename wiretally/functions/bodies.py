@@ -471,5 +471,6 @@ def truncate_responses(
             .when(F.octet_length("__short") > max_bytes, F.col("__short"))))
     )
     return staged.withColumn(
-        "data", F.coalesce(cut("__hard"), F.col("__short"), F.col("__text"), F.col(body))
+        "data",
+        F.when(F.col("truncated"), F.coalesce(cut("__hard"), F.col("__short"))).otherwise(F.col(body)),
     ).drop("__v", "__text", "__kind", "__short", "__hard")
