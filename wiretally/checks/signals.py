@@ -54,13 +54,13 @@ def _(spark, sf):
     return passive_index.domain_index(passive_index.passive_index(ex(spark, sf)))
 
 
-@query("passive_index_merge", f"{_OBS} SELECT * EXCLUDE (auth_type, pagination) FROM idx")
+@query("passive_index_merge", f"{_OBS} SELECT * FROM idx")
 def _(spark, sf):
     e = ex(spark, sf)
     cut = 1705363200000000
     old = passive_index.passive_index(e.filter(F.col("ts_us") < cut))
     new = passive_index.passive_index(e.filter(F.col("ts_us") >= cut))
-    return index_columns(passive_index.merge_index(old, new)).drop("auth_type", "pagination")
+    return index_columns(passive_index.merge_index(old, new))
 
 
 _NOW = 1720000000000000  # a fixed evaluation time, so that age classes do not depend on the clock

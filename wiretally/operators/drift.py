@@ -21,9 +21,9 @@ def schema_rows(df: DataFrame, body: str, *keys: str) -> DataFrame:
 def schema_versions(df: DataFrame, body: str, *keys: str) -> DataFrame:
     """Distinct schemas per key with how often and when they were seen. ``version`` is a digest of
     the schema."""
-    rows = df.select(*keys, "ts_us", bodies.schema_nodes(body).alias("nodes")).filter(
-        F.col("nodes").isNotNull()
-    )
+    # a generator drops rows without a schema and evaluates the schema once
+    known = F.filter(F.array(bodies.schema_nodes(body)), lambda n: n.isNotNull())
+    rows = df.select(*keys, "ts_us", F.explode(known).alias("nodes"))
     return (
         rows.groupBy(*keys, "nodes")
         .agg(F.count("*").alias("responses"), F.min("ts_us").alias("first_us"),

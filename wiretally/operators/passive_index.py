@@ -57,10 +57,16 @@ def combinations(obs: DataFrame) -> DataFrame:
     )
 
 
-def _first_known(column: str) -> Column:
-    return F.min_by(
-        F.col(column), F.when(F.col(column).isNotNull(), F.col("first_ord"))
-    ).alias(column)
+# columns of which the first known value is kept, with the time it was first known
+KNOWN = ["auth_type", "pagination", "type"]
+
+
+def _first_known(column: str) -> list[Column]:
+    known = F.col(column).isNotNull()
+    return [
+        F.min_by(F.col(column), F.when(known, F.col("first_ord"))).alias(column),
+        F.min(F.when(known, F.col("first_us"))).alias(f"{column}_us"),
+    ]
 
 
 def endpoint_index(combos: DataFrame) -> DataFrame:
@@ -71,9 +77,7 @@ def endpoint_index(combos: DataFrame) -> DataFrame:
         F.min("first_us").alias("first_us"),
         F.max("last_us").alias("last_us"),
         F.array_sort(F.collect_set("method")).alias("methods"),
-        _first_known("auth_type"),
-        _first_known("pagination"),
-        _first_known("type"),
+        *[x for name in KNOWN for x in _first_known(name)],
         F.bool_or("has_body").alias("has_body"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("params")))).alias("params"),
     )
@@ -92,25 +96,26 @@ def passive_index(ex: DataFrame) -> DataFrame:
     return endpoint_index(combinations(observations(ex)))
 
 
-def merge_index(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Fold a new endpoint index into an older one; the older one's known values win."""
-    age = old.withColumn("age", F.lit(0)).unionByName(new.withColumn("age", F.lit(1)))
+def merge_index(*parts: DataFrame) -> DataFrame:
+    """Fold endpoint indexes into one. A value known earlier wins, whichever part it comes from."""
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
 
-    def first(column: str) -> Column:
-        return F.min_by(
-            F.col(column), F.when(F.col(column).isNotNull(), F.struct("age", "first_us"))
-        ).alias(column)
+    def first(column: str) -> list[Column]:
+        return [
+            F.min_by(F.col(column), F.col(f"{column}_us")).alias(column),
+            F.min(f"{column}_us").alias(f"{column}_us"),
+        ]
 
-    return age.groupBy("domain", "path").agg(
+    return rows.groupBy("domain", "path").agg(
         F.sum("hits").alias("hits"),
         F.min("first_us").alias("first_us"),
         F.max("last_us").alias("last_us"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("methods")))).alias("methods"),
-        first("auth_type"),
-        first("pagination"),
-        first("type"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("methods")))).alias("methods"),
+        *[x for name in KNOWN for x in first(name)],
         F.bool_or("has_body").alias("has_body"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("params")))).alias("params"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("params")))).alias("params"),
     )
 
 

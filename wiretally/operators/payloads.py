@@ -446,10 +446,11 @@ def wiki(body: Column, url: Column) -> Column:
 # ------------------------------------------------------------------------------------------
 # jobs
 # ------------------------------------------------------------------------------------------
-def _finish(df: DataFrame, *extra: str) -> DataFrame:
-    return df.filter(F.col("r").isNotNull()).select(
-        *extra, "url", "r.*", token_cost("r.content").alias("tokens")
-    )
+def _finish(df: DataFrame, row: Column, *extra: str) -> DataFrame:
+    """Spread the row struct; rows without one vanish. A generator evaluates the struct once, where
+    a filter and a projection would evaluate it for each of its fields."""
+    some = F.filter(F.array(row), lambda r: r.isNotNull())
+    return df.select(*extra, "url", F.inline(some)).withColumn("tokens", token_cost("content"))
 
 
 def recover_comments(posts: DataFrame, archive: DataFrame | None) -> DataFrame:
@@ -488,7 +489,7 @@ def forum_posts(payloads: DataFrame, archive: DataFrame | None = None) -> DataFr
     posts = payloads.filter((F.col("status") == 200) & (route("url") == "forum")).withColumn(
         "v", F.try_parse_json("body")).filter(F.try_variant_get("v", "$", "array<variant>").isNotNull())
     mended = recover_comments(posts, archive)
-    return _finish(mended.withColumn("r", forum_post(F.col("v"), F.col("comments"))))
+    return _finish(mended, forum_post(F.col("v"), F.col("comments")))
 
 
 def normalise_payloads(payloads: DataFrame) -> DataFrame:
@@ -510,7 +511,7 @@ def normalise_payloads(payloads: DataFrame) -> DataFrame:
         .when(F.col("route") == "social", social(v, u))
         .when(F.col("route") == "wiki", wiki(F.col("body"), u))
     )
-    return _finish(staged.withColumn("r", row), "route")
+    return _finish(staged, row, "route")
 
 
 def parse_items(items: DataFrame) -> DataFrame:
@@ -554,7 +555,7 @@ def news_items(pages: DataFrame, items: DataFrame) -> DataFrame:
         published=iso_time(F.col("time")),
         canonical=_cat("https://news.ycombinator.com/item?id=", F.col("id")),
     )
-    return _finish(j.withColumn("r", row))
+    return _finish(j, row)
 
 
 def news_front(pages: DataFrame, items: DataFrame) -> DataFrame:
@@ -572,4 +573,4 @@ def news_front(pages: DataFrame, items: DataFrame) -> DataFrame:
     row = _row("Hacker News — Top Stories", None, _cat("Top ", F.size("s"), " stories"),
                F.array_join(lines, "\n"), "listing", "hackernews-firebase", "Hacker News", links,
                canonical="https://news.ycombinator.com/")
-    return _finish(found.withColumn("r", row))
+    return _finish(found, row)

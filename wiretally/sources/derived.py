@@ -56,6 +56,14 @@ def landed(
     return spark.read.parquet(_LANDED[slot])
 
 
+def landed_path(
+    spark: SparkSession, sf_dir: str, name: str, ensure: Callable[[SparkSession, str], DataFrame]
+) -> str:
+    """Folder of a landed table, for streaming reads; ``ensure`` lands it."""
+    ensure(spark, sf_dir)
+    return _LANDED[(spark.sparkContext.applicationId, sf_dir, name)]
+
+
 # ------------------------------------------------------------------------------------------
 # exchanges
 # ------------------------------------------------------------------------------------------
