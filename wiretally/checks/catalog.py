@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wiretally import constants as K
 from wiretally.checks.base import query
 from wiretally.checks.sqlparts import EXR, KEYED, WITH, entropy_of, in_list
-from wiretally.checks.traffic import ex
+from wiretally.checks.traffic import ex, keyed
 from wiretally.functions import bodies, urls
 from wiretally.operators import catalog, drift, merge, reports, requests, traffic
 from wiretally.sources import derived as D
@@ -67,10 +67,10 @@ UNION ALL SELECT c.domain, c.key, 'refresh_token', CASE WHEN c.session % 2 = 0 T
   CASE WHEN c.session % 2 = 0 THEN 'field disappeared: refresh_token was string' ELSE 'new field: refresh_token (string)' END, count(*)
  FROM cat c JOIN keyed o USING (domain, key) WHERE c.kind = 'oauth' AND NOT c.body_missing AND NOT o.body_missing AND c.session % 2 <> o.session % 2 GROUP BY ALL""")
 def _(spark, sf):
-    keyed = traffic.with_keys(traffic.accepted(ex(spark, sf))).filter(~F.col("body_missing"))
+    rows = keyed(spark, sf).filter(~F.col("body_missing"))
     out = drift.schema_drift(
         endpoints(spark, sf).filter(F.col("provenance").isNull()),
-        keyed.select("domain", "key", "ts_us", "response_body"),
+        rows.select("domain", "key", "ts_us", "response_body"),
     )
     return out.select("domain", "key", "path", "severity", "message", "responses")
 
@@ -81,10 +81,9 @@ SELECT domain, key, CASE WHEN ok AND body_missing THEN 1.0 WHEN body_missing THE
   CASE WHEN ok AND body_missing THEN 'captured' WHEN body_missing THEN 'skeleton' END AS provenance, ok AND body_missing AS upgraded
 FROM cat JOIN res USING (domain, key)""")
 def _(spark, sf):
-    keyed = traffic.with_keys(traffic.accepted(ex(spark, sf)))
     ev = D.table(spark, sf, "events").select(
         F.col("event_id").alias("seq"), F.regexp_extract("props", r"\d+", 0).cast("int").alias("k"))
-    results = keyed.select("seq", "domain", "key").join(ev, "seq").select(
+    results = keyed(spark, sf).select("seq", "domain", "key").join(ev, "seq").select(
         "domain", "key", F.when(F.col("k") % 3 == 0, 204).otherwise(500).alias("status"))
     out = drift.confidence_upgrade(endpoints(spark, sf), results)
     return out.select("domain", "key", "confidence", "provenance", "upgraded")
@@ -390,8 +389,7 @@ FROM cat c, (VALUES ('accept'), ('authorization'), ('x-api-key'), ('x-csrf-token
    WHEN 'x-csrf-token' THEN h_csrf WHEN 'cookie' THEN h_cookie ELSE h_request_id END AS value) AS h WHERE h.value IS NOT NULL""")
 def _(spark, sf):
     e = endpoints(spark, sf).select("domain", "key", F.col("request_body"))
-    keyed = traffic.endpoint_winners(traffic.with_keys(traffic.accepted(ex(spark, sf)))).select("domain", "key", "seq")
-    raw = keyed.join(ex(spark, sf).select("seq", F.col("request_headers").alias("headers")), "seq").join(e, ["domain", "key"])
+    raw = traffic.endpoint_winners(keyed(spark, sf)).select("domain", "key", "seq").join(ex(spark, sf).select("seq", F.col("request_headers").alias("headers")), "seq").join(e, ["domain", "key"])
     out = catalog.export_scrubbed(raw)
     names = ["accept", "authorization", "x-api-key", "x-csrf-token", "cookie", "x-request-id"]
     return out.select("domain", "key", F.explode("headers").alias("name", "value")).filter(F.col("name").isin(names))

@@ -90,7 +90,7 @@ def _(spark, sf):
 # text scans
 # ------------------------------------------------------------------------------------------
 def documents(spark, sf):
-    return D.table(spark, sf, "documents")
+    return D.spread(D.table(spark, sf, "documents"))
 
 
 @query("scrub_documents", f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wiretally.checks.base import query
 from wiretally.checks.signals import _OBS, index_columns
 from wiretally.checks.sqlparts import EXR, KEYED, WITH
-from wiretally.checks.traffic import ex
+from wiretally.checks.traffic import ex, keyed
 from wiretally.operators import passive_index, sessions, traffic
 from wiretally.session import state_folder
 from wiretally.sources import derived as D
@@ -17,10 +17,6 @@ from wiretally.streaming import jobs, stateful
 _GAP = 3600  # seconds; the test events are minutes apart
 
 
-def keyed(spark, sf):
-    return traffic.with_keys(traffic.accepted(ex(spark, sf)))
-
-
 def events(spark, sf):
     return D.landed(spark, sf, "request_events", lambda: request_events(ex(spark, sf)))
 

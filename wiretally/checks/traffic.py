@@ -21,6 +21,11 @@ def ex(spark: SparkSession, sf: str) -> DataFrame:
     return D.exchanges(spark, sf)
 
 
+def keyed(spark: SparkSession, sf: str) -> DataFrame:
+    """Accepted exchanges with their keys: the table later jobs share."""
+    return D.landed(spark, sf, "keyed", lambda: traffic.with_keys(traffic.accepted(ex(spark, sf))))
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     return D.table(spark, sf, "pages")
 
@@ -425,8 +430,7 @@ def _(spark, sf):
 @query("first_occurrence", f"""{WITH}{KEYED}
 SELECT seq, row_number() OVER (PARTITION BY domain, key ORDER BY ts_us, seq) = 1 AS is_new FROM keyed""")
 def _(spark, sf):
-    keyed = traffic.with_keys(traffic.accepted(ex(spark, sf)))
-    return traffic.first_occurrence(keyed).select("seq", "is_new")
+    return traffic.first_occurrence(keyed(spark, sf)).select("seq", "is_new")
 
 
 @query("body_diff", f"""{WITH}{KEYED},
@@ -456,7 +460,7 @@ def _(spark, sf):
 SELECT DISTINCT domain, key, path FROM diff
 UNION ALL SELECT domain, key, path FROM fk GROUP BY domain, key, n, path HAVING count(*) < n OR min(val) <> max(val)""")
 def _(spark, sf):
-    return traffic.body_diff(traffic.with_keys(traffic.accepted(ex(spark, sf))))
+    return traffic.body_diff(keyed(spark, sf))
 
 
 @query("catalog_with_variables", f"""{WITH}{KEYED},

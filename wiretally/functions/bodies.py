@@ -339,13 +339,13 @@ def scrub_node_value(key: Column, node_type: Column, value: Column) -> Column:
 
 # --- rebuilding a scrubbed body needs recursion, which Catalyst expressions lack ------------
 def _scrub_text(text: str) -> str:
-    for name, pattern, mark in SCRUB_STEPS:
+    for name, _needles, pattern, mark in SCRUB_STEPS:
         if name == "email":
             text = re.sub(r"[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", mark, text)
         elif name == "ip":
             text = re.sub(
                 IPV4_RE,
-                lambda m: "[ip]" if all(int(o) <= 255 for o in m.groups()) else m.group(0),
+                lambda m: "[ip]" if all(int(o) <= 255 for o in m.group(0).split(".")) else m.group(0),
                 text,
             )
         else:

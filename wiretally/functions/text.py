@@ -6,44 +6,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiretally import constants as K
-from wiretally.functions.common import NOT_AFTER_WORD, NOT_BEFORE_WORD, WS, B, c, let
+from wiretally.functions.common import NOT_BEFORE_WORD, WORD, WS, B, c, contains_any, let
 
 _OCTET = r"0{0,2}[0-9]|0?[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5]"
 _MARK_IN, _MARK_OUT = "\uFDD0", "\uFDD1"
 _LOCAL = r"[a-zA-Z0-9._%+-]"
 _KEY_KIND = rf"(?:RSA{WS}+|EC{WS}+|DSA{WS}+)?"
 
-# The order, the patterns and the marks of the scrubber. ``name`` groups the classes
-# for counting. A run of local-part characters is tried once, from its start.
+
+def _word_start(first: str, rest: str) -> str:
+    """A pattern that begins at a word boundary. The first character is tested before the boundary,
+    which fails fast at almost every position of a text."""
+    return f"{first}(?<!{WORD}{first}){rest}"
+
+
+_D = "[0-9]"
+_SEP = rf"(?:[-.]|{WS})"
+_IP_REST = r"[0-9]{0,2}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
+# The order, the patterns and the marks of the scrubber: (class, texts of which one
+# must occur, pattern, mark). A run of local-part characters is tried once, from its start.
 SCRUB_STEPS = [
-    ("email", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}", "[email]"),
-    ("ssn", rf"{NOT_AFTER_WORD}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{NOT_BEFORE_WORD}", "[ssn]"),
-    ("card",
-     rf"{NOT_AFTER_WORD}[0-9]{{4}}[- ]?[0-9]{{4}}[- ]?[0-9]{{4}}[- ]?[0-9]{{4}}{NOT_BEFORE_WORD}",
-     "[card]"),
-    ("ip", None, "[ip]"),
-    ("phone_intl", r"\+[1-9][0-9]{7,14}", "[phone]"),
-    ("phone_us",
-     rf"\([0-9]{{3}}\)(?:[-.]|{WS})[0-9]{{3}}(?:[-.]|{WS})[0-9]{{4}}"
-     rf"|[0-9]{{3}}(?:[-.]|{WS})[0-9]{{3}}(?:[-.]|{WS})[0-9]{{4}}", "[phone]"),
-    ("bearer", rf"{NOT_AFTER_WORD}Bearer{WS}+[A-Za-z0-9._~+/-]+=*{B}", "[token]"),
-    ("jwt", rf"{NOT_AFTER_WORD}eyJ[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+{B}", "[token]"),
-    ("private_key",
+    ("email", ["@"], rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}", "[email]"),
+    ("ssn", ["-"], _word_start(_D, rf"{_D}{{2}}-{_D}{{2}}-{_D}{{4}}{NOT_BEFORE_WORD}"), "[ssn]"),
+    ("card", [],
+     _word_start(_D, rf"{_D}{{3}}[- ]?{_D}{{4}}[- ]?{_D}{{4}}[- ]?{_D}{{4}}{NOT_BEFORE_WORD}"), "[card]"),
+    ("ip", ["."], None, "[ip]"),
+    ("phone_intl", ["+"], r"\+[1-9][0-9]{7,14}", "[phone]"),
+    ("phone_us", [],
+     rf"(?=[(0-9])(?:\({_D}{{3}}\){_SEP}{_D}{{3}}{_SEP}{_D}{{4}}|{_D}{{3}}{_SEP}{_D}{{3}}{_SEP}{_D}{{4}})",
+     "[phone]"),
+    ("bearer", ["Bearer"], _word_start("B", rf"earer{WS}+[A-Za-z0-9._~+/-]+=*{B}"), "[token]"),
+    ("jwt", ["eyJ"],
+     _word_start("e", rf"yJ[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+{B}"), "[token]"),
+    ("private_key", ["-----BEGIN"],
      rf"-----BEGIN{WS}+{_KEY_KIND}PRIVATE{WS}+KEY-----(?s:.*?)"
      rf"-----END{WS}+{_KEY_KIND}PRIVATE{WS}+KEY-----", "[private-key]"),
-    ("aws_key", rf"{NOT_AFTER_WORD}(?:AKIA|ASIA)[A-Z0-9]{{16}}{NOT_BEFORE_WORD}", "[aws-key]"),
-    ("gcp_key", rf"{NOT_AFTER_WORD}AIza[A-Za-z0-9_-]{{35}}{B}", "[gcp-key]"),
-    ("basic", rf"{NOT_AFTER_WORD}Basic{WS}+[A-Za-z0-9+/]{{8,}}={{0,2}}{B}", "[token]"),
+    ("aws_key", ["AKIA", "ASIA"],
+     _word_start("A", rf"(?:KIA|SIA)[A-Z0-9]{{16}}{NOT_BEFORE_WORD}"), "[aws-key]"),
+    ("gcp_key", ["AIza"], _word_start("A", rf"Iza[A-Za-z0-9_-]{{35}}{B}"), "[gcp-key]"),
+    ("basic", ["Basic"], _word_start("B", rf"asic{WS}+[A-Za-z0-9+/]{{8,}}={{0,2}}{B}"), "[token]"),
 ]
-IPV4_RE = (
-    rf"{NOT_AFTER_WORD}([0-9]{{1,3}})\.([0-9]{{1,3}})\.([0-9]{{1,3}})\.([0-9]{{1,3}}){NOT_BEFORE_WORD}"
-)
+_QUAD = _word_start(_D, rf"{_IP_REST}{NOT_BEFORE_WORD}")
+IPV4_RE = _QUAD
 _IPV4_VALID = rf"{_MARK_IN}(?:{_OCTET})(?:\.(?:{_OCTET})){{3}}{_MARK_OUT}"
 
 
 def _mark_ipv4(s: Column) -> Column:
     """Mark every dotted quad, so that one with an octet above 255 still uses up its text."""
-    return F.regexp_replace(s, IPV4_RE, f"{_MARK_IN}$1.$2.$3.$4{_MARK_OUT}")
+    return F.regexp_replace(s, _QUAD, f"{_MARK_IN}$0{_MARK_OUT}")
 
 
 def _scrub_ipv4(s: Column) -> Column:
@@ -51,11 +61,24 @@ def _scrub_ipv4(s: Column) -> Column:
     return F.translate(done, _MARK_IN + _MARK_OUT, "")
 
 
+def _may_hold(s: Column, needles: list[str]) -> Column:
+    return contains_any(s, needles) if needles else F.lit(True)
+
+
 def scrub_pii(text: Column | str) -> Column:
-    """Replace personal data and secrets by class marks, in a fixed order."""
+    """Replace personal data and secrets by class marks, in a fixed order. A class whose literal part
+    does not occur is skipped."""
+
+    def step(name: str, needles: list[str], pattern: str | None, mark: str):
+        def of(s: Column) -> Column:
+            new = _scrub_ipv4(s) if name == "ip" else F.regexp_replace(s, pattern, mark)
+            return F.when(_may_hold(s, needles), new).otherwise(s)
+
+        return of
+
     out = c(text)
-    for name, pattern, mark in SCRUB_STEPS:
-        out = _scrub_ipv4(out) if name == "ip" else F.regexp_replace(out, pattern, mark)
+    for args in SCRUB_STEPS:
+        out = let(out, step(*args))
     return out
 
 
@@ -63,25 +86,30 @@ def with_pii(df: DataFrame, text: str, scrubbed: str = "scrubbed") -> DataFrame:
     """Add the scrubbed text and one ``n_<class>`` count per class. Every class is counted on the
     text as the classes before it left it, so a match is counted once."""
     out = df.withColumn(scrubbed, F.col(text))
-    for name, pattern, mark in SCRUB_STEPS:
+    for name, needles, pattern, mark in SCRUB_STEPS:
+        count, may = f"n_{name}", _may_hold(F.col(scrubbed), needles)
         if name == "ip":
-            out = out.withColumn("__marked", _mark_ipv4(F.col(scrubbed)))
-            out = out.withColumn(f"n_{name}", F.regexp_count("__marked", F.lit(_IPV4_VALID)))
-            replaced = F.regexp_replace("__marked", _IPV4_VALID, mark)
-            out = out.withColumn(scrubbed, F.translate(replaced, _MARK_IN + _MARK_OUT, ""))
-            out = out.drop("__marked")
+            out = out.withColumn("__marked", F.when(may, _mark_ipv4(F.col(scrubbed))))
+            out = out.withColumn(
+                count, F.coalesce(F.regexp_count("__marked", F.lit(_IPV4_VALID)), F.lit(0)))
+            replaced = F.translate(
+                F.regexp_replace("__marked", _IPV4_VALID, mark), _MARK_IN + _MARK_OUT, "")
+            out = out.withColumn(
+                scrubbed, F.when(F.col(count) > 0, replaced).otherwise(F.col(scrubbed))
+            ).drop("__marked")
         else:
-            out = out.withColumn(f"n_{name}", F.regexp_count(scrubbed, F.lit(pattern)))
+            out = out.withColumn(
+                count, F.when(may, F.regexp_count(scrubbed, F.lit(pattern))).otherwise(0))
             out = out.withColumn(
                 scrubbed,
-                F.when(F.col(f"n_{name}") > 0, F.regexp_replace(scrubbed, pattern, mark)).otherwise(
+                F.when(F.col(count) > 0, F.regexp_replace(scrubbed, pattern, mark)).otherwise(
                     F.col(scrubbed)
                 ),
             )
     return out
 
 
-PII_CLASSES = [name for name, _p, _m in SCRUB_STEPS]
+PII_CLASSES = [step[0] for step in SCRUB_STEPS]
 
 
 def shannon_entropy(s: Column | str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wiretally.functions import bodies
+from wiretally.session import reliable
 
 
 def schema_rows(df: DataFrame, body: str, *keys: str) -> DataFrame:
@@ -83,7 +84,8 @@ def schema_drift(baseline: DataFrame, responses: DataFrame) -> DataFrame:
 
     ``baseline``: (domain, key, response_body), ``responses``: (domain, key, ts_us, response_body).
     """
-    versions = schema_versions(responses, "response_body", "domain", "key")
+    # a few rows per endpoint, used three times below
+    versions = reliable(schema_versions(responses, "response_body", "domain", "key"))
     keys = ("domain", "key", "version")
     actual = versions.select(*keys, F.explode("nodes").alias("n")).select(*keys, "n.*")
     base = baseline.select("domain", F.col("key"), bodies.schema_nodes("response_body").alias("nodes"))

@@ -15,6 +15,7 @@ from wiretally import constants as K
 from wiretally.functions import bodies, headers, paths, text, urls
 from wiretally.functions.common import c, let, ordinal, ordinal_seq, str_array
 
+from wiretally.session import reliable
 
 
 def with_reject_reason(
@@ -293,12 +294,25 @@ def first_occurrence(keyed: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------------------------
 # body diff
 # ------------------------------------------------------------------------------------------
-def _with_spread(df: DataFrame, value: str, *keys: str) -> DataFrame:
+def _has_field(body: str) -> Column:
+    """A form has a field when its scrubbed text has an equals sign; only authorization texts can
+    lose theirs to the scrubber."""
+    b = F.col(body)
+    return (
+        F.when(~b.contains("="), False)
+        .when(b.rlike("Bearer|Basic"), text.scrub_pii(b).contains("="))
+        .otherwise(True)
+    )
+
+
+def _with_spread(df: DataFrame, value: str, *keys: str, order: str | None = None) -> DataFrame:
     """Rows per group, and whether the value varies. A minimum of texts would force a sort
     aggregate; 128 bits of hash keep it a hash aggregate."""
     one, two = F.xxhash64(value), F.xxhash64(F.lit("second"), F.col(value))
-    hashed = df.select(*keys, one.alias("__h1"), two.alias("__h2"))
+    first = [] if order is None else [F.min(order).alias(f"first_{order}")]
+    hashed = df.select(*keys, *([order] if order else []), one.alias("__h1"), two.alias("__h2"))
     out = hashed.groupBy(*keys).agg(
+        *first,
         F.count("*").alias("rows"),
         F.min("__h1").alias("l1"), F.max("__h1").alias("u1"),
         F.min("__h2").alias("l2"), F.max("__h2").alias("u2"),
@@ -333,10 +347,13 @@ def body_diff(keyed: DataFrame) -> DataFrame:
             F.min(F.when(F.col("has_body"), F.col("ord"))).alias("first_body_ord"),
             F.count_if("has_body").alias("bodies"),
             F.count_if(F.col("has_body") & ~F.col("is_json")).alias("plain"),
+            F.count_if(F.col("has_body") & ~_has_field("request_body")).alias("empty_forms"),
         )
         .filter((F.col("first_ord") == F.col("first_body_ord")) & (F.col("bodies") > 1))
-        .select("domain", "key", "first_ord", "bodies", (F.col("plain") == 0).alias("json_mode"))
+        .select("domain", "key", "first_ord", "bodies", "empty_forms",
+                (F.col("plain") == 0).alias("json_mode"))
     )
+    groups = reliable(groups)
 
     nodes = (
         with_json.filter(F.col("has_body") & F.col("is_json"))
@@ -363,11 +380,18 @@ def body_diff(keyed: DataFrame) -> DataFrame:
             .alias("opens"),
         )
     )
-    grouped = _with_spread(nodes, "sig", "domain", "key", "path", "parent", "chain")
-    parents = (
-        nodes.filter(F.col("opens").isNotNull())
-        .groupBy("domain", "key", F.col("path").alias("parent"), F.col("opens").alias("chain"))
-        .agg(F.count("*").alias("parent_rows"), F.min("ord").alias("parent_first"))
+    # one pass over the bodies gives both sides of the comparison; what is kept has one row per
+    # node and container type, whatever the traffic is
+    base = reliable(
+        _with_spread(nodes, "sig", "domain", "key", "path", "parent", "chain", "opens", order="ord")
+    )
+    grouped = base.groupBy("domain", "key", "path", "parent", "chain").agg(
+        F.sum("rows").alias("rows"),
+        (F.bool_or("varies") | (F.count("*") > 1)).alias("varies"),
+    )
+    parents = base.filter(F.col("opens").isNotNull()).select(
+        "domain", "key", F.col("path").alias("parent"), F.col("opens").alias("chain"),
+        F.col("rows").alias("parent_rows"), F.col("first_ord").alias("parent_first"),
     )
     json_changes = (
         grouped.join(parents, ["domain", "key", "parent", "chain"])
@@ -377,20 +401,18 @@ def body_diff(keyed: DataFrame) -> DataFrame:
         .select("domain", "key", "path")
     )
 
+    # a form without a single field makes its whole endpoint incomparable
     forms = with_json.filter("has_body").join(
-        groups.filter(~F.col("json_mode")).select("domain", "key", "bodies"), ["domain", "key"]
-    ).withColumn("fields", urls.parse_form(text.scrub_pii("request_body")))
-    usable = (
-        forms.groupBy("domain", "key")
-        .agg(F.min(F.size("fields")).alias("least"))
-        .filter(F.col("least") > 0)
-        .select("domain", "key")
-    )
-    pairs = forms.select("domain", "key", "bodies", F.explode("fields").alias("path", "value"))
+        groups.filter(~F.col("json_mode") & (F.col("empty_forms") == 0)).select("domain", "key", "bodies"),
+        ["domain", "key"],
+    )
+    pairs = forms.select(
+        "domain", "key", "bodies",
+        F.explode(urls.parse_form(text.scrub_pii("request_body"))).alias("path", "value"),
+    )
     form_changes = (
         _with_spread(pairs, "value", "domain", "key", "bodies", "path")
         .filter((F.col("rows") < F.col("bodies")) | F.col("varies"))
-        .join(usable, ["domain", "key"])
         .select("domain", "key", "path")
     )
     return json_changes.unionByName(form_changes).distinct()

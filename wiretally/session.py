@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "wiretally", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,10 +33,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not folder:
         folder = tempfile.mkdtemp(prefix="wiretally-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    spark.sparkContext.setCheckpointDir(folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def reliable(df: DataFrame) -> DataFrame:
+    """Compute a small intermediate result once and keep it in the shared folder, so that several
+    uses do not repeat the scan behind it and a lost executor loses nothing."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint()
+
+
 def state_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a stream's checkpoint or a table below the shared folder."""
     return os.path.join(checkpoint_root(spark), f"{name}-{os.urandom(6).hex()}")

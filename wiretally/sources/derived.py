@@ -26,6 +26,13 @@ TABLES = (
 ).split()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of few, small files. A real input has far more splits than that and
+    passes unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _fill(sql: str, dialect: dict[str, str]) -> str:
     for mark, text in dialect.items():
         sql = sql.replace("{" + mark + "}", text)
@@ -46,10 +53,7 @@ def landed(
     jobs start from a parquet scan, as they do on landed logs."""
     slot = (spark.sparkContext.applicationId, sf_dir, name)
     if slot not in _LANDED:
-        df = build()
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
+        df = spread(build())
         folder = state_folder(spark, f"derived-{name}")
         df.write.parquet(folder)
         _LANDED[slot] = folder
