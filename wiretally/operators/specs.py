@@ -255,7 +255,7 @@ def _body(op: str) -> str:
           'variables', array_sort(array_distinct(transform(filter(vs, x -> x.value is null), x -> x.key))))""", "vs")
     return _bind(
         f"case when {from_body}.schema is not null then {from_body} else {from_param} end",
-        f"case when src.schema is not null then {_bind(resolve('src.schema'), template, 'bs')} end", "src")
+        f"case when src.schema is not null then {_bind(resolve('src.schema'), f'case when size(bs.leaves) > 0 or bs.merged then {template} end', 'bs')} end", "src")
 
 
 def spec_operations(profiled: DataFrame) -> DataFrame:
