@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wiretally import constants as K
 from wiretally.functions import bodies, headers, paths, text, urls
 from wiretally.functions.common import c, let, ordinal, ordinal_seq, str_array
-
+from wiretally.operators.joins import join_small
 from wiretally.session import reliable
 
 
@@ -212,7 +212,11 @@ def build_endpoints(ex: DataFrame) -> DataFrame:
     """One row per endpoint out of accepted exchanges. The first captured exchange supplies all
     attributes; an endpoint whose bodies were all lost stays a skeleton."""
     winners = endpoint_winners(with_keys(ex)).select("seq", "hits", "first_us", "last_us")
-    return describe_endpoints(with_keys(ex.join(winners, "seq")))
+    return describe_endpoints(with_keys(join_small(ex, winners, ["seq"])))
+
+
+def _second(ts_us: str) -> Column:
+    return F.floor(F.col(ts_us) / F.lit(1_000_000)).cast("bigint")
 
 
 def domain_counters(classified: DataFrame) -> DataFrame:
@@ -220,8 +224,8 @@ def domain_counters(classified: DataFrame) -> DataFrame:
     count only from the domain's first accepted exchange on.
 
     ``classified`` comes from :func:`with_reject_reason`. The first accepted time is per domain, so
-    filtered bytes are summed per second first: the join then runs over domain-seconds, not over
-    traffic, and no hot domain reaches one task as raw rows.
+    bytes are summed per second first: that join runs over domain-seconds, not over traffic. Only the
+    raw rows of a domain's first second are looked at one by one, by a join on domain and second.
     """
     kept = F.col("reason").isNull()
     size = F.length(F.coalesce(F.when(~F.col("body_missing"), F.col("response_body")), F.lit("")))
@@ -235,26 +239,36 @@ def domain_counters(classified: DataFrame) -> DataFrame:
         "ts_us",
         F.when(kept, size).otherwise(declared).cast("bigint").alias("bytes"),
     )
-    per_instant = rows.groupBy("domain", "ts_us").agg(
+    per_second = rows.groupBy("domain", _second("ts_us").alias("second")).agg(
         F.count_if("kept").alias("captured"),
         F.count_if(~F.col("kept")).alias("filtered"),
         F.sum(F.when(F.col("kept"), F.col("bytes"))).alias("kept_bytes"),
         F.sum(F.when(~F.col("kept"), F.col("bytes"))).alias("filtered_bytes"),
+        F.min(F.when(F.col("kept"), F.col("ts_us"))).alias("first_us"),
     )
-    totals = per_instant.groupBy("domain").agg(
+    totals = per_second.groupBy("domain").agg(
         F.sum("captured").alias("capture_count"),
         F.sum("filtered").alias("filtered_count"),
-        F.min(F.when(F.col("captured") > 0, F.col("ts_us"))).alias("first_accepted_us"),
+        F.min("first_us").alias("first_accepted_us"),
         F.coalesce(F.sum("kept_bytes"), F.lit(0)).alias("kept_bytes"),
     )
-    late = (
-        per_instant.filter(F.col("filtered") > 0)
-        .select("domain", "ts_us", "filtered_bytes")
-        .join(totals.select("domain", "first_accepted_us"), "domain")
+    first = totals.filter(F.col("first_accepted_us").isNotNull()).select(
+        "domain", "first_accepted_us", _second("first_accepted_us").alias("first_second")
+    )
+    later = (
+        per_second.select("domain", "second", "filtered_bytes")
+        .join(first, "domain")
+        .filter(F.col("second") > F.col("first_second"))
+        .select("domain", F.col("filtered_bytes").alias("bytes"))
+    )
+    same = (
+        rows.filter(~F.col("kept"))
+        .withColumn("first_second", _second("ts_us"))
+        .join(first, ["domain", "first_second"])
         .filter(F.col("ts_us") >= F.col("first_accepted_us"))
-        .groupBy("domain")
-        .agg(F.sum("filtered_bytes").alias("late_bytes"))
+        .select("domain", "bytes")
     )
+    late = later.unionByName(same).groupBy("domain").agg(F.sum("bytes").alias("late_bytes"))
     return totals.join(late, "domain", "left").select(
         "domain",
         "capture_count",
@@ -286,7 +300,7 @@ def first_occurrence(keyed: DataFrame) -> DataFrame:
         .agg(F.min("ord").alias("ord"))
         .select(ordinal_seq("ord").alias("seq"), F.lit(True).alias("is_new"))
     )
-    return keyed.join(firsts, "seq", "left").withColumn(
+    return join_small(keyed, firsts, ["seq"], "left").withColumn(
         "is_new", F.coalesce(F.col("is_new"), F.lit(False))
     )
 
@@ -402,7 +416,8 @@ def body_diff(keyed: DataFrame) -> DataFrame:
     )
 
     # a form without a single field makes its whole endpoint incomparable
-    forms = with_json.filter("has_body").join(
+    forms = join_small(
+        with_json.filter("has_body"),
         groups.filter(~F.col("json_mode") & (F.col("empty_forms") == 0)).select("domain", "key", "bodies"),
         ["domain", "key"],
     )
