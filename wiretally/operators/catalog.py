@@ -153,7 +153,10 @@ def index_staleness(index_meta: DataFrame, catalog: DataFrame, as_of_us: Column)
     """(stale, reason, age_warning) of an index. ``index_meta``: (version, file_count, built_us), no
     row when there is none."""
     disk = catalog.select("domain").distinct().agg(F.count("*").alias("disk"))
-    joined = disk.join(index_meta, F.lit(True), "left")
+    both = disk.unionByName(
+        index_meta.select("version", "file_count", "built_us"), allowMissingColumns=True
+    )
+    joined = both.agg(*[F.max(n).alias(n) for n in ("disk", "version", "file_count", "built_us")])
     reason = (
         F.when(F.col("version").isNull(), "missing")
         .when(F.col("version") != 1, "version-mismatch")

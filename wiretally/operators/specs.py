@@ -376,13 +376,16 @@ def import_gates(profiled: DataFrame, no_auth_only: bool = False) -> DataFrame:
 
 def import_summary(gated: DataFrame, added: DataFrame) -> DataFrame:
     """One row: imported, failed, skipped, endpoints added."""
+    names = ["imported", "failed", "skipped", "endpoints_added"]
     counts = gated.agg(
         F.count_if(F.col("outcome") == "import").alias("imported"),
         F.count_if(F.col("outcome").startswith("fail")).alias("failed"),
         F.count_if(F.col("outcome").startswith("skip")).alias("skipped"),
+    ).withColumn("endpoints_added", F.lit(0).cast("bigint"))
+    endpoints = added.agg(F.count("*").alias("endpoints_added")).select(
+        *[F.lit(0).cast("bigint").alias(n) for n in names[:3]], "endpoints_added"
     )
-    endpoints = added.agg(F.count("*").alias("endpoints_added"))
-    return counts.join(endpoints, F.lit(True))
+    return counts.unionByName(endpoints).agg(*[F.sum(n).alias(n) for n in names])
 
 
 # ------------------------------------------------------------------------------------------
