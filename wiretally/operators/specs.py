@@ -487,7 +487,8 @@ def is_spec_filename(path: str = "file_path") -> Column:
 def filter_repos(repos: DataFrame, as_of: Column, min_stars: int | None = None,
                  include_stale: bool = False) -> DataFrame:
     """Add ``skip``: fork, archived, stale or too few stars, in this order; null passes."""
-    pushed = F.to_timestamp("pushed_at")
+    # the UTC date as written, whatever the session's time zone is
+    pushed = F.substring("pushed_at", 1, 10).try_cast("date")
     stale = F.lit(not include_stale) & (F.datediff(as_of, pushed) > K.STALE_REPO_DAYS)
     few = F.lit(min_stars is not None) & (F.col("stars") < F.lit(min_stars or 0))
     return repos.withColumn(
