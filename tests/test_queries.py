@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from wiretally.checks import QUERIES
 from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF)
     sql = entry.oracle_sql().get(name)

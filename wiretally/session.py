@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +28,13 @@ def build_session(app: str = "wiretally", master: str | None = None, **conf: str
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names. A folder of this machine is used only where none is
-    set, which is the case in tests."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Where none is set, a session
+    that runs in one process gets a folder of its own; on a cluster that would lose files, so it
+    is an error there."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="wiretally-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -48,3 +52,11 @@ def reliable(df: DataFrame) -> DataFrame:
 def state_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a stream's checkpoint or a table below the shared folder."""
     return os.path.join(checkpoint_root(spark), f"{name}-{os.urandom(6).hex()}")
+
+
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: lineage is cut, a lost executor
+    loses nothing, and the planner knows its size in bytes, so it broadcasts it only when it is small."""
+    folder = state_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
