@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.llm import mixing, packing
+from wiretally.llm import mixing, packing, quality, secrets
 from wiretally.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -88,3 +88,26 @@ select doc_id, piece::int as piece, n_tokens::int as n_tokens, bucket::int as bu
        (place // (16384 // boundary))::bigint as batch, (place % (16384 // boundary))::int as slot
 from numbered
 """
+
+
+@query
+def op3_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every whole text, learned from labels that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.filter(~quality.held_out()))
+    return quality.score(docs, model, ["doc_id"]).select(
+        "doc_id", quality.held_out().alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op4_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text: fixed patterns, and what a random field adds."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(docs), ["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    return found.select(
+        "doc_id",
+        *[secrets.count_of(kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]],
+        F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"))
