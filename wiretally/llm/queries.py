@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.llm import mixing, packing, quality, secrets
+from wiretally.llm import mixing, packing, quality, repeats, secrets, simhash
 from wiretally.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -111,3 +111,19 @@ def op4_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[secrets.count_of(kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]],
         F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"),
         secrets.joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op7_simhash_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every whole text and its class of near-duplicates, linked at up to 3 bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op5_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text without the bytes of 400-byte strings that also start elsewhere."""
+    left = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    size = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["to"] - s["from"])
+    return left.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
