@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.llm import mixing, packing, quality, repeats, secrets, simhash
+from wiretally.llm import mixing, packing, quality, repeats, secrets, simhash, warc
 from wiretally.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -127,3 +127,23 @@ def op5_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["to"] - s["from"])
     return left.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to Zstandard archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op6_warc_zstd"] = """
+with base as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+last as (
+  select payload_digest, max(page_id) as last from base where payload_bytes >= 1000
+  group by payload_digest, payload_bytes having count(*) > 1)
+select page_id, payload_bytes, payload_digest,
+       case when last is not null and page_id is distinct from last then 'revisit' else 'response' end as record_type,
+       case when page_id is distinct from last then last end as refers_to
+from base left join last using (payload_digest)
+"""
