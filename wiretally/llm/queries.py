@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.llm import mixing, packing, quality, repeats, secrets, simhash, warc
+from wiretally.llm import forest, mixing, packing, quality, repeats, secrets, simhash, warc
 from wiretally.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -147,3 +147,9 @@ select page_id, payload_bytes, payload_digest,
        case when page_id is distinct from last then last end as refers_to
 from base left join last using (payload_digest)
 """
+
+
+@query
+def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors found for every row whose id is divisible by 50, among all others."""
+    return forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
