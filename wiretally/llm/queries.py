@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.llm import forest, mixing, packing, quality, repeats, secrets, simhash, warc
+from wiretally.llm import forest, mixing, packing, pii, quality, repeats, secrets, simhash, warc
 from wiretally.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -153,3 +153,13 @@ from base left join last using (payload_digest)
 def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest vectors found for every row whose id is divisible by 50, among all others."""
     return forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text: fixed patterns, and what the trained classifier adds."""
+    found = pii.find(table(spark, sf_dir, "documents"), ["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"] != "model")
+    return found.select(
+        "doc_id", *[pii.count_of(kind).alias(f"n_{kind}") for kind in pii.KINDS[:4]],
+        F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
