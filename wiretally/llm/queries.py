@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.llm import forest, mixing, packing, pii, quality, repeats, secrets, simhash, warc
+import corpus_pipeline
+from wiretally.llm import forest, mixing, orderhash, packing, pii, quality, repeats, secrets, simhash, warc
 from wiretally.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -163,3 +164,20 @@ def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[pii.count_of(kind).alias(f"n_{kind}") for kind in pii.KINDS[:4]],
         F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and of its edited text, and how alike they and the next document's are."""
+    pairs = orderhash.edited_pairs(table(spark, sf_dir, "documents"))
+    return pairs.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        orderhash.fingerprint(F.col("entries")).alias("fingerprint"),
+        orderhash.fingerprint(F.col("edited_entries")).alias("edited_fingerprint"),
+        orderhash.likeness(F.col("entries"), F.col("edited_entries")).alias("near_edited"),
+        orderhash.likeness(F.col("entries"), F.col("next_entries")).alias("near_next"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
