@@ -176,7 +176,8 @@ class RunIndex:
     def __init__(self, text: np.ndarray) -> None:
         self.n = n = len(text)
         order, levels = self._sorted(text)
-        before = text[order - 1]
+        before = text[order - 1].astype(np.int16)
+        before[order == 0] = -1  # nothing precedes the begin of the text
         border = np.flatnonzero(before[1:] != before[:-1])
         above, below = order[border], order[border + 1]
         common = self._common(text, levels, above, below)
