@@ -93,21 +93,24 @@ def _(spark, sf):
  it AS (SELECT seq, t.i AS i, sum(octet_length(encode(json_extract(resp_body, '$[' || (t.i - 1) || ']')::VARCHAR)) + 1) OVER (PARTITION BY seq ORDER BY t.i) + 1 AS run
    FROM exr, unnest(range(1, CAST(json_array_length(resp_body) AS BIGINT) + 1)) AS t(i) WHERE kind = 'items'),
  kp AS (SELECT seq, max(run) AS full_bytes, greatest(count(*) FILTER (WHERE run <= 200), 1) AS kept, coalesce(max(run) FILTER (WHERE run <= 200), min(run)) AS bytes FROM it GROUP BY seq)
-SELECT seq, full_bytes > 200 AS truncated, kept, CAST(bytes AS BIGINT) AS bytes FROM kp""")
+SELECT seq, full_bytes > 200 AS truncated, kept, CAST(bytes AS BIGINT) AS bytes FROM kp
+UNION ALL SELECT seq, kind NOT IN ('down', 'noise') AND octet_length(encode(resp_body)) > 200, NULL,
+  CAST(octet_length(encode(resp_body)) AS BIGINT) FROM exr WHERE kind <> 'items'""")
 def _(spark, sf):
-    e = ex(spark, sf).filter(F.col("kind") == "items").select("seq", "response_body")
+    e = ex(spark, sf).select("seq", "response_body")
     out = bodies.truncate_responses(e, "response_body", 200)
+    items = bodies.as_array(bodies.parse("data"))
     return out.select(
-        "seq", "truncated",
-        F.size(bodies.as_array(bodies.parse("data"))).cast("bigint").alias("kept"),
+        "seq", F.coalesce("truncated", F.lit(False)).alias("truncated"),
+        F.when(items.isNotNull(), F.size(items)).cast("bigint").alias("kept"),
         F.octet_length("data").cast("bigint").alias("bytes"),
     )
 
 
 @query("truncate_documents", """
-SELECT doc_id, length(text) > 500 AND octet_length(encode(text)) + 20 > 3000 AS cut FROM documents WHERE NOT regexp_matches(text, '["\\\\\\x00-\\x1f]')""")
+SELECT doc_id, length(text) > 500 AND octet_length(encode(to_json(text)::VARCHAR)) + 18 > 3000 AS cut FROM documents""")
 def _(spark, sf):
-    d = D.table(spark, sf, "documents").filter(~F.col("text").rlike(r'["\\\x00-\x1f]'))
+    d = D.table(spark, sf, "documents")
     body = d.select("doc_id", F.to_json(F.struct(F.lit("123").alias("id"), F.col("text").alias("t"))).alias("b"))
     out = bodies.truncate_responses(body, "b", 3000)
     return out.select("doc_id", F.col("data").endswith('... [truncated]"}').alias("cut"))

@@ -275,16 +275,18 @@ _JSON_KINDS = "('order', 'login', 'graphql')"
    WHERE exr.kind IN {_JSON_KINDS} AND t.type NOT IN ('OBJECT', 'ARRAY'))
 SELECT seq, replace(fullkey[3:], '"', '') AS path, CASE
   WHEN type = 'VARCHAR' AND regexp_matches(key, {lit(K.SENSITIVE_BODY_RE)}) THEN '[scrubbed]'
-  WHEN type = 'VARCHAR' THEN {scrub_sql('val')} ELSE val END AS value FROM n""")
-def _(spark, sf):
-    e = ex(spark, sf).filter(F.col("request_body").startswith("{"))
+  WHEN type = 'VARCHAR' THEN {scrub_sql('val')} ELSE val END AS value FROM n
+UNION ALL SELECT seq, NULL, {scrub_sql('req_body')} FROM exr WHERE req_body IS NOT NULL AND kind NOT IN {_JSON_KINDS}""")
+def _(spark, sf):
+    e = ex(spark, sf).filter(F.col("request_body").isNotNull()).select("seq", bodies.scrub_body("request_body").alias("b"))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("type"),
+                            F.col("b").alias("value")))
+    nodes = F.transform(bodies.json_nodes("b"), lambda n: F.struct(n["path"].alias("path"), n["type"].alias("type"),
+                                                                   n["value"].alias("value")))
     return (
-        e.select("seq", F.explode(bodies.json_nodes("request_body")).alias("n"))
-        .filter(~F.col("n.type").isin("object", "array"))
-        .select(
-            "seq", F.col("n.path").alias("path"),
-            bodies.scrub_node_value(F.col("n.key"), F.col("n.type"), F.col("n.value")).alias("value"),
-        )
+        e.select("seq", F.explode(F.coalesce(nodes, none)).alias("n"))
+        .filter(F.col("n.type").isNull() | ~F.col("n.type").isin("object", "array"))
+        .select("seq", F.col("n.path").alias("path"), F.col("n.value").alias("value"))
     )
 
 

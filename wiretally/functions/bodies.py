@@ -6,17 +6,12 @@ unrolled level by level inside a fold, so there is no Python, no self-join and n
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wiretally import constants as K
 from wiretally.functions.common import any_of, c, let
-from wiretally.functions.text import IPV4_RE, SCRUB_STEPS, scrub_pii
+from wiretally.functions.text import scrub_pii
 
 # Nesting beyond this is not unrolled. Parsers refuse such texts long before.
 MAX_NESTING = 64
@@ -337,90 +332,107 @@ def scrub_node_value(key: Column, node_type: Column, value: Column) -> Column:
     )
 
 
-# --- rebuilding a scrubbed body needs recursion, which Catalyst expressions lack ------------
-def _scrub_text(text: str) -> str:
-    for name, _needles, pattern, mark in SCRUB_STEPS:
-        if name == "email":
-            text = re.sub(r"[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", mark, text)
-        elif name == "ip":
-            text = re.sub(
-                IPV4_RE,
-                lambda m: "[ip]" if all(int(o) <= 255 for o in m.group(0).split(".")) else m.group(0),
-                text,
-            )
-        else:
-            text = re.sub(pattern, mark, text)
-    return text
-
-
-def _scrub_value(value):
-    if isinstance(value, str):
-        return _scrub_text(value)
-    if isinstance(value, list):
-        return [_scrub_value(v) for v in value]
-    if isinstance(value, dict):
-        return {
-            k: "[scrubbed]" if isinstance(v, str) and re.search(K.SENSITIVE_BODY_RE, k)
-            else _scrub_value(v)
-            for k, v in value.items()
-        }
-    return value
-
-
-@F.pandas_udf(T.StringType())
-def scrub_body(bodies: pd.Series) -> pd.Series:
-    """A body with sensitive fields and personal data replaced, as JSON text. A text that is not
-    JSON is scrubbed as plain text."""
-
-    def one(text):
-        if text is None:
-            return None
-        try:
-            value = json.loads(text)
-        except ValueError:
-            return _scrub_text(text)
-        if not isinstance(value, (dict, list)):
-            return _scrub_text(text)
-        return json.dumps(_scrub_value(value), separators=(",", ":"), ensure_ascii=False)
-
-    return bodies.map(one)
-
-
-def _cut_strings(obj: dict, max_bytes: int) -> dict:
-    out = dict(obj)
-    long = [k for k, v in out.items() if isinstance(v, str) and len(v) > K.STRING_CAP]
-    for key in sorted(long, key=lambda k: -len(out[k])):
-        out[key] = out[key][: K.STRING_CAP] + K.TRUNCATED_SUFFIX
-        if _json_bytes(out) <= max_bytes:
-            break
-    return out
-
-
-def _json_bytes(value) -> int:
-    return len(json.dumps(value, separators=(",", ":"), ensure_ascii=False).encode())
-
-
-def _cut_json(text: str | None, max_bytes: int) -> str | None:
-    if text is None:
-        return None
-    value = json.loads(text)
-    if isinstance(value, dict):
-        value = _cut_strings(value, max_bytes)
-    elif isinstance(value, list):
-        # one item is left and it is too large: cut its strings, or give the item up
-        value = [_cut_strings(v, max_bytes - 2) if isinstance(v, dict) else v for v in value]
-        if _json_bytes(value) > max_bytes:
-            value = []
-    elif isinstance(value, str):
-        lo, hi = 0, len(value)
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            if _json_bytes(value[:mid] + K.TRUNCATED_SUFFIX) <= max_bytes:
-                lo = mid
-            else:
-                hi = mid - 1
-        value = value[:lo] + K.TRUNCATED_SUFFIX
-    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+# --- rewriting a body: its text is cut at string literals, which are replaced and joined again --------
+_LITERAL = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
+def unquoted(literal: Column) -> Column:
+    return F.try_variant_get(F.try_parse_json(literal), "$", "string")
+
+
+def quoted(value: Column) -> Column:
+    """The JSON literal of a text."""
+    return let(F.to_json(F.array(value)), lambda j: F.substring(j, F.lit(2), F.length(j) - 2))
+
+
+def _scrub_literals(pieces: Column, literals: Column) -> Column:
+    def name_before(i: Column) -> Column:
+        return F.when(F.get(pieces, i) == ":", unquoted(F.get(literals, i - 1)))
+
+    def scrubbed(literal: Column, i: Column) -> Column:
+        is_name = F.get(pieces, i + 1).startswith(":")
+        hidden = F.coalesce(name_before(i).rlike(K.SENSITIVE_BODY_RE), F.lit(False))
+        value = F.when(hidden, F.lit('"[scrubbed]"')).otherwise(quoted(scrub_pii(unquoted(literal))))
+        return F.concat(F.when(is_name, literal).otherwise(value), F.get(pieces, i + 1))
+
+    return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(literals, scrubbed), ""))
+
+
+def scrub_json(text: Column) -> Column:
+    """JSON text with the texts of sensitive fields and personal data replaced, without white space between
+    its tokens; numbers and the order of fields stay as they are. Depth does not matter, nothing recurses."""
+    parts = F.struct(
+        F.transform(F.split(text, _LITERAL, -1), lambda p: F.regexp_replace(p, "[ \t\r\n]+", "")).alias("pieces"),
+        F.regexp_extract_all(text, F.lit(_LITERAL), F.lit(0)).alias("literals"))
+    return let(parts, lambda p: _scrub_literals(p["pieces"], p["literals"]))
+
+
+def scrub_body(body: Column | str) -> Column:
+    """A body with sensitive fields and personal data replaced. A text that is not JSON is scrubbed as plain text;
+    JSON whose objects repeat a name is scrubbed both ways."""
+    text = c(body)
+    repeats_names = text.rlike(r"^\s*[\[{]") & F.get_json_object(text, "$").isNotNull()
+    return (
+        F.when(variant_type(parse(text)).isin("object", "array"), scrub_json(text))
+        .when(repeats_names, scrub_pii(scrub_json(text)))
+        .otherwise(scrub_pii(text))
+    )
+
+
+# --- size limits ---------------------------------------------------------------------------------
+def _escaped_bytes(char: Column) -> Column:
+    """Bytes that one character takes inside a JSON literal."""
+    return (
+        F.when(char.isin('"', "\\", "\n", "\r", "\t", "\b", "\f"), 2)
+        .when(char < " ", 6)
+        .otherwise(F.octet_length(char))
+    )
+
+
+def _text_prefix(value: Column, max_bytes: int) -> Column:
+    """Literal of the longest begin of a text that fits with the cut mark behind it: the escaped sizes of its
+    characters, summed up in one pass."""
+    room = max_bytes - 2 - len(K.TRUNCATED_SUFFIX.encode())
+
+    def add(acc: Column, char: Column) -> Column:
+        total = acc["bytes"] + _escaped_bytes(char)
+        return F.struct(total.alias("bytes"), (acc["kept"] + (total <= room).cast("int")).alias("kept"))
+
+    chars = F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))
+    kept = F.aggregate(chars, F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("kept")), add, lambda acc: acc["kept"])
+    return quoted(F.concat(F.substring(value, F.lit(1), kept), F.lit(K.TRUNCATED_SUFFIX)))
+
+
+def _shorter_fields(v: Column, max_bytes: int) -> Column:
+    """Text of an object whose long texts are cut, the longest first, until it fits or none is left. How many are
+    cut follows from a running sum of what each saves."""
+    def field(e: Column) -> Column:
+        text = F.when(F.schema_of_variant(e["value"]) == "STRING", F.try_variant_get(e["value"], "$", "string"))
+        whole = F.concat(quoted(e["key"]), F.lit(":"), F.to_json(e["value"]))
+        short = F.concat(quoted(e["key"]), F.lit(":"), quoted(
+            F.concat(F.substring(text, 1, K.STRING_CAP), F.lit(K.TRUNCATED_SUFFIX))))
+        return F.struct(whole.alias("whole"), F.when(F.length(text) > K.STRING_CAP, short).alias("short"),
+                        F.length(text).alias("length"))
+
+    def rebuilt(fields: Column) -> Column:
+        total = F.aggregate(fields, F.lit(1), lambda acc, f: acc + F.octet_length(f["whole"]) + 1)
+        cuts = F.array_sort(F.filter(
+            F.transform(fields, lambda f, i: F.struct(
+                (-f["length"]).alias("length"), i.alias("at"),
+                (F.octet_length(f["whole"]) - F.octet_length(f["short"])).alias("saved"))),
+            lambda f: f["saved"].isNotNull()))
+
+        def take(acc: Column, cut: Column) -> Column:
+            more = acc["bytes"] > max_bytes
+            return F.struct((acc["bytes"] - F.when(more, cut["saved"]).otherwise(0)).alias("bytes"),
+                            F.when(more, F.array_append(acc["places"], cut["at"])).otherwise(acc["places"]).alias("places"))
+
+        start = F.struct(total.alias("bytes"), F.array().cast("array<int>").alias("places"))
+        places = F.aggregate(cuts, start, take, lambda acc: acc["places"])
+        return let(places, lambda at: F.concat(F.lit("{"), F.array_join(F.transform(
+            fields, lambda f, i: F.when(F.array_contains(at, i), f["short"]).otherwise(f["whole"])), ","), F.lit("}")))
+
+    return let(F.transform(F.map_entries(as_object(v)), field), rebuilt)
 
 
 def array_prefix(v: Column, max_bytes: int) -> Column:
@@ -448,14 +460,9 @@ def array_prefix(v: Column, max_bytes: int) -> Column:
 def truncate_responses(
     df: DataFrame, body: str, max_bytes: int = K.DEFAULT_MAX_BYTES
 ) -> DataFrame:
-    """Add ``data`` and ``truncated``: the JSON text cut to ``max_bytes``. A value that fits, and an
-    array that fits after losing items from its end, never leave the JVM; only an object, a text or
-    one oversized item is handed to Python, every other row sends it a null."""
-
-    @F.pandas_udf(T.StringType())
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _cut_json(t, max_bytes))
-
+    """Add ``data`` and ``truncated``: the JSON text cut to ``max_bytes``. An array loses items from its end; the one
+    item left, or an object, has its long texts cut; a text keeps its begin. An item that is still too
+    large is given up."""
     staged = (
         df.withColumn("__v", parse(body))
         .withColumn("__text", F.to_json("__v"))
@@ -465,12 +472,17 @@ def truncate_responses(
             & F.col("__kind").isin("object", "array", "string"), F.lit(False)))
         .withColumn("__short", F.when(F.col("truncated") & (F.col("__kind") == "array"),
                                       array_prefix(F.col("__v"), max_bytes)))
-        .withColumn("__hard", F.when(
-            F.col("truncated"),
-            F.when(F.col("__kind") != "array", F.col("__text"))
-            .when(F.octet_length("__short") > max_bytes, F.col("__short"))))
     )
-    return staged.withColumn(
-        "data",
-        F.when(F.col("truncated"), F.coalesce(cut("__hard"), F.col("__short"))).otherwise(F.col(body)),
-    ).drop("__v", "__text", "__kind", "__short", "__hard")
+    first = F.try_variant_get("__v", "$[0]", "variant")
+    item = F.when(variant_type(first) == "object",
+                  F.concat(F.lit("["), _shorter_fields(first, max_bytes - 2), F.lit("]")))
+    one = let(item, lambda x: F.when(F.octet_length(x) <= max_bytes, x).otherwise("[]"))
+    kind = F.col("__kind")
+    cut = (
+        F.when((kind == "array") & (F.octet_length("__short") <= max_bytes), F.col("__short"))
+        .when(kind == "array", one)
+        .when(kind == "object", _shorter_fields(F.col("__v"), max_bytes))
+        .otherwise(_text_prefix(F.try_variant_get("__v", "$", "string"), max_bytes))
+    )
+    return staged.withColumn("data", F.when(F.col("truncated"), cut).otherwise(F.col(body))).drop(
+        "__v", "__text", "__kind", "__short")
