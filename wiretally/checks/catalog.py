@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wiretally import constants as K
 from wiretally.checks.base import query
 from wiretally.checks.sqlparts import EXR, KEYED, WITH, entropy_of, in_list
-from wiretally.checks.traffic import ex, keyed
+from wiretally.checks.traffic import TEMPLATE, ex, keyed
 from wiretally.functions import bodies, urls
 from wiretally.operators import catalog, drift, merge, reports, requests, traffic
 from wiretally.sources import derived as D
@@ -389,13 +389,15 @@ def _(spark, sf):
 SELECT c.domain, c.key, h.name, CASE WHEN h.name IN {in_list(K.EXPORT_SENSITIVE_HEADERS)} THEN '[stored]' ELSE h.value END AS value
 FROM cat c, (VALUES ('accept'), ('authorization'), ('x-api-key'), ('x-csrf-token'), ('cookie'), ('x-request-id')) AS n(name),
  LATERAL (SELECT n.name AS name, CASE n.name WHEN 'accept' THEN 'application/json' WHEN 'authorization' THEN h_authorization WHEN 'x-api-key' THEN h_api_key
-   WHEN 'x-csrf-token' THEN h_csrf WHEN 'cookie' THEN h_cookie ELSE h_request_id END AS value) AS h WHERE h.value IS NOT NULL""")
+   WHEN 'x-csrf-token' THEN h_csrf WHEN 'cookie' THEN h_cookie ELSE h_request_id END AS value) AS h WHERE h.value IS NOT NULL
+UNION ALL SELECT domain, key, ':template', {TEMPLATE} FROM cat""")
 def _(spark, sf):
-    e = endpoints(spark, sf).select("domain", "key", F.col("request_body"))
+    e = endpoints(spark, sf).select("domain", "key", "request_template")
     raw = traffic.endpoint_winners(keyed(spark, sf)).select("domain", "key", "seq").join(ex(spark, sf).select("seq", F.col("request_headers").alias("headers")), "seq").join(e, ["domain", "key"])
     out = catalog.export_scrubbed(raw)
     names = ["accept", "authorization", "x-api-key", "x-csrf-token", "cookie", "x-request-id"]
-    return out.select("domain", "key", F.explode("headers").alias("name", "value")).filter(F.col("name").isin(names))
+    return out.select("domain", "key", F.explode("headers").alias("name", "value")).filter(F.col("name").isin(names)).unionByName(
+        out.select("domain", "key", F.lit(":template").alias("name"), F.col("request_template").alias("value")))
 
 
 # ------------------------------------------------------------------------------------------
@@ -477,21 +479,32 @@ def _(spark, sf):
 
 
 @query("pick_endpoints", f"""{CAT},
- pg AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'api.shop.example.com' WHEN 1 THEN 'www.shop.example.com' ELSE 'nope.example.com' END AS domain,
-   CASE page_id % 4 WHEN 0 THEN '/' WHEN 1 THEN '/api/v1/products/:product_id/x' WHEN 2 THEN '/items' ELSE '/zzz' END AS path FROM pages),
- cd AS (SELECT domain, id, path AS t, first_us FROM cat WHERE method = 'GET' AND tier IN ('green', 'yellow', 'unknown')),
+ pg AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'api.shop.example.com' WHEN 1 THEN 'www.shop.example.com' WHEN 2 THEN 'nope.example.com'
+     WHEN 3 THEN 'api.shop.example.com' WHEN 4 THEN 'www.shop.example.com' ELSE 'many.example.com' END AS domain,
+   CASE WHEN page_id % 6 = 5 THEN '/orders/k' || page_id || '/z' WHEN page_id % 4 = 0 THEN '/' WHEN page_id % 4 = 1 THEN '/api/v1/products/:product_id/x'
+     WHEN page_id % 4 = 2 THEN '/items' ELSE '/zzz' END AS path FROM pages),
+ cd AS (SELECT domain, id, path AS t, first_us FROM cat WHERE method = 'GET' AND tier IN ('green', 'yellow', 'unknown')
+   UNION ALL SELECT 'many.example.com', 'o' || o_orderkey, '/orders/k' || o_orderkey || '/z/:id', o_orderkey FROM orders),
  r AS (SELECT pg.page_id, pg.domain, cd.id, pg.path <> '/' AND (contains(pg.path, cd.t) OR contains(cd.t, pg.path)) AS hit,
    row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN pg.path <> '/' AND (contains(pg.path, cd.t) OR contains(cd.t, pg.path)) THEN 0 ELSE 1 END, first_us) AS rn
    FROM pg LEFT JOIN cd USING (domain))
 SELECT page_id, domain, id AS endpoint_id, coalesce(hit, false) AS overlaps FROM r WHERE rn = 1""")
 def _(spark, sf):
     n = F.col("page_id")
+    order_path = F.concat(F.lit("/orders/k"), n, F.lit("/z"))
     p = D.table(spark, sf, "pages").select(
         "page_id",
-        F.when(n % 3 == 0, "api.shop.example.com").when(n % 3 == 1, "www.shop.example.com").otherwise("nope.example.com").alias("domain"),
-        F.when(n % 4 == 0, "/").when(n % 4 == 1, "/api/v1/products/:product_id/x").when(n % 4 == 2, "/items").otherwise("/zzz").alias("path"),
+        F.when(n % 6 == 5, "many.example.com").when(n % 6 == 2, "nope.example.com")
+        .when(n % 3 == 0, "api.shop.example.com").otherwise("www.shop.example.com").alias("domain"),
+        F.when(n % 6 == 5, order_path).when(n % 4 == 0, "/").when(n % 4 == 1, "/api/v1/products/:product_id/x")
+        .when(n % 4 == 2, "/items").otherwise("/zzz").alias("path"),
     )
-    return requests.pick_endpoints(p, endpoints(spark, sf))
+    k = F.col("o_orderkey")
+    many = D.table(spark, sf, "orders").select(
+        F.lit("many.example.com").alias("domain"), F.concat(F.lit("o"), k).alias("id"), F.lit("GET").alias("method"),
+        F.concat(F.lit("/orders/k"), k, F.lit("/z/:id")).alias("path"), F.lit("green").alias("tier"), k.alias("pos"))
+    known = endpoints(spark, sf).select("domain", "id", "method", "path", "tier", "pos")
+    return requests.pick_endpoints(p, known.unionByName(many))
 
 
 @query("verified_tiers", f"""{CAT}, r AS (SELECT *, length(key) % 6 AS kk FROM cat)

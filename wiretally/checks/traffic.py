@@ -334,13 +334,16 @@ def _(spark, sf):
 _DYN = "(?i)" + "|".join(b(p) for p in K.DYNAMIC_KEY_PARTS)
 
 
+_VARIABLE = f"""NOT contains(path, '[') AND (
+   (regexp_matches(key, {lit(_DYN)}) AND type <> 'NULL') OR type IN ('UBIGINT', 'BIGINT', 'DOUBLE')
+   OR (type = 'VARCHAR' AND (regexp_matches(val, '^\\d{{4}}-\\d{{2}}-\\d{{2}}(T\\d{{2}}:\\d{{2}}|$)')
+     OR (length(val) > 15 AND regexp_full_match(val, '[a-zA-Z0-9+/=_-]+')) OR regexp_full_match(val, '\\d{{4,}}'))))"""
+
+
 @query("body_variables", f"""{WITH}{EXR},
  n AS (SELECT seq, t.key, t.type, t.atom ->> '$' AS val, replace(t.fullkey[3:], '"', '') AS path
    FROM exr, json_tree(CAST(req_body AS JSON)) AS t WHERE exr.kind IN ('order', 'login') AND t.key IS NOT NULL),
- hit AS (SELECT seq, path FROM n WHERE NOT contains(path, '[') AND (
-   (regexp_matches(key, {lit(_DYN)}) AND type <> 'NULL') OR type IN ('UBIGINT', 'BIGINT', 'DOUBLE')
-   OR (type = 'VARCHAR' AND (regexp_matches(val, '^\\d{{4}}-\\d{{2}}-\\d{{2}}(T\\d{{2}}:\\d{{2}}|$)')
-     OR (length(val) > 15 AND regexp_full_match(val, '[a-zA-Z0-9+/=_-]+')) OR regexp_full_match(val, '\\d{{4,}}')))))
+ hit AS (SELECT seq, path FROM n WHERE {_VARIABLE})
 SELECT seq, string_agg(path, ',' ORDER BY path) AS variables FROM hit GROUP BY seq""")
 def _(spark, sf):
     e = ex(spark, sf).filter(F.col("kind").isin("order", "login"))
@@ -435,8 +438,7 @@ def _(spark, sf):
     return traffic.first_occurrence(keyed(spark, sf)).select("seq", "is_new")
 
 
-@query("body_diff", f"""{WITH}{KEYED},
- ord AS (SELECT *, row_number() OVER (PARTITION BY domain, key ORDER BY ts_us, seq) AS rn,
+_DIFF = f""" ord AS (SELECT *, row_number() OVER (PARTITION BY domain, key ORDER BY ts_us, seq) AS rn,
     count(*) OVER (PARTITION BY domain, key) AS n FROM keyed WHERE method = 'POST' AND NOT body_missing),
  multi AS (SELECT * FROM ord WHERE n > 1),
  node AS (SELECT domain, multi.key, rn, t.fullkey, regexp_replace(regexp_replace(t.fullkey[3:], '"', '', 'g'), '^\\.', '') AS path,
@@ -458,22 +460,44 @@ def _(spark, sf):
      WHERE NOT EXISTS (SELECT 1 FROM node o WHERE o.domain = f.domain AND o.key = f.key AND o.rn = b.rn AND o.path = f.path)
      AND NOT EXISTS (SELECT 1 FROM arr WHERE arr.domain = f.domain AND arr.key = f.key AND arr.rn = b.rn AND f.path LIKE arr.path || '[%')),
  frm AS (SELECT domain, key, n, unnest(string_split(req_body, '&')) AS kv FROM multi WHERE kind IN ('profile', 'oauth')),
- fk AS (SELECT domain, key, n, string_split(kv, '=')[1] AS path, string_split(kv, '=')[2] AS val FROM frm)
-SELECT DISTINCT domain, key, path FROM diff
-UNION ALL SELECT domain, key, path FROM fk GROUP BY domain, key, n, path HAVING count(*) < n OR min(val) <> max(val)""")
+ fk AS (SELECT domain, key, n, string_split(kv, '=')[1] AS path, string_split(kv, '=')[2] AS val FROM frm),
+ changed AS (SELECT DISTINCT domain, key, path FROM diff
+   UNION ALL SELECT domain, key, path FROM fk GROUP BY domain, key, n, path HAVING count(*) < n OR min(val) <> max(val))"""
+
+
+@query("body_diff", f"""{WITH}{KEYED},
+{_DIFF}
+SELECT domain, key, path FROM changed""")
 def _(spark, sf):
     return traffic.body_diff(keyed(spark, sf))
 
 
+# the catalog's first exchanges, and the template of their bodies
+TEMPLATE = f"""CASE WHEN body_missing OR req_body IS NULL THEN NULL
+  WHEN kind = 'oauth' THEN regexp_replace(req_body, '(client_secret|refresh_token)=[^&]*', '\\1=[scrubbed]', 'g')
+  WHEN kind = 'profile' THEN {scrub_sql('req_body')}
+  ELSE {scrub_sql("regexp_replace(req_body, '\"(csrf_token|password)\":\"[^\"]*\"', '\"\\1\":\"[scrubbed]\"', 'g')")} END"""
+
+
 @query("catalog_with_variables", f"""{WITH}{KEYED},
- w AS (SELECT *, row_number() OVER (PARTITION BY domain, key ORDER BY body_missing, ts_us, seq) AS rn FROM keyed)
+{_DIFF},
+ w AS (SELECT *, row_number() OVER (PARTITION BY domain, key ORDER BY body_missing, ts_us, seq) AS rn FROM keyed),
+ first AS (SELECT * FROM w WHERE rn = 1),
+ leaf AS (SELECT domain, first.key AS endpoint, t.key, t.type, t.atom ->> '$' AS val, replace(t.fullkey[3:], '"', '') AS path
+   FROM first, json_tree(CAST(req_body AS JSON)) AS t WHERE first.kind IN ('order', 'login') AND NOT body_missing AND t.key IS NOT NULL),
+ own AS (SELECT domain, endpoint AS key, path FROM leaf WHERE {_VARIABLE}
+   UNION ALL SELECT domain, key, unnest(['variables.after', 'variables.id', 'variables.opts.first']) FROM first WHERE kind = 'graphql' AND NOT body_missing),
+ vars AS (SELECT domain, key, string_agg(path, ',' ORDER BY path) AS variables FROM (
+   SELECT domain, key, path FROM own UNION SELECT domain, key, path FROM changed) GROUP BY domain, key)
 SELECT domain, key, CASE WHEN method = 'POST' AND NOT body_missing THEN h_content_type END AS body_type,
-  CASE WHEN kind = 'order' AND NOT body_missing THEN 'csrf_token' END AS refreshable FROM w WHERE rn = 1""")
+  CASE WHEN kind = 'order' AND NOT body_missing THEN 'csrf_token' END AS refreshable,
+  {TEMPLATE} AS template, CASE WHEN method = 'POST' AND NOT body_missing THEN coalesce(variables, '') END AS variables
+FROM first LEFT JOIN vars USING (domain, key)""")
 def _(spark, sf):
     e = traffic.build_catalog(ex(spark, sf))
+    assert not {"request_body", "response_body"} & set(e.columns)
     return e.select(
         "domain", "key", "body_type",
         F.nullif(F.array_join("refreshable_tokens", ","), F.lit("")).alias("refreshable"),
+        F.col("request_template").alias("template"), F.array_join("body_variables", ",").alias("variables"),
     )
-
-

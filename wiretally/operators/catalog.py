@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wiretally import constants as K
 from wiretally.functions import headers, urls
@@ -245,7 +246,10 @@ def catalog_url_safety(domains: DataFrame, endpoints: DataFrame) -> DataFrame:
 def catalog_fingerprint(capped: DataFrame) -> DataFrame:
     """Digest of a domain's endpoints in canonical form, for change detection. Row digests are made
     first; the per-domain list is bounded, because the input is capped per domain."""
-    columns = sorted(c for c in capped.columns if c not in ("domain", "provenance"))
+    columns = [
+        F.array_sort(F.map_entries(f.name)).alias(f.name) if isinstance(f.dataType, T.MapType) else F.col(f.name)
+        for f in sorted(capped.schema.fields, key=lambda f: f.name) if f.name not in ("domain", "provenance")
+    ]
     canonical = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "true"}), 256)
     rows = capped.select("domain", canonical.alias("digest"))
     return rows.groupBy("domain").agg(
@@ -297,6 +301,6 @@ def validate_import(domains: DataFrame, endpoints: DataFrame, signatures: DataFr
 def export_scrubbed(endpoints: DataFrame) -> DataFrame:
     """Endpoints ready to leave the house: secret headers stored, body templates scrubbed."""
     out = endpoints.withColumn("headers", headers.scrub_export_headers("headers"))
-    if "request_body" in endpoints.columns:
-        out = out.withColumn("request_body", scrub_body("request_body"))
+    if "request_template" in endpoints.columns:  # a catalog from elsewhere may hold raw bodies
+        out = out.withColumn("request_template", scrub_body("request_template"))
     return out

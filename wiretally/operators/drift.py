@@ -82,13 +82,13 @@ def schema_diff(expected: DataFrame, actual: DataFrame, *keys: str) -> DataFrame
 def schema_drift(baseline: DataFrame, responses: DataFrame) -> DataFrame:
     """Drift rows of landed responses against the catalog's baseline.
 
-    ``baseline``: (domain, key, response_body), ``responses``: (domain, key, ts_us, response_body).
+    ``baseline``: (domain, key, response_schema), ``responses``: (domain, key, ts_us, response_body).
     """
     # a few rows per endpoint, used three times below
     versions = reliable(schema_versions(responses, "response_body", "domain", "key"))
     keys = ("domain", "key", "version")
     actual = versions.select(*keys, F.explode("nodes").alias("n")).select(*keys, "n.*")
-    base = baseline.select("domain", F.col("key"), bodies.schema_nodes("response_body").alias("nodes"))
+    base = baseline.select("domain", F.col("key"), F.col("response_schema").alias("nodes"))
     expected = (
         versions.select(*keys)
         .join(base.filter(F.col("nodes").isNotNull()), ["domain", "key"])

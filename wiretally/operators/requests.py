@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiretally.functions import paths, urls
-from wiretally.operators.merge import cap_endpoints
 
 REPLAYABLE = ["green", "yellow", "unknown"]
 
@@ -75,26 +74,23 @@ def pick_endpoints(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     """The catalog endpoint that answers a page URL best: the first replayable GET endpoint whose
     path contains the page's path or is contained in it, else the first one.
 
-    A domain's candidates are capped, so they travel as one bounded array next to the domain. The
-    overlap is then tested inside the row, and no pair of page and endpoint becomes a row of its own.
+    Each distinct path of a domain is matched once, however many pages have it, and only overlapping pairs leave
+    the join; a hot domain's partition can be split, because both sides are joined by equality.
 
-    ``pages``: (page_id, domain, path); ``catalog``: domain, id, method, path, tier, pos, provenance,
-    confidence.
+    ``pages``: (page_id, domain, path); ``catalog``: domain, id, method, path, tier, pos.
     """
-    usable = cap_endpoints(catalog).filter(
+    usable = catalog.filter(
         (F.col("method") == "GET") & F.coalesce("tier", F.lit("unknown")).isin(REPLAYABLE)
-    )
-    candidates = usable.groupBy("domain").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "id", F.col("path").alias("template")))).alias("cands")
-    )
-    j = pages.join(candidates, "domain", "left")
-    overlap = F.filter(
-        "cands",
-        lambda x: F.col("path").contains(x["template"]) | x["template"].contains(F.col("path")),
-    )
-    match = F.when(F.coalesce("path", F.lit("/")) != "/", F.get(overlap, F.lit(0)))
-    best = F.coalesce(match, F.get("cands", F.lit(0)))
-    return j.select("page_id", "domain", best["id"].alias("endpoint_id"), match.isNotNull().alias("overlaps"))
+    ).select("domain", "id", "pos", F.col("path").alias("template"))
+    order = F.struct("pos", "id")
+    first = usable.groupBy("domain").agg(F.min_by("id", order).alias("first_id"))
+    asked = pages.filter("path <> '/'").select("domain", "path").distinct()
+    overlap = F.col("path").contains(F.col("template")) | F.col("template").contains(F.col("path"))
+    matched = asked.join(usable, "domain").filter(overlap).groupBy("domain", "path").agg(
+        F.min_by("id", order).alias("match_id"))
+    return pages.join(matched, ["domain", "path"], "left").join(first, "domain", "left").select(
+        "page_id", "domain", F.coalesce("match_id", "first_id").alias("endpoint_id"),
+        F.col("match_id").isNotNull().alias("overlaps"))
 
 
 def verified_tiers(endpoints: DataFrame, results: DataFrame) -> DataFrame:

@@ -162,7 +162,9 @@ def describe_endpoints(rows: DataFrame) -> DataFrame:
     writes = F.col("method").isin("POST", "PUT", "PATCH") & (
         F.coalesce(F.col("request_body"), F.lit("")) != ""
     )
-    json_body = headers.header(F.col("request_headers"), "content-type").contains("json")
+    body_type = headers.header(F.col("request_headers"), "content-type")
+    json_body = body_type.contains("json")
+    form_body = F.coalesce(body_type.contains("x-www-form-urlencoded"), F.lit(False))
     staged = (
         rows.withColumn("query_params", scrub_query_params(urls.query_params("url")))
         .withColumn("headers", safe)
@@ -190,8 +192,7 @@ def describe_endpoints(rows: DataFrame) -> DataFrame:
         headers.pagination_of_params(F.map_keys("query_params")).alias("pagination"),
         F.when(writes & ~skeleton, F.when(json_body & F.col("nodes").isNotNull(),
                                           "application/json").otherwise(
-            F.coalesce(headers.header(F.col("request_headers"), "content-type"),
-                       F.lit("application/octet-stream")))).alias("body_type"),
+            F.coalesce(body_type, F.lit("application/octet-stream")))).alias("body_type"),
         F.coalesce(
             F.when(F.size(graphql_vars) >= 0, graphql_vars), bodies.body_variables(F.col("nodes"))
         ).alias("body_variables"),
@@ -202,8 +203,10 @@ def describe_endpoints(rows: DataFrame) -> DataFrame:
         F.when(skeleton, F.lit(K.SKELETON_CONFIDENCE)).alias("confidence"),
         F.when(skeleton, F.lit("skeleton")).alias("provenance"),
         headers.replay_tier("headers").alias("tier"),
-        F.when(~skeleton, F.col("response_body")).alias("response_body"),
-        F.when(~skeleton, F.col("request_body")).alias("request_body"),
+        # no body leaves this job: a template without secrets, and the types of the response's fields
+        F.when(writes & ~skeleton, F.when(form_body, bodies.scrub_form("request_body")).otherwise(
+            bodies.scrub_body("request_body"))).alias("request_template"),
+        F.when(~skeleton, bodies.schema_nodes("response_body")).alias("response_schema"),
         *[name for name in ("hits", "first_us", "last_us") if name in rows.columns],
     )
 
