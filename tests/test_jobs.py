@@ -213,3 +213,59 @@ def test_time_zone_does_not_matter(spark):
         assert derived._exchanges(spark, sf).agg(F.sum("ts_us")).first()[0] == a
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_two_archives_keep_their_rows_apart(spark, tmp_path):
+    import json
+
+    from wiretally.operators import traffic
+    from wiretally.sources.exchanges import EXCHANGE_SCHEMA, read_har
+
+    def entry(i, host):
+        return {
+            "startedDateTime": f"2024-01-01T00:00:0{i}.250Z",
+            "request": {"url": f"https://{host}/api/v1/things", "method": "GET",
+                        "headers": [{"name": "Accept", "value": "application/json"}]},
+            "response": {"status": 200, "headers": [{"name": "Content-Type", "value": "application/json"}],
+                         "content": {"mimeType": "application/json", "text": f'{{"id":{i}}}'}}}
+
+    for n, host in enumerate(("a.example.com", "b.example.com")):
+        (tmp_path / f"{n}.har").write_text(json.dumps({"log": {"entries": [entry(i, host) for i in range(3)]}}))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        rows = read_har(spark, str(tmp_path))
+        assert rows.schema.names == EXCHANGE_SCHEMA.names
+        got = rows.collect()
+        assert len({r["seq"] for r in got}) == 6 and len({r["session"] for r in got}) == 2
+        assert {str(r["ts"]) for r in got} == {f"2024-01-01 00:00:0{i}.250000" for i in range(3)}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    made = traffic.build_endpoints(traffic.accepted(rows)).collect()
+    assert sorted((r["domain"], r["hits"]) for r in made) == [("a.example.com", 3), ("b.example.com", 3)]
+    first = traffic.first_occurrence(traffic.with_keys(traffic.accepted(rows))).filter("is_new").count()
+    assert first == 2
+
+
+def test_cut_bytes_never_splits_a_character(value):
+    from pyspark.sql import functions as F
+
+    from wiretally.sources.exchanges import cut_bytes
+
+    for text in ("plain text", "ä" * 9, "a" + "ä" * 9, "汉字汉字", "x😀😀😀", "é" + "汉" * 3 + "😀z"):
+        raw = text.encode()
+        for limit in range(1, len(raw) + 2):
+            want = raw[:limit].decode(errors="ignore")
+            assert value(cut_bytes(F.col("t"), limit), t=text) == want, (text, limit)
+
+
+def test_map_order_does_not_change_a_fingerprint(spark):
+    from wiretally.operators.catalog import catalog_fingerprint
+
+    def print_of(a, b, path="/x"):
+        df = spark.sql(f"select 'd' as domain, 'captured' as provenance, '{path}' as path, map('{a}', 1, '{b}', 2) as m")
+        if (a, b) != ("p", "q"):
+            df = spark.sql(f"select 'd' as domain, 'captured' as provenance, '{path}' as path, map('{a}', 2, '{b}', 1) as m")
+        return catalog_fingerprint(df).first()["fingerprint"]
+
+    assert print_of("p", "q") == print_of("q", "p") != print_of("p", "q", "/y")

@@ -364,19 +364,22 @@ def _(spark, sf):
     return catalog.validate_import(domains, eps, states)
 
 
+FINGERPRINTED = ["domain", "provenance", "id", "method", "path", "response_bytes", "response_type", "tier"]
+
+
 @query("catalog_fingerprint", f"""{CAT},
- dg AS (SELECT domain, sha256('{{"id":"' || id || '","method":"' || method || '","path":"' || path || '"}}') AS g FROM cat)
-SELECT domain, count(*) AS endpoints, sha256(string_agg(g, '' ORDER BY g)) AS fingerprint FROM dg GROUP BY domain""")
+ dg AS (SELECT domain, sha256('{{"id":"' || id || '","method":"' || method || '","path":"' || path || '","response_bytes":' || response_bytes
+   || ',"response_type":"' || response_type || '","tier":"' || tier || '"}}') AS g FROM cat)
+SELECT domain, count(*) AS endpoints, sha256(sum(('0x' || substr(g, 1, 15))::BIGINT) || '|' || sum(('0x' || substr(g, 16, 15))::BIGINT) || '|'
+  || sum(('0x' || substr(g, 31, 15))::BIGINT) || '|' || sum(('0x' || substr(g, 46, 15))::BIGINT)) AS fingerprint FROM dg GROUP BY domain""")
 def _(spark, sf):
-    capped = merge.cap_endpoints(endpoints(spark, sf))
-    return catalog.catalog_fingerprint(capped.select("domain", "provenance", "id", "method", "path"))
+    return catalog.catalog_fingerprint(endpoints(spark, sf).select(*FINGERPRINTED))
 
 
 @query("signature_state", f"""{CAT}, dm AS (SELECT DISTINCT domain, length(domain) AS n FROM cat)
 SELECT domain, CASE n % 3 WHEN 0 THEN 'unsigned' WHEN 1 THEN 'valid' ELSE 'invalid' END AS state, n % 3 = 2 AS stale FROM dm""")
 def _(spark, sf):
-    capped = merge.cap_endpoints(endpoints(spark, sf)).select("domain", "provenance", "id", "method", "path")
-    actual = catalog.catalog_fingerprint(capped)
+    actual = catalog.catalog_fingerprint(endpoints(spark, sf).select(*FINGERPRINTED))
     n = F.length("domain") % 3
     stored = actual.filter(n > 0).select(
         "domain", F.when(n == 1, F.col("fingerprint")).otherwise("other").alias("fingerprint"),

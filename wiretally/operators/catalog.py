@@ -243,19 +243,20 @@ def catalog_url_safety(domains: DataFrame, endpoints: DataFrame) -> DataFrame:
     return found.groupBy("domain").agg(F.min_by("reason", F.struct("pos", "reason")).alias("reason"))
 
 
-def catalog_fingerprint(capped: DataFrame) -> DataFrame:
-    """Digest of a domain's endpoints in canonical form, for change detection. Row digests are made
-    first; the per-domain list is bounded, because the input is capped per domain."""
+def catalog_fingerprint(endpoints: DataFrame) -> DataFrame:
+    """Digest of a domain's endpoints in canonical form, for change detection: a digest per endpoint with its maps
+    sorted by key, and the domain's digest over their sums. Sums do not depend on an order, so a domain of
+    any size is one row of numbers in every task."""
     columns = [
         F.array_sort(F.map_entries(f.name)).alias(f.name) if isinstance(f.dataType, T.MapType) else F.col(f.name)
-        for f in sorted(capped.schema.fields, key=lambda f: f.name) if f.name not in ("domain", "provenance")
+        for f in sorted(endpoints.schema.fields, key=lambda f: f.name) if f.name not in ("domain", "provenance")
     ]
-    canonical = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "true"}), 256)
-    rows = capped.select("domain", canonical.alias("digest"))
-    return rows.groupBy("domain").agg(
-        F.count("*").alias("endpoints"),
-        F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256).alias("fingerprint"),
-    )
+    digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "true"}), 256)
+    rows = endpoints.select("domain", digest.alias("digest"))
+    parts = [F.conv(F.substring("digest", at, 15), 16, 10).cast("decimal(20,0)") for at in (1, 16, 31, 46)]
+    sums = rows.groupBy("domain").agg(
+        F.count("*").alias("endpoints"), *[F.sum(p).cast("string").alias(f"p{i}") for i, p in enumerate(parts)])
+    return sums.select("domain", "endpoints", F.sha2(F.concat_ws("|", "p0", "p1", "p2", "p3"), 256).alias("fingerprint"))
 
 
 def signature_state(stored: DataFrame, actual: DataFrame, as_of_us: Column) -> DataFrame:

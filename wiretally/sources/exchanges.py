@@ -60,15 +60,16 @@ def stream_exchanges(
 
 
 def read_har(spark: SparkSession, path: str) -> DataFrame:
-    """HTTP archive files (one JSON document each) as exchanges. ``seq`` numbers the entries of one
-    file by their position."""
+    """HTTP archive files (one JSON document each) as exchanges. ``seq`` is unique over all files: a hash of
+    the file's path in its upper bits, the entry's position in the lower 20. Each file is a session."""
     name_value = "array<struct<name:string,value:string>>"
     schema = (
         "log struct<entries:array<struct<startedDateTime:string,"
         f"request:struct<url:string,method:string,headers:{name_value},postData:struct<text:string>>,"
         f"response:struct<status:int,headers:{name_value},content:struct<mimeType:string,text:string>>>>>"
     )
-    docs = spark.read.schema(schema).option("multiLine", True).json(path)
+    docs = spark.read.schema(schema).option("multiLine", True).json(path).withColumn(
+        "file", F.shiftleft(F.xxhash64("_metadata.file_path").bitwiseAND(F.lit((1 << 43) - 1)), 20))
 
     def header_map(headers: Column) -> Column:
         return F.aggregate(
@@ -80,13 +81,15 @@ def read_har(spark: SparkSession, path: str) -> DataFrame:
             ),
         )
 
-    e = docs.select(F.posexplode("log.entries").alias("pos", "e"))
+    e = docs.select("file", F.posexplode("log.entries").alias("pos", "e")).withColumn("seq", F.col("file") + F.col("pos"))
     ts = F.to_timestamp("e.startedDateTime")
     return e.select(
-        F.col("pos").cast("bigint").alias("seq"),
-        ts.cast("timestamp_ntz").alias("ts"),
+        "seq",
+        # UTC whatever the session's time zone is
+        (F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+         + F.make_dt_interval(secs=F.unix_micros(ts) / 1_000_000)).alias("ts"),
         F.unix_micros(ts).alias("ts_us"),
-        F.lit(0).cast("bigint").alias("session"),
+        F.col("file").alias("session"),
         F.col("pos").cast("bigint").alias("request_id"),
         F.col("e.request.url").alias("url"),
         F.col("e.request.method").alias("method"),
@@ -125,8 +128,16 @@ def request_events(exchanges: DataFrame) -> DataFrame:
 
 
 def cut_bytes(text: Column | str, limit: int = K.BODY_CUT_BYTES) -> Column:
-    """A text cut at ``limit`` characters; most bodies are shorter and stay as they are."""
-    return F.when(F.octet_length(c(text)) > limit, F.substring(c(text), 1, limit)).otherwise(c(text))
+    """The longest begin of a text that has at most ``limit`` bytes; a character is never cut in two."""
+    raw = F.substring(c(text).cast("binary"), 1, limit)
+    # the begin ends inside a character where bytes like 10xxxxxx follow a head that promises more of them
+    hexed = F.hex(F.substring(raw, -4, 4))
+    torn = F.regexp_extract(hexed, "(?:[CDEF][0-9A-F](?:[89AB][0-9A-F])*)$", 0)
+    have = F.length(torn) / 2
+    promised = F.when(torn >= "F0", 4).when(torn >= "E0", 3).otherwise(2)
+    extra = F.when((torn != "") & (have < promised), have).otherwise(0).cast("int")
+    cut = F.substring(raw, F.lit(1), F.lit(limit) - extra).cast("string")
+    return F.when(F.octet_length(c(text)) > limit, cut).otherwise(c(text))
 
 
 def split_by_size(df: DataFrame, text: str, limit: int) -> tuple[DataFrame, DataFrame]:
