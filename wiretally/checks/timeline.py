@@ -39,12 +39,12 @@ def _(spark, sf):
     return sessions.idle_gaps(sessions.new_endpoints(keyed(spark, sf)), idle_s=_GAP)
 
 
-@query("capture_sessions", f"""{WITH}{KEYED},
- s AS (SELECT session, ts_us, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY session ORDER BY ts_us) < {_GAP}000000 THEN 0 ELSE 1 END AS st FROM keyed),
+@query("capture_sessions", f"""{_NEWS},
+ s AS (SELECT session, ts_us, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY session ORDER BY ts_us) < {_GAP}000000 THEN 0 ELSE 1 END AS st FROM news),
  n AS (SELECT *, sum(st) OVER (PARTITION BY session ORDER BY ts_us) AS grp FROM s)
 SELECT session, count(*) AS endpoints, min(ts_us) AS start_us, max(ts_us) AS end_us FROM n GROUP BY session, grp""")
 def _(spark, sf):
-    return sessions.capture_sessions(keyed(spark, sf), idle_s=_GAP)
+    return sessions.capture_sessions(sessions.new_endpoints(keyed(spark, sf)), idle_s=_GAP)
 
 
 @query("last_endpoints", f"""{_NEWS},
@@ -80,7 +80,19 @@ def calls(df):
     return df.select((F.col("session") % 5).alias("key"), "seq", "ts_us")
 
 
-@query("rate_limit")
+# the limiter call by call: its memory is the list of calls that it let through in the last window
+_LIMITED = f"""{WITH}{EXR},
+ c AS (SELECT session % 5 AS key, seq, ts_us, row_number() OVER (PARTITION BY session % 5 ORDER BY ts_us, seq) AS n FROM exr),
+ r AS (SELECT key, seq, ts_us, n, true AS allowed, [ts_us] AS kept FROM c WHERE n = 1
+  UNION ALL SELECT c.key, c.seq, c.ts_us, c.n, len(list_filter(r.kept, lambda t: t > c.ts_us - 3600000000)) < 3,
+   CASE WHEN len(list_filter(r.kept, lambda t: t > c.ts_us - 3600000000)) < 3
+     THEN list_append(list_filter(r.kept, lambda t: t > c.ts_us - 3600000000), c.ts_us)
+     ELSE list_filter(r.kept, lambda t: t > c.ts_us - 3600000000) END
+  FROM r JOIN c ON c.key = r.key AND c.n = r.n + 1)
+SELECT key, seq, ts_us, allowed FROM r"""
+
+
+@query("rate_limit", _LIMITED)
 def _(spark, sf):
     return sessions.rate_limit(calls(ex(spark, sf)), 3, 3_600_000)
 
@@ -169,7 +181,7 @@ def _rocksdb(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKSDB)
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", _LIMITED)
 def _(spark, sf):
     _rocksdb(spark)
     return outcome(spark, stateful.limit_stream(calls(stream(spark, sf)), 3, 3_600_000), "limit")

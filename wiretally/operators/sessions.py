@@ -7,7 +7,10 @@ bucket borders.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,9 +59,10 @@ def idle_gaps(news: DataFrame, owner: str = "session", idle_s: int = K.IDLE_SECO
 
 
 def capture_sessions(news: DataFrame, owner: str = "session", idle_s: int = K.IDLE_SECONDS) -> DataFrame:
-    """Sessions of new endpoints separated by idle gaps. Spark merges sessions map-side first."""
+    """Sessions of new endpoints (see :func:`new_endpoints`) separated by idle gaps. Spark merges sessions
+    map-side first."""
     return (
-        news.groupBy(owner, F.session_window("ts", f"{idle_s} seconds").alias("w"))
+        news.withColumn("ts", F.timestamp_micros("ts_us")).groupBy(owner, F.session_window("ts", f"{idle_s} seconds").alias("w"))
         .agg(F.count("*").alias("endpoints"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
         .drop("w")
     )
@@ -91,54 +95,71 @@ def sliding_counts(df: DataFrame, keys: list[str], window_ms: int = K.RATE_WINDO
     )
 
 
-def _limit_group(limit: int, window_us: int):
-    def limit_calls(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_us", "seq"])
-        kept: list[int] = []
-        flags = []
-        for ts in pdf["ts_us"]:
-            kept = [t for t in kept if t > ts - window_us]
-            ok = len(kept) < limit
-            if ok:
-                kept.append(ts)
-            flags.append(ok)
-        return pdf.assign(allowed=flags)[["key", "seq", "ts_us", "allowed"]]
-
-    return limit_calls
-
-
 def rate_limit(calls: DataFrame, limit: int = K.RATE_LIMIT, window_ms: int = K.RATE_WINDOW_MS) -> DataFrame:
     """Which calls a sliding limiter lets through; rejected calls are not counted.
 
-    The limiter forgets everything after a window without calls, so a key is cut there into
-    independent bursts. Only bursts that can hit the limit go to Python; the others pass.
+    A call with at most ``limit`` calls in its window, rejected ones included, passes whatever came before. So
+    only stretches of overload need the limiter's memory: they begin a window before their first doubtful call,
+    where all calls passed, and end with their last one; a window without doubtful calls separates them. A key
+    without overload is never in one task, and a stretch is read in order, keeping ``limit`` times.
     ``calls``: (key, seq, ts_us)."""
     window_us = window_ms * 1000
-    steps = previous_time(
-        calls.select("key", "ts_us").distinct(), ["key"], "ts_us", window_us * 60
-    )
-    starts = steps.filter(
-        F.col("prev_us").isNull() | (F.col("ts_us") - F.col("prev_us") >= window_us)
-    ).select("key", F.col("ts_us").alias("burst"))
-    bursts = _as_of(calls.select("key", "seq", "ts_us"), starts, window_us * 60)
-    sizes = bursts.groupBy("key", "burst").agg(F.count("*").alias("size"))
-    sized = bursts.join(sizes, ["key", "burst"])
-    easy = sized.filter(F.col("size") <= limit).select("key", "seq", "ts_us", F.lit(True).alias("allowed"))
-    hard = sized.filter(F.col("size") > limit).groupBy("key", "burst").applyInPandas(
-        _limit_group(limit, window_us), "key bigint, seq bigint, ts_us bigint, allowed boolean"
-    )
-    return easy.unionByName(hard)
+    bucket_us = window_us * 60
+    rows = calls.select("key", "seq", "ts_us")
+    doubtful = _busy(rows, limit, window_us).filter(~F.col("sure")).select("key", "ts_us").distinct()
+    steps = previous_time(doubtful, ["key"], "ts_us", bucket_us)
+    starts = steps.filter(F.col("prev_us").isNull() | (F.col("ts_us") - F.col("prev_us") > window_us)).select(
+        "key", F.col("ts_us").alias("burst"))
+    spans = _as_of(doubtful.withColumn("seq", F.lit(0).cast("bigint")), starts, bucket_us).groupBy("key", "burst").agg(
+        F.max("ts_us").alias("end_us"))
+    # a stretch takes in the window before its first doubtful call
+    opened = spans.select("key", (F.col("burst") - window_us).alias("burst"))
+    placed = _as_of(rows, opened, bucket_us)
+    ends = spans.select(F.col("key").alias("k"), (F.col("burst") - window_us).alias("b"), "end_us")
+    inside = placed.join(ends, (F.col("key") == F.col("k")) & (F.col("burst") == F.col("b")), "left").withColumn(
+        "hard", F.coalesce(F.col("ts_us") <= F.col("end_us"), F.lit(False)))
+    easy = inside.filter(~F.col("hard")).select("key", "seq", "ts_us", F.lit(True).alias("allowed"))
+    hard = inside.filter("hard").select("key", "burst", "ts_us", "seq").repartition("key", "burst").sortWithinPartitions(
+        "key", "burst", "ts_us", "seq")
+
+    def limiter(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, kept = None, deque()
+        for part in parts:
+            flags = []
+            for key, burst, ts in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                if (key, burst) != place:
+                    place, kept = (key, burst), deque()
+                while kept and kept[0] <= ts - window_us:
+                    kept.popleft()
+                flags.append(len(kept) < limit)
+                if flags[-1]:
+                    kept.append(ts)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(3), part.column(2), pa.array(flags, pa.bool_())],
+                names=["key", "seq", "ts_us", "allowed"])
+
+    return easy.unionByName(hard.mapInArrow(limiter, easy.schema))
+
+
+def _busy(rows: DataFrame, limit: int, window_us: int) -> DataFrame:
+    """Adds ``sure``: at most ``limit`` calls of the key lie in the window up to and including the call's time."""
+    own = F.floor(F.col("ts_us") / F.lit(window_us)).cast("bigint")
+    per_us = rows.groupBy("key", "ts_us").agg(F.count("*").alias("calls")).withColumn("own", own)
+    copies = per_us.withColumn("bucket", F.explode(F.array("own", F.col("own") + 1)))
+    w = Window.partitionBy("key", "bucket").orderBy("ts_us").rangeBetween(-(window_us - 1), 0)
+    return copies.withColumn("sure", F.sum("calls").over(w) <= limit).filter("bucket = own").select("key", "ts_us", "sure")
 
 
 def _as_of(rows: DataFrame, starts: DataFrame, bucket_us: int) -> DataFrame:
-    """Add the latest start at or before each row, bucket-wise like :func:`previous_time`."""
+    """Add the latest start at or before each row, bucket-wise like :func:`previous_time`; null before the first."""
     bucket = lambda c: F.floor(F.col(c) / F.lit(bucket_us)).cast("bigint")
     both = rows.select("key", "seq", "ts_us", F.lit(None).cast("bigint").alias("start")).unionByName(
-        starts.select("key", F.lit(-1).cast("bigint").alias("seq"), F.col("burst").alias("ts_us"),
+        starts.select("key", F.lit(None).cast("bigint").alias("seq"), F.col("burst").alias("ts_us"),
                       F.col("burst").alias("start"))
     ).withColumn("b", bucket("ts_us"))
-    w = Window.partitionBy("key", "b").orderBy("ts_us", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("burst", F.last("start", ignorenulls=True).over(w)).filter("seq >= 0")
+    w = Window.partitionBy("key", "b").orderBy("ts_us", F.col("seq").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, 0)
+    filled = both.withColumn("burst", F.last("start", ignorenulls=True).over(w)).filter("start is null")
     edges = both.groupBy("key", "b").agg(F.max("start").alias("last_start"))
     past = Window.partitionBy("key").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     before = edges.select("key", "b", F.last("last_start", ignorenulls=True).over(past).alias("before"))
