@@ -25,7 +25,7 @@ from wiretally.session import landed
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Pieces that one task numbers.
-SLICE = 50_000
+SLICE = 8192
 
 
 def pieces(docs: DataFrame, max_len: int, texts: bool = False) -> DataFrame:
