@@ -71,11 +71,24 @@ def _(spark, sf):
     )
 
 
-@query("spec_ids_unique", f"{_OPS} SELECT count(*) AS endpoints, count(*) AS distinct_ids FROM op")
+_LONG = "x" * 90
+
+
+@query("spec_ids_unique", f"""
+SELECT s_suppkey AS spec_id, path, id FROM supplier, (VALUES ('/a', 'get-same'), ('/b', 'get-same-2'), ('/c', 'get-same-2-2'), ('/d', 'get-same-3'),
+  ('/e', 'get-{_LONG[:76]}'), ('/f', 'get-{_LONG[:74]}-2'), ('/g', 'get-{_LONG[:74]}-3')) AS t(path, id)
+UNION ALL SELECT spec_id, 'all', count(*) || ' of ' || count(*) FROM ({_OPS} SELECT spec_id FROM op) GROUP BY spec_id""")
 def _(spark, sf):
+    # a natural name that looks numbered, and names longer than an id
+    names = {"/a": "same", "/b": "same", "/c": "same-2", "/d": "same", "/e": _LONG, "/f": _LONG, "/g": _LONG}
+    doc = '{"openapi":"3.0.0","info":{"title":"t"},"servers":[{"url":"https://ids.example.org"}],"paths":{' + ",".join(
+        f'"{p}":{{"get":{{"operationId":"{n}","responses":{{}}}}}}' for p, n in names.items()) + "}}"
+    hard = D.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("spec_id"), F.concat(F.lit("https://s/"), "s_suppkey").alias("spec_url"), F.lit(doc).alias("raw"))
+    ids = specs.spec_operations(specs.profile_specs(specs.read_specs(hard))).select("spec_id", "path", "id")
     o = specs.spec_operations(profiled(spark, sf).filter("problem is null"))
-    per = o.groupBy("spec_id", "id").agg(F.count("*").alias("n"))
-    return per.agg(F.sum("n").alias("endpoints"), F.count("*").alias("distinct_ids"))
+    per = o.groupBy("spec_id").agg(F.concat(F.count_distinct("id"), F.lit(" of "), F.count("*")).alias("id"))
+    return ids.unionByName(per.select("spec_id", F.lit("all").alias("path"), "id"))
 
 
 @query("import_gates", f"""{_SP}
@@ -83,7 +96,7 @@ SELECT spec_id, CASE WHEN problem IS NOT NULL THEN 'fail: ' || problem WHEN requ
  WHEN form = 'v3' AND spec_id % 4 = 2 THEN 'skip: placeholder host' WHEN form = 'v3' AND spec_id % 4 IN (0, 1, 3) OR form = 'v2' THEN 'import' END AS outcome FROM pr""")
 def _(spark, sf):
     gated = specs.import_gates(profiled(spark, sf), no_auth_only=True)
-    return gated.select("spec_id", F.regexp_replace("outcome", "skip: placeholder host(?=.+)", "").alias("outcome"))
+    return gated.select("spec_id", "outcome")
 
 
 @query("import_summary", f"""{_SP},
@@ -96,13 +109,15 @@ def _(spark, sf):
     return specs.import_summary(gated, added)
 
 
-@query("import_specs", f"""{_OPS}
-SELECT domain, method, count(DISTINCT base_path || path) AS endpoints FROM op WHERE NOT (form = 'v3' AND spec_id % 4 = 2) GROUP BY ALL""".replace("op WHERE NOT (form", "op WHERE NOT (op.form"))
+@query("import_specs", f"""{_OPS},
+ n AS (SELECT *, row_number() OVER (PARTITION BY op.domain, op.method, base_path || regexp_replace(path, ':[A-Za-z]+', ':_') ORDER BY spec_id DESC, ord DESC) AS rn
+   FROM op WHERE NOT (op.form = 'v3' AND spec_id % 4 = 2))
+SELECT domain, method, base_path || path AS path, spec_url AS spec_source, rtype AS response_type, 'added' AS action FROM n WHERE rn = 1""".replace("SELECT *, row_number", "SELECT op.*, row_number"))
 def _(spark, sf):
     good = specs.import_gates(profiled(spark, sf)).filter("outcome = 'import'")
     new = specs.spec_operations(good).withColumn("pos", F.col("pos").cast("bigint"))
     merged = merge.merge_catalog(new.filter("false"), new)
-    return merge.cap_endpoints(merged).groupBy("domain", "method").agg(F.count("*").alias("endpoints"))
+    return merged.select("domain", "method", "path", "spec_source", "response_type", "action")
 
 
 # ------------------------------------------------------------------------------------------

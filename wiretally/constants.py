@@ -268,3 +268,6 @@ SKELETON_CONFIDENCE = 0.8
 BODY_CUT_BYTES = 512 * 1024
 ELEMENT_LIMIT = 100
 ELEMENT_TEXT_LIMIT = 200
+
+# Characters of a spec operation's id.
+SPEC_ID_CHARS = 80

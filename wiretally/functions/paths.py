@@ -127,7 +127,7 @@ def spec_endpoint_base_id(
     named = F.lower(F.regexp_replace(c(operation_id), "[^A-Za-z0-9]", "-"))
     body = F.when(F.coalesce(c(operation_id), F.lit("")) != "", named).otherwise(_slug(c(path)))
     base = F.regexp_replace(F.concat(F.lower(c(method)), F.lit("-"), body), "-+", "-")
-    return F.substring(F.regexp_replace(base, "^-|-$", ""), 1, 80)
+    return F.substring(F.regexp_replace(base, "^-|-$", ""), 1, K.SPEC_ID_CHARS)
 
 
 def path_defaults(template: Column | str, example_path: Column | str) -> Column:

@@ -65,7 +65,7 @@ def _last(df: DataFrame) -> DataFrame:
     keys = ["domain", "match_method", "match_path"]
     rest = [c for c in keyed.columns if c not in keys]
     return keyed.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.col("pos")).alias("x")
+        F.max_by(F.struct(*rest), F.struct(*[c for c in ("spec_id", "pos", "spec_source", "path") if c in rest])).alias("x")
     ).select(*keys, "x.*")
 
 

@@ -7,8 +7,11 @@ endpoint rows leave the fold. VARIANT sorts object keys, so "first" means first
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import itertools
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -259,8 +262,8 @@ def _body(op: str) -> str:
 
 
 def spec_operations(profiled: DataFrame) -> DataFrame:
-    """Endpoints of profiled documents: one row per path and method, at most 500 per document, best
-    confidence first. Columns are those the catalog merge takes."""
+    """Endpoints of profiled documents: one row per path and method. Columns are those the catalog merge takes; a cap
+    per domain is the merge's business."""
     methods = ", ".join(f"'{m}'" for m in K.HTTP_METHODS)
     ops = f"""flatten(transform(map_entries(coalesce(try_variant_get(doc, '$.paths', 'map<string,variant>'),
         cast(map() as map<string,variant>))), e -> transform(
@@ -342,22 +345,39 @@ def _finish(o: DataFrame) -> DataFrame:
     return number_ids(rows)
 
 
-def number_ids(rows: DataFrame) -> DataFrame:
-    """Ids with their collision number, then the best 500 of each document. A document is one small
-    group: it was one row a moment ago."""
-    from pyspark.sql import Window
+def free_ids(bases: list[str], size: int = K.SPEC_ID_CHARS) -> list[str]:
+    """Ids of a document's operations in their order: a base that is taken gets the least number from 2 on that is
+    free. The base is shortened before the number, so that a long one keeps it."""
+    seen: set[str] = set()
+    tried: dict[str, int] = {}
+    out = []
+    for base in bases:
+        name, n = base, tried.get(base, 1)
+        while name in seen:
+            n += 1
+            name = f"{base[:size - len(str(n)) - 1]}-{n}"
+        tried[base] = n
+        seen.add(name)
+        out.append(name)
+    return out
 
-    same = Window.partitionBy("spec_id", "base_id").orderBy("pos")
-    best = Window.partitionBy("spec_id").orderBy(F.col("confidence").desc(), "pos")
-    n = F.row_number().over(same)
-    return (
-        rows.withColumn("n", n)
-        .withColumn("id", F.when(F.col("n") == 1, F.col("base_id")).otherwise(
-            F.substring(F.concat("base_id", F.lit("-"), F.col("n").cast("string")), 1, 80)))
-        .withColumn("place", F.row_number().over(best))
-        .filter(F.col("place") <= K.MAX_ENDPOINTS_PER_DOMAIN)
-        .drop("n", "base_id", "place")
-    )
+
+def number_ids(rows: DataFrame) -> DataFrame:
+    """Rows with their ``id``. Whether an id is free depends on all ids before it, which no built-in function can say;
+    only the documents' lists of base ids go through the helper, and a document was one row a moment ago."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            lists = part.column("ids").to_pylist()
+            ids = [free_ids([x["base_id"] for x in ids]) for ids in lists]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, ids in zip(part.column("spec_id").to_pylist(), lists, strict=True) for _ in ids], pa.int64()),
+                 pa.array([x["pos"] for ids in lists for x in ids], pa.int32()),
+                 pa.array([x for y in ids for x in y], pa.string())], names=["id_spec", "id_pos", "id"])
+
+    lists = rows.groupBy("spec_id").agg(F.array_sort(F.collect_list(F.struct("pos", "base_id"))).alias("ids"))
+    ids = lists.select(F.col("spec_id").cast("bigint"), "ids").mapInArrow(run, "id_spec bigint, id_pos int, id string")
+    return rows.join(ids, (F.col("spec_id") == F.col("id_spec")) & (F.col("pos") == F.col("id_pos"))).drop(
+        "base_id", "id_spec", "id_pos")
 
 
 def import_gates(profiled: DataFrame, no_auth_only: bool = False) -> DataFrame:
