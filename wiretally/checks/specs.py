@@ -91,6 +91,22 @@ def _(spark, sf):
     return ids.unionByName(per.select("spec_id", F.lit("all").alias("path"), "id"))
 
 
+@query("deep_references", "SELECT s_suppkey AS spec_id, 'object' AS type, 'deep' AS fields FROM supplier")
+def _(spark, sf):
+    # a response behind a chain of 12 to 31 references
+    last = (12 + F.col("s_suppkey") % 20).cast("int")
+    chain = F.array_join(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.concat(
+        F.lit('"S'), i, F.lit('":{"$ref":"#/components/schemas/S'), i + 1, F.lit('"},'))), "")
+    raw = F.concat(
+        F.lit('{"openapi":"3.0.0","info":{"title":"t"},"servers":[{"url":"https://deep.example.org"}],"paths":{"/x":{"get":{"responses":'
+              '{"200":{"content":{"application/json":{"schema":{"$ref":"#/components/schemas/S0"}}}}}}}},"components":{"schemas":{'),
+        chain, F.lit('"S'), last, F.lit('":{"type":"object","properties":{"deep":{"type":"string"}}}}}}'))
+    docs = D.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("spec_id"), F.concat(F.lit("https://s/"), "s_suppkey").alias("spec_url"), raw.alias("raw"))
+    o = specs.spec_operations(specs.profile_specs(specs.read_specs(docs)))
+    return o.select("spec_id", F.col("response_type").alias("type"), F.array_join("response_fields", ",").alias("fields"))
+
+
 @query("import_gates", f"""{_SP}
 SELECT spec_id, CASE WHEN problem IS NOT NULL THEN 'fail: ' || problem WHEN requires_auth THEN 'skip: requires auth'
  WHEN form = 'v3' AND spec_id % 4 = 2 THEN 'skip: placeholder host' WHEN form = 'v3' AND spec_id % 4 IN (0, 1, 3) OR form = 'v2' THEN 'import' END AS outcome FROM pr""")

@@ -290,6 +290,16 @@ def _(spark, sf):
     )
 
 
+@query("deep_json", "SELECT doc_id, 61 + doc_id % 50 AS nodes, repeat('[0]', CAST(60 + doc_id % 50 AS INT)) AS path FROM documents")
+def _(spark, sf):
+    # arrays in arrays, 60 to 109 levels deep
+    deep = (60 + F.col("doc_id") % 50).cast("int")
+    d = D.table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.repeat(F.lit("["), deep), F.col("doc_id").cast("string"), F.repeat(F.lit("]"), deep)).alias("b"))
+    nodes = d.select("doc_id", bodies.json_nodes("b").alias("n"))
+    return nodes.select("doc_id", F.size("n").cast("bigint").alias("nodes"), F.element_at("n", -1)["path"].alias("path"))
+
+
 @query("response_shape", f"""{WITH}{EXR},
  j AS (SELECT seq, kind, TRY_CAST(CASE WHEN kind NOT IN ('down', 'noise') THEN resp_body END AS JSON) AS v, resp_body FROM exr)
 SELECT seq, coalesce(lower(json_type(v)), 'unknown') AS shape,

@@ -13,9 +13,6 @@ from wiretally import constants as K
 from wiretally.functions.common import any_of, c, let
 from wiretally.functions.text import scrub_pii
 
-# Nesting beyond this is not unrolled. Parsers refuse such texts long before.
-MAX_NESTING = 64
-
 _AS_MAP = "map<string,variant>"
 _AS_ARRAY = "array<variant>"
 
@@ -90,13 +87,18 @@ named_struct('path', f.path, 'parent', f.parent, 'key', f.key, 'chain', f.chain,
 """
 
 
-def json_nodes(text_sql: str, depth: int = MAX_NESTING) -> Column:
+def _levels(text_sql: str) -> str:
+    """SQL of a bound of a text's nesting: its opening brackets. Rounds after the last level do nothing."""
+    return f"length({text_sql}) - length(translate({text_sql}, '[{{', '')) + 1"
+
+
+def json_nodes(text_sql: str) -> Column:
     """All nodes below the root of a JSON text column, and the root itself with path ''. Null when
     the text is not JSON. ``text_sql`` is a column name or SQL expression."""
     return F.expr(
         f"""
     transform(array(try_parse_json({text_sql})), root -> case when root is not null then aggregate(
-      sequence(1, {depth}),
+      sequence(1, {_levels(text_sql)}),
       transform(array(array(named_struct('path', '', 'parent', cast(null as string), 'key',
           cast(null as string), 'chain', '', 'in_array', false, 'v', root))), ps ->
         transform(array(transform(ps, p -> {_EXPAND})), front -> named_struct(
@@ -140,7 +142,7 @@ named_struct('path', f.path, 'parent', f.parent, 'key', f.key, 'chain', f.chain,
     return F.expr(
         f"""
     transform(array(try_parse_json({text_sql})), root -> case when root is not null then aggregate(
-      sequence(1, {MAX_NESTING}),
+      sequence(1, {_levels(text_sql)}),
       transform(array(array(named_struct('path', '', 'parent', cast(null as string), 'key',
           cast(null as string), 'chain', '', 'depth', 0, 'v', root))), ps ->
         transform(array(transform(ps, p -> {expand})), front -> named_struct(

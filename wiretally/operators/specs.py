@@ -20,7 +20,6 @@ from wiretally.functions import paths, urls
 from wiretally.functions.common import let
 from wiretally.operators.merge import PARAMS, param
 
-REF_DEPTH = 11
 _ids = itertools.count()
 
 
@@ -167,12 +166,14 @@ def resolve(v: str, refs: str = "refs") -> str:
     done = f"""not exists({a}.front, {f} -> coalesce(
         try_variant_get({f}.v, '$.allOf', 'variant'), try_variant_get({f}.v, '$.oneOf', 'variant'),
         try_variant_get({f}.v, '$.anyOf', 'variant'), try_variant_get({f}.v, "$['$ref']", 'variant')) is not null)"""
-    return f"""aggregate(sequence(1, {REF_DEPTH}),
+    return f"""aggregate(sequence(1, steps),
       named_struct('front', cast(filter(array(named_struct('v', {v}, 'seen', array(''))),
-          {f} -> {f}.v is not null) as array<{item}>), 'merged', false),
-      ({a}, {s}) -> case when {done} then {a} else named_struct(
+          {f} -> {f}.v is not null) as array<{item}>), 'merged', false, 'done', false),
+      ({a}, {s}) -> case when {a}.done then {a} when {done} then named_struct(
+        'front', {a}.front, 'merged', {a}.merged, 'done', true) else named_struct(
         'front', cast({step} as array<{item}>),
-        'merged', {a}.merged or exists({a}.front, {f} -> try_variant_get({f}.v, '$.allOf', 'array<variant>') is not null)) end,
+        'merged', {a}.merged or exists({a}.front, {f} -> try_variant_get({f}.v, '$.allOf', 'array<variant>') is not null),
+        'done', false) end,
       {a} -> named_struct('leaves', transform(filter({a}.front, {f} -> try_variant_get({f}.v, "$['$ref']", 'string') is null),
         {f} -> {f}.v), 'merged', {a}.merged))"""
 
@@ -280,6 +281,8 @@ def spec_operations(profiled: DataFrame) -> DataFrame:
         'body', case when o.method in ('post', 'put', 'patch') then {_body('o')} end))"""
     staged = (
         profiled.withColumn("refs", reference_table())
+        # a chain follows each reference once and opens each composition of the document at most once
+        .withColumn("steps", F.expr("size(refs) + regexp_count(to_json(doc), '(all|one|any)Of\"') + 2"))
         .withColumn("ops", F.expr(with_params))
         .withColumn("ops", F.expr(light))
         .select("spec_id", "spec_url", "domain", "base_path", "spec_version", "requires_auth",
