@@ -134,7 +134,7 @@ SELECT page_id, count(*) AS n, CAST(sum(CASE WHEN tag LIKE 'a %' THEN 1 ELSE 0 E
   CAST(sum(CASE WHEN contains(tag, 'type="password"') THEN 1 ELSE 0 END) AS BIGINT) AS passwords
 FROM (SELECT page_id, unnest(tags) AS tag FROM l) GROUP BY page_id""")
 def _(spark, sf):
-    e = responses(spark, sf).select("page_id", F.explode(G.page_elements("html")).alias("e"))
+    e = responses(spark, sf).select("page_id", F.explode(G.page_elements("html", K.ELEMENT_LIMIT)).alias("e"))
     return e.groupBy("page_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("e.tag") == "a").alias("anchors"),
         F.count_if(F.col("e.type") == "password").alias("passwords"),

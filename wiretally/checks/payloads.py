@@ -59,7 +59,7 @@ def _(spark, sf):
     arch = conversations(spark, sf).filter("turn % 2 = 0").select(
         F.concat(F.lit("c"), _s("conv_id"), F.lit("_"), _s("turn")).alias("id"),
         F.lit("arch").alias("author"), F.upper("role").alias("body"))
-    out = P.forum_posts(forum_payloads(spark, sf), arch)
+    out = P.forum_posts(forum_payloads(spark, sf), arch, P.PREVIEW)
     return out.select("title", F.md5("content").alias("digest"), "tokens", "published_at", "description")
 
 
@@ -70,11 +70,11 @@ def items(spark, sf):
         F.when(i % 2 == 0, F.concat(F.lit("text "), _s("c_custkey"))).alias("text"),
         F.when(i % 3 == 0, "https://l.example/x").alias("url"), (i % 50).alias("score"),
         (i % 9).alias("descendants"), F.lit("story").alias("type"), (F.lit(1704067200) + i).alias("time"),
-        F.when(i % 7 == 0, True).alias("deleted"), F.sequence(i + 1, i + i % 13).alias("kids")))
-    return D.table(spark, sf, "customer").filter("c_custkey % 13 > 0").select(i.alias("id"), body.alias("body"))
+        F.when(i % 7 == 0, True).alias("deleted"), F.when(i % 13 > 0, F.sequence(i + 1, i + i % 13)).otherwise(F.array().cast("array<bigint>")).alias("kids")))
+    return D.table(spark, sf, "customer").select(i.alias("id"), body.alias("body"))
 
 
-@query("news_items", """WITH it AS (SELECT c_custkey AS id, c_mktsegment AS seg, c_name AS name, c_custkey % 13 AS nk FROM customer WHERE c_custkey % 13 > 0),
+@query("news_items", """WITH it AS (SELECT c_custkey AS id, c_mktsegment AS seg, c_name AS name, c_custkey % 13 AS nk FROM customer),
  k AS (SELECT it.id, t.i, o.id AS kid, CASE WHEN o.id % 11 = 0 THEN '[deleted]' ELSE o.seg END || ': ' || CASE WHEN o.id % 2 = 0 THEN 'text ' || o.id ELSE '[deleted]' END AS line
    FROM it, unnest(range(1, 11)) AS t(i) JOIN it o ON o.id = it.id + t.i WHERE t.i <= it.nk AND o.id % 7 <> 0),
  l AS (SELECT id, string_agg(line, chr(10) || chr(10) ORDER BY i) AS txt FROM k GROUP BY id),
@@ -83,12 +83,12 @@ SELECT name AS title, CASE WHEN id % 11 <> 0 THEN seg END AS author, md5(content
 def _(spark, sf):
     i = items(spark, sf)
     pages = i.select(F.concat(F.lit("https://news.ycombinator.com/item?id="), _s("id")).alias("url"))
-    return P.news_items(pages, i).select(
+    return P.news_items(pages, i, P.PREVIEW).select(
         "title", "author", F.md5("content").alias("digest"), F.size("links").alias("links"), "canonical")
 
 
 @query("news_front", """WITH p AS (SELECT n_nationkey AS n FROM nation), s AS (SELECT n, t.i, n * 3 + t.i AS id FROM p, unnest(range(0, 10)) AS t(i)),
- j AS (SELECT n, i, c.*, row_number() OVER (PARTITION BY n ORDER BY i) AS rn FROM s JOIN customer c ON c_custkey = id AND c_custkey % 13 > 0)
+ j AS (SELECT n, i, c.*, row_number() OVER (PARTITION BY n ORDER BY i) AS rn FROM s JOIN customer c ON c_custkey = id)
 SELECT 'https://news.ycombinator.com/?p=' || n AS url, string_agg(rn || '. ' || c_name || ' (' || (c_custkey % 50) || ' pts, ' || (c_custkey % 9) || ' comments) by ' || CASE WHEN c_custkey % 11 = 0 THEN '[deleted]' ELSE c_mktsegment END, chr(10) ORDER BY rn) AS content,
  'Top ' || count(*) || ' stories' AS description FROM j GROUP BY n""")
 def _(spark, sf):
@@ -96,7 +96,7 @@ def _(spark, sf):
     pages = D.table(spark, sf, "nation").select(
         F.concat(F.lit("https://news.ycombinator.com/?p="), n.cast("string")).alias("url"),
         F.to_json(F.sequence(n * 3, n * 3 + 20)).alias("body"))
-    return P.news_front(pages, items(spark, sf)).select("url", "content", "description")
+    return P.news_front(pages, items(spark, sf), P.PREVIEW).select("url", "content", "description")
 
 
 def doc_payloads(spark, sf):
@@ -163,7 +163,7 @@ def _(spark, sf):
    END AS content FROM d)
 SELECT url, title, md5(content) AS digest, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens FROM r WHERE k <> 7 AND NOT (k = 6 AND title IS NULL)""")
 def _(spark, sf):
-    out = P.normalise_payloads(doc_payloads(spark, sf)).filter("route <> 'wiki'")
+    out = P.normalise_payloads(doc_payloads(spark, sf), P.PREVIEW).filter("route <> 'wiki'")
     return out.select("url", "title", F.md5("content").alias("digest"), "tokens")
 
 
@@ -172,3 +172,11 @@ SELECT 'https://deepwiki.com/o/r' || doc_id AS url, md5(t) AS digest FROM d WHER
 def _(spark, sf):
     plain = doc_payloads(spark, sf).filter((F.col("doc_id") % 8 == 7) & ~F.col("body").contains("]("))
     return P.normalise_payloads(plain).select("url", F.md5("content").alias("digest"))
+
+
+@query("whole_listings", """SELECT 'https://www.reddit.com/r/a' || doc_id || '/' AS url,
+ (SELECT string_agg(n || '. t' || n || ' (' || n || ' pts, 0 comments) by u/[deleted]', chr(10) ORDER BY n) FROM unnest(range(1, doc_id % 30 + 2)) AS t(n)) AS content
+FROM documents WHERE doc_id % 8 = 0""")
+def _(spark, sf):
+    out = P.normalise_payloads(doc_payloads(spark, sf))
+    return out.filter("route = 'forum'").select("url", "content")

@@ -191,8 +191,8 @@ def is_spa_shell(html: Column | str, root: Column | str) -> Column:
     return (F.length(page_text(root)) < K.SPA_TEXT_LIMIT) & contains_any(html, K.SPA_MARKERS)
 
 
-def page_elements(html: Column | str) -> Column:
-    """The first 100 interactive elements: (ref, tag, text, href, type, name, role, placeholder).
+def page_elements(html: Column | str, limit: int | None = None) -> Column:
+    """Interactive elements, the first ``limit`` if one is given: (ref, tag, text, href, type, name, role, placeholder).
     Layout is unknown here, so hidden elements are not left out."""
     pattern = (
         rf"(?is)<(a(?={S}[^>]*href=)|button|input|select|textarea"
@@ -207,9 +207,9 @@ def page_elements(html: Column | str) -> Column:
 
     whole = F.regexp_extract_all(c(html), F.lit(pattern), F.lit(0))
     names = F.regexp_extract_all(c(html), F.lit(pattern), F.lit(1))
-    zipped = F.slice(
-        F.arrays_zip(whole.alias("tag"), names.alias("name")), 1, K.ELEMENT_LIMIT
-    )
+    zipped = F.arrays_zip(whole.alias("tag"), names.alias("name"))
+    if limit is not None:
+        zipped = F.slice(zipped, 1, limit)
     return F.transform(
         zipped,
         lambda x, i: F.struct(

@@ -137,7 +137,7 @@ def path_defaults(template: Column | str, example_path: Column | str) -> Column:
     )
     hits = F.filter(zipped, lambda z: z["t"].startswith(":") & z["v"].isNotNull())
     pairs = F.transform(
-        hits, lambda z: F.struct(F.substring(z["t"], 2, 1_000).alias("name"), z["v"].alias("value"))
+        hits, lambda z: F.struct(F.substring(z["t"], F.lit(2), F.length(z["t"])).alias("name"), z["v"].alias("value"))
     )
     return F.aggregate(
         pairs,
@@ -149,14 +149,14 @@ def path_defaults(template: Column | str, example_path: Column | str) -> Column:
 
 
 def render_path(template: Column | str, params: Column) -> Column:
-    """Put values into the slots; an unknown slot stays as it is."""
+    """Put values into the slots, wherever they stand in a segment; an unknown slot stays as it is."""
+    slot = ":([A-Za-z_]+)"
+    parts = F.struct(F.split(c(template), slot, -1).alias("between"),
+                     F.regexp_extract_all(c(template), F.lit(slot), F.lit(1)).alias("names"))
 
-    def one(seg: Column) -> Column:
-        name = F.regexp_extract(seg, r"^:([A-Za-z_]+)", 1)
-        rest = F.regexp_replace(seg, r"^:[A-Za-z_]+", "")
-        return F.when(
-            name != "",
-            F.coalesce(F.concat(F.try_element_at(params, name), rest), seg),
-        ).otherwise(seg)
+    def of(p: Column) -> Column:
+        filled = F.transform(p["names"], lambda name, i: F.concat(
+            F.coalesce(F.try_element_at(params, name), F.concat(F.lit(":"), name)), F.get(p["between"], i + 1)))
+        return F.concat(F.get(p["between"], F.lit(0)), F.array_join(filled, ""))
 
-    return F.array_join(F.transform(F.split(c(template), "/"), one), "/")
+    return let(parts, of)

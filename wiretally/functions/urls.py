@@ -185,7 +185,7 @@ def matches_domain_glob(host: Column | str, patterns: Column) -> Column:
     h = c(host)
 
     def one(p: Column) -> Column:
-        base = F.substring(p, 3, 1_000)
+        base = F.substring(p, F.lit(3), F.length(p))
         return F.when(
             p.startswith("*."), (h == base) | h.endswith(F.concat(F.lit("."), base))
         ).otherwise(h == p)

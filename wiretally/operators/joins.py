@@ -1,26 +1,14 @@
-"""Joins of a large table with a small one whose size is checked first."""
+"""Joins of a large table with one that is usually small."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from wiretally.session import reliable
+from wiretally.session import landed
 
-# rows of a few numbers or one short key each: some 100 MB in memory at most
-BROADCAST_ROWS = 1_000_000
 
-
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-               limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join without moving the large side when the small one really is small.
-
-    The small side is computed once and kept. If it has at most ``limit`` rows it is broadcast, so the
-    wide rows of the large side are not shuffled; otherwise the shuffle join is left to Spark, which
-    splits skewed partitions. Without this a planner that cannot know an aggregate's size would
-    shuffle the large side first.
-    """
-    kept = reliable(small)
-    if kept.limit(limit + 1).count() <= limit:
-        return big.join(F.broadcast(kept), on, how)
-    return big.join(kept, on, how)
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with an aggregate whose size a planner cannot know. The small side is landed first: the planner then
+    knows its bytes, broadcasts it below Spark's own threshold, and otherwise shuffles both sides and
+    splits skewed partitions."""
+    return big.join(landed(small, "small-side"), on, how)

@@ -3,6 +3,8 @@ needs other items."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +23,33 @@ ROUTES = [
     ("social", r"(?:twitter\.com|x\.com)/\w+/status/[0-9]+|(?:twitter\.com|x\.com)/\w+/?$"),
     ("wiki", r"^https?://(?:www\.)?deepwiki\.com/[^/]+/[^/]+"),
 ]
-POSTS, COMMENTS, STORIES, REPLIES = 25, 25, 10, 10
-ARTICLE_CHARS = 20_000
+
+
+@dataclass(frozen=True)
+class Limits:
+    """How much of a payload goes into its content; None: all of it."""
+
+    posts: int | None = None
+    comments: int | None = None
+    stories: int | None = None
+    replies: int | None = None
+    sources: int | None = None
+    images: int | None = None
+    photos: int | None = None
+    article_chars: int | None = None
+
+
+ALL = Limits()
+# The sizes of a preview.
+PREVIEW = Limits(posts=25, comments=25, stories=10, replies=10, sources=10, images=5, photos=4, article_chars=20_000)
 LINK = "array<struct<text:string,href:string>>"
 IMAGE = "array<struct<alt:string,src:string>>"
 
 
+def _head(items: Column, limit: int | None) -> Column:
+    return items if limit is None else F.slice(items, 1, limit)
+
+
 def route(url: Column | str) -> Column:
     out = F.lit(None).cast("string")
     for name, pattern in reversed(ROUTES):
@@ -97,15 +120,15 @@ def _image(alt: Column | str, src: Column) -> Column:
 # ------------------------------------------------------------------------------------------
 # forum
 # ------------------------------------------------------------------------------------------
-def forum_comments(v: Column) -> Column:
-    """First 25 comments of a post page as (id, author, body, score)."""
+def forum_comments(v: Column, limits: Limits = ALL) -> Column:
+    """Comments of a post page as (id, author, body, score)."""
     kept = F.filter(
         _items(v, "$[1].data.children"),
         lambda x: (F.try_variant_get(x, "$.kind", "string") == "t1")
         & F.try_variant_get(x, "$.data", "variant").isNotNull(),
     )
     return F.transform(
-        F.slice(kept, 1, COMMENTS),
+        _head(kept, limits.comments),
         lambda x: F.struct(
             _or(_text(x, "$.data.id"), "").alias("id"),
             _or(_text(x, "$.data.author"), "[deleted]").alias("author"),
@@ -149,10 +172,10 @@ def forum_post(v: Column, comments: Column) -> Column:
     )
 
 
-def forum_listing(v: Column, url: Column) -> Column:
-    posts = F.slice(
+def forum_listing(v: Column, url: Column, limits: Limits = ALL) -> Column:
+    posts = _head(
         F.filter(_items(v, "$.data.children"), lambda x: F.try_variant_get(x, "$.data", "variant").isNotNull()),
-        1, POSTS,
+        limits.posts,
     )
 
     def of(ps: Column) -> Column:
@@ -209,8 +232,8 @@ def video(v: Column, url: Column) -> Column:
     )
 
 
-def article(v: Column, url: Column) -> Column:
-    """Article with a cut at 20 000 characters, ten sources and a statistics line."""
+def article(v: Column, url: Column, limits: Limits = ALL) -> Column:
+    """Article with its sources and a statistics line."""
     slug = F.regexp_extract(url, r"grokipedia\.com/(?:wiki|article)/([^#?]+)", 1)
     title = F.coalesce(_text(v, "$.page.title"), F.replace(F.try_url_decode(slug), F.lit("_"), F.lit(" ")))
     text = F.coalesce(_text(v, "$.page.content"), _text(v, "$.page.description"), F.lit(""))
@@ -218,10 +241,10 @@ def article(v: Column, url: Column) -> Column:
     views = _num(v, "$.page.stats.totalViews")
 
     def of(x: Column) -> Column:
-        body, top = x["text"], F.slice(x["cites"], 1, 10)
-        cut = F.when(
-            F.length(body) > ARTICLE_CHARS,
-            F.concat(F.substring(body, 1, ARTICLE_CHARS),
+        body, top = x["text"], _head(x["cites"], limits.sources)
+        cut = body if limits.article_chars is None else F.when(
+            F.length(body) > limits.article_chars,
+            F.concat(F.substring(body, 1, limits.article_chars),
                      _cat("\n\n[Truncated — full article is ", F.length(body), " chars. ",
                           F.size(x["cites"]), " citations available.]")),
         ).otherwise(body)
@@ -241,7 +264,7 @@ def article(v: Column, url: Column) -> Column:
                         lambda s: _link(_or(_text(s, "$.title"), "Source"), _text(s, "$.url"))).cast(LINK),
         )
         images = F.transform(
-            F.slice(_items(v, "$.page.images"), 1, 5),
+            _head(_items(v, "$.page.images"), limits.images),
             lambda m: _image(F.coalesce(_text(m, "$.caption"), title), _or(_text(m, "$.url"), "")),
         )
         return _row(
@@ -309,7 +332,7 @@ BLOCK_MARKS = {
 }
 
 
-def social(v: Column, url: Column) -> Column:
+def social(v: Column, url: Column, limits: Limits = ALL) -> Column:
     user = F.regexp_extract(url, r"(?:twitter\.com|x\.com)/(\w+)/status/", 1)
     name, screen = _text(v, "$.tweet.author.name"), _text(v, "$.tweet.author.screen_name")
     known = F.try_variant_get(v, "$.tweet.author", "variant").isNotNull()
@@ -353,7 +376,7 @@ def social(v: Column, url: Column) -> Column:
     site = _text(v, "$.tweet.author.website.url")
     cover = _text(v, "$.tweet.article.cover_media.media_info.original_img_url")
     photos = F.transform(
-        F.slice(_items(v, "$.tweet.media.photos"), 1, 4), lambda p: _image("Tweet image", _text(p, "$.url")))
+        _head(_items(v, "$.tweet.media.photos"), limits.photos), lambda p: _image("Tweet image", _text(p, "$.url")))
     title = F.coalesce(
         article_title,
         _cat(who, ": ", F.substring(text, 1, 80), F.when(F.length(text) > 80, "…").otherwise("")),
@@ -453,12 +476,12 @@ def _finish(df: DataFrame, row: Column, *extra: str) -> DataFrame:
     return df.select(*extra, "url", F.inline(some)).withColumn("tokens", token_cost("content"))
 
 
-def recover_comments(posts: DataFrame, archive: DataFrame | None) -> DataFrame:
+def recover_comments(posts: DataFrame, archive: DataFrame | None, limits: Limits = ALL) -> DataFrame:
     """Comments of post pages; deleted ones are replaced from an archive of (id, author, body).
 
     Only the deleted comments meet the archive: an equi-join on the comment's id. A post has at most
     25 comments, so putting them back together is bounded."""
-    listed = posts.withColumn("comments", forum_comments(F.col("v")))
+    listed = posts.withColumn("comments", forum_comments(F.col("v"), limits))
     gone = ["[deleted]", "[removed]"]
     if archive is None:
         plain = F.transform("comments", lambda x: F.struct(
@@ -485,14 +508,14 @@ def recover_comments(posts: DataFrame, archive: DataFrame | None) -> DataFrame:
     return listed.join(found, "url", "left").withColumn("comments", F.transform("comments", mend))
 
 
-def forum_posts(payloads: DataFrame, archive: DataFrame | None = None) -> DataFrame:
+def forum_posts(payloads: DataFrame, archive: DataFrame | None = None, limits: Limits = ALL) -> DataFrame:
     posts = payloads.filter((F.col("status") == 200) & (route("url") == "forum")).withColumn(
         "v", F.try_parse_json("body")).filter(F.try_variant_get("v", "$", "array<variant>").isNotNull())
-    mended = recover_comments(posts, archive)
+    mended = recover_comments(posts, archive, limits)
     return _finish(mended, forum_post(F.col("v"), F.col("comments")))
 
 
-def normalise_payloads(payloads: DataFrame) -> DataFrame:
+def normalise_payloads(payloads: DataFrame, limits: Limits = ALL) -> DataFrame:
     """Page reads of all payloads that need no other row: one projection, routed per URL."""
     u, v = F.col("url"), F.col("v")
     staged = payloads.filter(F.col("status") == 200).withColumn("route", route("url")).filter(
@@ -502,13 +525,13 @@ def normalise_payloads(payloads: DataFrame) -> DataFrame:
     is_article = u.rlike(r"grokipedia\.com/(?:wiki|article)/[^#?]+")
     row = (
         F.when((F.col("route") == "forum") & F.try_variant_get(v, "$.data.children", "array<variant>").isNotNull(),
-               forum_listing(v, u))
+               forum_listing(v, u, limits))
         .when(F.col("route") == "video", video(v, u))
         .when((F.col("route") == "encyclopedia") & v.isNotNull(), encyclopedia(v, u))
         .when((F.col("route") == "articles") & is_search, article_search(v, u))
-        .when((F.col("route") == "articles") & is_article, article(v, u))
+        .when((F.col("route") == "articles") & is_article, article(v, u, limits))
         .when((F.col("route") == "articles") & v.isNotNull(), article_home(v))
-        .when(F.col("route") == "social", social(v, u))
+        .when(F.col("route") == "social", social(v, u, limits))
         .when(F.col("route") == "wiki", wiki(F.col("body"), u))
     )
     return _finish(staged, row, "route")
@@ -529,12 +552,12 @@ def parse_items(items: DataFrame) -> DataFrame:
     )
 
 
-def news_items(pages: DataFrame, items: DataFrame) -> DataFrame:
-    """Item pages with their first ten comments that are not deleted. ``pages``: (url)."""
+def news_items(pages: DataFrame, items: DataFrame, limits: Limits = ALL) -> DataFrame:
+    """Item pages with their comments that are not deleted. ``pages``: (url)."""
     parsed = parse_items(items)
     wanted = pages.select("url", F.regexp_extract("url", r"item\?id=([0-9]+)", 1).try_cast("bigint").alias("id"))
     item = wanted.join(parsed, "id")
-    kids = item.select("url", F.posexplode(F.slice("kids", 1, REPLIES)).alias("n", "id"))
+    kids = item.select("url", F.posexplode(_head(F.col("kids"), limits.replies)).alias("n", "id"))
     lines = (
         kids.join(parsed.filter(~F.col("deleted")).select("id", "by", "text"), "id")
         .groupBy("url")
@@ -558,11 +581,11 @@ def news_items(pages: DataFrame, items: DataFrame) -> DataFrame:
     return _finish(j, row)
 
 
-def news_front(pages: DataFrame, items: DataFrame) -> DataFrame:
-    """Front pages (url, body = JSON array of ids) as ten numbered stories."""
+def news_front(pages: DataFrame, items: DataFrame, limits: Limits = ALL) -> DataFrame:
+    """Front pages (url, body = JSON array of ids) as numbered stories."""
     ids = F.from_json("body", "array<bigint>")
     slots = pages.filter(F.try_parse_json("body").isNotNull()).select(
-        "url", F.posexplode(F.slice(ids, 1, STORIES)).alias("n", "id"))
+        "url", F.posexplode(_head(ids, limits.stories)).alias("n", "id"))
     found = slots.join(parse_items(items), "id").groupBy("url").agg(
         F.array_sort(F.collect_list(F.struct("n", "title", "score", "descendants", "by", "link"))).alias("s"))
     lines = F.transform("s", lambda x, i: _cat(
