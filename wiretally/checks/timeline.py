@@ -148,6 +148,28 @@ def _(spark, sf):
     return index_columns(jobs.read_index(spark, folder))
 
 
+@query("stream_index_compacted", f"{_OBS} SELECT * FROM idx")
+def _(spark, sf):
+    # stream a part of the files, compact, stream on, compact, stream the rest
+    folder, checkpoint = state_folder(spark, "index"), state_folder(spark, "index-cp")
+    path = D.landed_path(spark, sf, "exchanges", ex)
+    for files in ("part-0000[0-1]*", "part-0000[0-4]*", "part-*"):
+        source = stream_exchanges(spark, path, glob=files)
+        q = jobs.index_writer(source, folder, checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+        if files != "part-*":
+            jobs.compact_index(spark, folder)
+    return index_columns(jobs.read_index(spark, folder))
+
+
+@query("stream_index_domain", f"{_OBS} SELECT * FROM idx WHERE domain = 'api.shop.example.com'")
+def _(spark, sf):
+    folder = state_folder(spark, "index")
+    q = jobs.index_writer(stream(spark, sf), folder, state_folder(spark, "index-cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return index_columns(jobs.read_index(spark, folder, "api.shop.example.com"))
+
+
 @query("stream_pairing", _PAIRED)
 def _(spark, sf):
     path = D.landed_path(spark, sf, "request_events", events)

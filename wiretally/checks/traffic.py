@@ -352,11 +352,11 @@ _VARIABLE = f"""NOT contains(path, '[') AND (
 
 @query("body_variables", f"""{WITH}{EXR},
  n AS (SELECT seq, t.key, t.type, t.atom ->> '$' AS val, replace(t.fullkey[3:], '"', '') AS path
-   FROM exr, json_tree(CAST(req_body AS JSON)) AS t WHERE exr.kind IN ('order', 'login') AND t.key IS NOT NULL),
+   FROM exr, json_tree(CAST(req_body AS JSON)) AS t WHERE exr.kind IN {_JSON_KINDS} AND t.key IS NOT NULL),
  hit AS (SELECT seq, path FROM n WHERE {_VARIABLE})
 SELECT seq, string_agg(path, ',' ORDER BY path) AS variables FROM hit GROUP BY seq""")
 def _(spark, sf):
-    e = ex(spark, sf).filter(F.col("kind").isin("order", "login"))
+    e = ex(spark, sf)
     v = bodies.body_variables(bodies.json_nodes("request_body"))
     return e.select("seq", F.array_join(v, ",").alias("variables")).filter("variables <> ''")
 

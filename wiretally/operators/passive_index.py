@@ -69,17 +69,25 @@ def _first_known(column: str) -> list[Column]:
     ]
 
 
+def _per_name(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """Rows exploded by parameter name, and whether a row is the first of its original: counts take these
+    only, while the set of names has one entry per name and not one per list of names."""
+    out = rows.select("*", F.posexplode_outer("params").alias("name_pos", "name"))
+    return out, F.coalesce(F.col("name_pos"), F.lit(0)) == 0
+
+
 def endpoint_index(combos: DataFrame) -> DataFrame:
     """(domain, path) rows: hits, methods, first known auth kind, pagination and type, parameter
     names, any body. ``lastSeen`` is the true maximum, also under late data."""
-    return combos.groupBy("domain", "path").agg(
-        F.sum("hits").alias("hits"),
+    rows, once = _per_name(combos)
+    return rows.groupBy("domain", "path").agg(
+        F.sum(F.when(once, F.col("hits"))).alias("hits"),
         F.min("first_us").alias("first_us"),
         F.max("last_us").alias("last_us"),
         F.array_sort(F.collect_set("method")).alias("methods"),
         *[x for name in KNOWN for x in _first_known(name)],
         F.bool_or("has_body").alias("has_body"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("params")))).alias("params"),
+        F.array_sort(F.collect_set("name")).alias("params"),
     )
 
 
@@ -108,14 +116,15 @@ def merge_index(*parts: DataFrame) -> DataFrame:
             F.min(f"{column}_us").alias(f"{column}_us"),
         ]
 
+    rows, once = _per_name(rows)
     return rows.groupBy("domain", "path").agg(
-        F.sum("hits").alias("hits"),
+        F.sum(F.when(once, F.col("hits"))).alias("hits"),
         F.min("first_us").alias("first_us"),
         F.max("last_us").alias("last_us"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("methods")))).alias("methods"),
         *[x for name in KNOWN for x in first(name)],
         F.bool_or("has_body").alias("has_body"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("params")))).alias("params"),
+        F.array_sort(F.collect_set("name")).alias("params"),
     )
 
 

@@ -51,9 +51,13 @@ def read_exchanges(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
 
 
 def stream_exchanges(
-    spark: SparkSession, path: str, fmt: str = "parquet", files_per_trigger: int | None = None
+    spark: SparkSession, path: str, fmt: str = "parquet", files_per_trigger: int | None = None,
+    glob: str | None = None,
 ) -> DataFrame:
+    """Landed exchanges as a stream of files; ``glob`` restricts their names."""
     reader = spark.readStream.schema(EXCHANGE_SCHEMA).format(fmt)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.load(path)

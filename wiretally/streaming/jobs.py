@@ -21,8 +21,12 @@ def event_time(df: DataFrame, late: str = LATE) -> DataFrame:
 # ------------------------------------------------------------------------------------------
 # continuous index
 # ------------------------------------------------------------------------------------------
+#: Version of the index's layout; readers refuse any other.
+INDEX_VERSION = 1
+
+
 def index_writer(ex: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
-    """Write the index of every micro-batch as one partition of a delta folder.
+    """Write the index of every micro-batch as one partition of the folder's deltas.
 
     A repeated batch overwrites its own partition, so a lost executor or a restarted query never
     counts a hit twice. The index is the merge of the deltas, see :func:`read_index`."""
@@ -30,38 +34,77 @@ def index_writer(ex: DataFrame, folder: str, checkpoint: str) -> DataStreamWrite
     def write(batch: DataFrame, batch_id: int) -> None:
         (
             passive_index.passive_index(batch)
+            .withColumn("version", F.lit(INDEX_VERSION))
             .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch_id")
-            .parquet(folder)
+            .parquet(f"{folder}/deltas")
         )
 
     return ex.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    """The index a stream has built so far: its deltas merged, the earliest known value first."""
-    return passive_index.merge_index(spark.read.parquet(folder).drop("batch_id"))
-
-
-def compact_index(spark: SparkSession, folder: str, target: str, as_of_us: int | None = None) -> None:
-    """Write the merged index to a new folder, without domains that were idle for too long."""
-    merged = read_index(spark, folder)
+def _generation(spark: SparkSession, folder: str) -> int | None:
+    """The newest whole generation: its number is the last batch that it covers."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/generations")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return None
+    found = [int(f.getPath().getName().partition("=")[2]) for f in system.listStatus(path)
+             if system.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return max(found, default=None)
+
+
+def _index_parts(spark: SparkSession, folder: str) -> DataFrame:
+    deltas = spark.read.parquet(f"{folder}/deltas")
+    covered = _generation(spark, folder)
+    if covered is None:
+        return deltas.drop("batch_id")
+    merged = spark.read.parquet(f"{folder}/generations/covers={covered}")
+    return merged.unionByName(deltas.filter(F.col("batch_id") > covered).drop("batch_id"))
+
+
+def read_index(spark: SparkSession, folder: str, domain: str | None = None) -> DataFrame:
+    """The index a stream has built so far, or one domain of it: the newest generation and the deltas after it,
+    merged, the earliest known value first. Another version of the layout is an error."""
+    parts = _index_parts(spark, folder)
+    if domain is not None:
+        parts = parts.filter(F.col("domain") == domain)
+    wrong = F.raise_error(F.concat(F.lit("index version "), F.col("version").cast("string")))
+    checked = parts.filter(F.when(F.col("version") == INDEX_VERSION, True).otherwise(wrong.cast("boolean")))
+    return passive_index.merge_index(checked.drop("version"))
+
+
+def compact_index(spark: SparkSession, folder: str, as_of_us: int | None = None) -> None:
+    """Write a generation: all deltas of now and the generation before, merged, without domains that were idle for
+    too long. The writer may go on meanwhile, its later batches stay deltas; readers see the generation once
+    it is whole. Deltas and generations that are covered can be removed by the operator of the folder."""
+    last = spark.read.parquet(f"{folder}/deltas").agg(F.max("batch_id")).first()[0]
+    if last is None or last == _generation(spark, folder):
+        return
+    deltas = spark.read.parquet(f"{folder}/deltas").filter(F.col("batch_id") <= last).drop("batch_id")
+    covered = _generation(spark, folder)
+    if covered is not None:
+        old = spark.read.parquet(f"{folder}/generations/covers={covered}")
+        newer = spark.read.parquet(f"{folder}/deltas").filter(
+            (F.col("batch_id") > covered) & (F.col("batch_id") <= last)).drop("batch_id")
+        deltas = old.unionByName(newer)
+    merged = passive_index.merge_index(deltas.drop("version"))
     if as_of_us is not None:
         domains = passive_index.lifecycle(passive_index.domain_index(merged), as_of_us)
         dead = domains.filter("freshness = 'deleted'").select("domain")
         merged = merged.join(dead, "domain", "left_anti")
-    merged.withColumn("batch_id", F.lit(0).cast("bigint")).write.mode("overwrite").partitionBy(
-        "batch_id").parquet(target)
+    merged.withColumn("version", F.lit(INDEX_VERSION)).write.mode("overwrite").parquet(
+        f"{folder}/generations/covers={last}")
 
 
-def live_index(ex: DataFrame, late: str = LATE) -> DataFrame:
-    """Running (domain, path) counts for update mode, for dashboards."""
+def live_index(ex: DataFrame, late: str = LATE, size: str = "1 day") -> DataFrame:
+    """Counts per (domain, path) and window, for dashboards; the watermark frees ended windows."""
     obs = event_time(passive_index.observations(ex), late)
-    return obs.groupBy("domain", "path").agg(
+    return obs.groupBy(F.window("ts", size).alias("w"), "domain", "path").agg(
         F.count("*").alias("hits"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us")
-    )
+    ).select(F.col("w.start").alias("start"), "domain", "path", "hits", "first_us", "last_us")
 
 
 # ------------------------------------------------------------------------------------------
