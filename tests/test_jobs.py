@@ -133,7 +133,9 @@ def test_stateful_streams(spark):
     s = 1_000_000
     times = [0, 5 * s, 9 * s, 30 * s, 200 * s] + [300 * s + i * 8 * s for i in range(20)]
     base = 1_000_000 * s
-    news = spark.createDataFrame([(1, base + t, i) for i, t in enumerate(times)], "session bigint, ts_us bigint, seq bigint")
+    rows = [(1, base + t, i, f"e{i}") for i, t in enumerate(times)]
+    rows += [(1, ts + 3 * s, i + 100, endpoint) for _, ts, i, endpoint in rows]  # known endpoints change nothing
+    news = spark.createDataFrame(rows, "session bigint, ts_us bigint, seq bigint, endpoint string")
     out = finish(spark, stateful.plateau_stream(jobs.event_time(stream_of(spark, news, "news"), "0 seconds"), 10, 120), "plateau")
     ends = {((r.start_us - base) // s, (r.end_us - base) // s, r.endpoints) for r in out}
     assert {(0, 19, 3), (30, 40, 1), (200, 210, 1), (300, 420, 15)} <= ends

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wiretally import constants as K
 from wiretally.checks.base import query
 from wiretally.checks.signals import _OBS, index_columns
 from wiretally.checks.sqlparts import EXR, KEYED, WITH
@@ -209,14 +210,35 @@ def _(spark, sf):
     return outcome(spark, stateful.limit_stream(calls(stream(spark, sf)), 3, 3_600_000), "limit")
 
 
-@query("stream_plateau")
-def _(spark, sf):
-    _rocksdb(spark)
-    news = jobs.event_time(traffic.accepted(stream(spark, sf))).select("session", "ts", "ts_us", "seq")
-    return outcome(spark, stateful.plateau_stream(news, 3600, 7200), "plateau")
+_PLATEAU = f"""{_NEWS},
+ c AS (SELECT session, ts_us, row_number() OVER (PARTITION BY session ORDER BY ts_us, seq) AS i FROM news),
+ r AS (SELECT session, i, ts_us AS start_us, ts_us AS last_us, 1::BIGINT AS n, NULL::BIGINT AS s, NULL::BIGINT AS e, NULL::BIGINT AS m FROM c WHERE i = 1
+  UNION ALL SELECT c.session, c.ci, CASE WHEN ended THEN c.ts_us ELSE start_us END, c.ts_us, CASE WHEN ended THEN 1 ELSE n + 1 END,
+   CASE WHEN ended THEN start_us END, CASE WHEN ended THEN end_us END, CASE WHEN ended THEN n END
+  FROM (SELECT r.*, least(last_us + 3600000000, start_us + 7200000000) AS end_us, c.ts_us, c.i AS ci,
+      c.ts_us >= least(last_us + 3600000000, start_us + 7200000000) AS ended FROM r JOIN c ON c.session = r.session AND c.i = r.i + 1) c),
+ tail AS (SELECT session, start_us, least(last_us + 3600000000, start_us + 7200000000) AS end_us, n,
+   row_number() OVER (PARTITION BY session ORDER BY i DESC) AS back FROM r)
+SELECT session, s AS start_us, e AS end_us, m AS endpoints FROM r WHERE s IS NOT NULL
+UNION ALL SELECT session, start_us, end_us, n FROM tail WHERE back = 1
+ AND end_us // 1000 + 1 < (SELECT max(ts_us) // 1000 - 600000 FROM keyed)"""
 
 
-@query("stream_promotions")
+@query("stream_plateau", _PLATEAU)
+def _(spark, sf):
+    _rocksdb(spark)
+    rows = jobs.event_time(traffic.with_keys(traffic.accepted(stream(spark, sf)))).select(
+        "session", "ts", "ts_us", "seq", F.concat_ws(" ", "domain", "key").alias("endpoint"))
+    return outcome(spark, stateful.plateau_stream(rows, 3600, 7200), "plateau")
+
+
+@query("stream_promotions", f"""{_OBS},
+ o AS (SELECT domain, ts_us, seq, row_number() OVER w AS hits, bool_or(seq > 9000) OVER w AS promoted FROM obs WINDOW w AS (PARTITION BY domain ORDER BY ts_us, seq)),
+ rd AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts_us, seq) AS i FROM o WHERE hits >= 3 AND NOT promoted),
+ r AS (SELECT domain, ts_us, hits, i, ts_us AS last, true AS fired FROM rd WHERE i = 1
+  UNION ALL SELECT q.domain, q.ts_us, q.hits, q.i, CASE WHEN q.ts_us - r.last >= {K.PROMOTION_BACKOFF_MINUTES * 60_000_000} THEN q.ts_us ELSE r.last END,
+   q.ts_us - r.last >= {K.PROMOTION_BACKOFF_MINUTES * 60_000_000} FROM r JOIN rd q ON q.domain = r.domain AND q.i = r.i + 1)
+SELECT domain, ts_us AS attempt_us, hits FROM r WHERE fired""")
 def _(spark, sf):
     _rocksdb(spark)
     obs = passive_index.observations(stream(spark, sf)).select("domain", "ts_us", "seq", (F.col("seq") > 9000).alias("promoted"))

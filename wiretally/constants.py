@@ -60,21 +60,17 @@ RESOURCE_SLOTS = {
     "media": [":media_id"], "assets": [":asset_id"], "uploads": [":upload_id"],
 }
 
-STRUCTURAL_WORDS = (
-    "api v1 v2 v3 v4 v5 v6 v7 v8 v9 v10 "
-    "search filter sort query list create update delete "
-    "status config settings preferences profile info details "
-    "stats analytics count batch bulk export import "
-    "auth login logout register signup signin callback "
-    "oauth token refresh verify confirm reset activate "
-    "public private internal external admin management "
-    "graphql gql rest rpc ws websocket stream feed "
-    "health ping version manifest metadata schema "
-    "upload download preview thumbnail embed "
-    "latest trending popular featured recommended top new "
-    "web app mobile desktop data raw render "
-    "consent wrapper widget integrity pathfinder rum"
-).split()
+STRUCTURAL_WORDS = [
+    "api", "v1", "v2", "v3", "v4", "v5", "v6", "v7", "v8", "v9", "v10", "search", "filter", "sort", "query",
+    "list", "create", "update", "delete", "status", "config", "settings", "preferences", "profile", "info",
+    "details", "stats", "analytics", "count", "batch", "bulk", "export", "import", "auth", "login", "logout",
+    "register", "signup", "signin", "callback", "oauth", "token", "refresh", "verify", "confirm", "reset",
+    "activate", "public", "private", "internal", "external", "admin", "management", "graphql", "gql", "rest",
+    "rpc", "ws", "websocket", "stream", "feed", "health", "ping", "version", "manifest", "metadata", "schema",
+    "upload", "download", "preview", "thumbnail", "embed", "latest", "trending", "popular", "featured",
+    "recommended", "top", "new", "web", "app", "mobile", "desktop", "data", "raw", "render", "consent",
+    "wrapper", "widget", "integrity", "pathfinder", "rum",
+]
 
 # ---------------------------------------------------------------------------
 # Tokens and entropy
@@ -87,31 +83,30 @@ ENTROPY_MEDIUM = 3.5
 # ---------------------------------------------------------------------------
 # headers
 # ---------------------------------------------------------------------------
-STRIP_HEADERS = (
-    "host connection keep-alive transfer-encoding upgrade te trailer "
-    "x-forwarded-for x-forwarded-host x-forwarded-proto x-forwarded-port x-real-ip "
-    "forwarded via proxy-authorization proxy-connection "
-    "sec-ch-ua sec-ch-ua-mobile sec-ch-ua-platform sec-ch-ua-full-version-list "
-    "sec-fetch-dest sec-fetch-mode sec-fetch-site sec-fetch-user "
-    "accept-encoding cookie"
-).split()
-NEVER_AUTH_HEADERS = (
-    "referer user-agent content-type accept accept-language origin host content-length "
-    "cache-control pragma if-none-match if-modified-since dnt upgrade-insecure-requests "
-    "traceparent tracestate tracecontext newrelic sentry-trace baggage x-request-id "
-    "x-correlation-id x-trace-id x-span-id x-datadog-trace-id x-datadog-parent-id "
-    "x-datadog-sampling-priority x-amzn-trace-id x-cloud-trace-context"
-).split()
-AUTH_HEADERS = (
-    "authorization x-api-key x-guest-token x-csrf-token x-xsrf-token x-auth-token "
-    "x-access-token x-session-token"
-).split()
+STRIP_HEADERS = [
+    "host", "connection", "keep-alive", "transfer-encoding", "upgrade", "te", "trailer", "x-forwarded-for",
+    "x-forwarded-host", "x-forwarded-proto", "x-forwarded-port", "x-real-ip", "forwarded", "via",
+    "proxy-authorization", "proxy-connection", "sec-ch-ua", "sec-ch-ua-mobile", "sec-ch-ua-platform",
+    "sec-ch-ua-full-version-list", "sec-fetch-dest", "sec-fetch-mode", "sec-fetch-site", "sec-fetch-user",
+    "accept-encoding", "cookie",
+]
+NEVER_AUTH_HEADERS = [
+    "referer", "user-agent", "content-type", "accept", "accept-language", "origin", "host", "content-length",
+    "cache-control", "pragma", "if-none-match", "if-modified-since", "dnt", "upgrade-insecure-requests",
+    "traceparent", "tracestate", "tracecontext", "newrelic", "sentry-trace", "baggage", "x-request-id",
+    "x-correlation-id", "x-trace-id", "x-span-id", "x-datadog-trace-id", "x-datadog-parent-id",
+    "x-datadog-sampling-priority", "x-amzn-trace-id", "x-cloud-trace-context",
+]
+AUTH_HEADERS = [
+    "authorization", "x-api-key", "x-guest-token", "x-csrf-token", "x-xsrf-token", "x-auth-token",
+    "x-access-token", "x-session-token",
+]
 OBSERVER_AUTH_HEADERS = ["authorization", "x-api-key", "client-id", "x-auth-token"]
 OBSERVER_AUTH_RE = r"bearer|token|apikey|api-key|auth"
-OBSERVER_SKIP_HEADERS = (
-    "cookie set-cookie content-type accept user-agent referer origin cache-control "
-    "traceparent tracestate tracecontext newrelic content-length"
-).split()
+OBSERVER_SKIP_HEADERS = [
+    "cookie", "set-cookie", "content-type", "accept", "user-agent", "referer", "origin", "cache-control",
+    "traceparent", "tracestate", "tracecontext", "newrelic", "content-length",
+]
 EXPORT_SENSITIVE_HEADERS = [
     "authorization", "x-api-key", "cookie", "set-cookie", "x-csrf-token", "x-xsrf-token",
 ]

@@ -68,14 +68,15 @@ LIMIT_OUTPUT = _struct(("key", T.LongType()), ("seq", T.LongType()), ("ts_us", T
 
 class PlateauCapture(StatefulProcessor):
     """Captures that end after ``idle_s`` without a new endpoint or ``max_s`` in total. Input rows are
-    new endpoints (session, ts_us, seq). One row per ended capture; a timer ends the open one when
-    the watermark passes."""
+    exchanges (session, ts_us, seq, endpoint); an endpoint counts when the session meets it first, so the state holds
+    the session's endpoints. One row per ended capture; a timer ends the open one when the watermark passes."""
 
     def __init__(self, idle_s: int = K.PLATEAU_IDLE_SECONDS, max_s: int = K.PLATEAU_MAX_SECONDS) -> None:
         self.idle_us, self.max_us = idle_s * 1_000_000, max_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.seen = handle.getMapState("seen", _struct(("endpoint", T.StringType())), _struct(("n", T.LongType())))
         self.open = handle.getValueState(
             "open", _struct(("start_us", T.LongType()), ("last_us", T.LongType()), ("n", T.LongType()),
                             ("timer_ms", T.LongType())))
@@ -90,18 +91,22 @@ class PlateauCapture(StatefulProcessor):
         out = []
         state = self.open.get() if self.open.exists() else None
         start, last, n, timer = state if state else (None, None, 0, None)
-        for ts in pdf["ts_us"].tolist():
+        for ts, endpoint in zip(pdf["ts_us"].tolist(), pdf["endpoint"].tolist(), strict=True):
+            if self.seen.containsKey((endpoint,)):
+                continue
+            self.seen.updateValue((endpoint,), (1,))
             if start is not None and ts >= self._end(start, last):
                 out.append((key[0], start, self._end(start, last), n))
                 start = None
             if start is None:
                 start, n = ts, 0
             last, n = ts, n + 1
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-        timer = self._end(start, last) // 1000 + 1
-        self.handle.registerTimer(timer)
-        self.open.update((start, last, n, timer))
+        if start is not None:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = self._end(start, last) // 1000 + 1
+            self.handle.registerTimer(timer)
+            self.open.update((start, last, n, timer))
         if out:
             yield pd.DataFrame(out, columns=["session", "start_us", "end_us", "endpoints"])
 
@@ -163,7 +168,7 @@ def limit_stream(calls: DataFrame, limit: int = K.RATE_LIMIT, window_ms: int = K
 
 def plateau_stream(news: DataFrame, idle_s: int = K.PLATEAU_IDLE_SECONDS,
                    max_s: int = K.PLATEAU_MAX_SECONDS) -> DataFrame:
-    """``news``: (session, ts, ts_us, seq) with a watermark on ``ts``."""
+    """``news``: (session, ts, ts_us, seq, endpoint) with a watermark on ``ts``."""
     return news.groupBy("session").transformWithStateInPandas(
         PlateauCapture(idle_s, max_s), PLATEAU_OUTPUT, "Append", "eventTime")
 
