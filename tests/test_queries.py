@@ -7,6 +7,7 @@ from wiretally.checks import QUERIES
 from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
+NEXT = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +22,10 @@ def test_query(spark, con, name):
     if sql is None:
         assert df.columns and df.count() > 0
     else:
-        assert compare(df, con, sql, []) is None
+        found = compare(df, con, sql, [])
+        if found == "EMPTY":  # too few rows for this one: the next size must have some
+            found = compare(QUERIES[name](spark, NEXT), connect(NEXT), sql, [])
+        assert found is None
 
 
 def test_entry(spark):
