@@ -19,6 +19,7 @@ from wiretally import constants as K
 from wiretally.functions import paths, urls
 from wiretally.functions.common import let
 from wiretally.operators.merge import PARAMS, param
+from wiretally.session import landed
 
 _ids = itertools.count()
 
@@ -377,6 +378,7 @@ def number_ids(rows: DataFrame) -> DataFrame:
                  pa.array([x["pos"] for ids in lists for x in ids], pa.int32()),
                  pa.array([x for y in ids for x in y], pa.string())], names=["id_spec", "id_pos", "id"])
 
+    rows = landed(rows, "spec-operations")  # resolved once, read twice
     lists = rows.groupBy("spec_id").agg(F.array_sort(F.collect_list(F.struct("pos", "base_id"))).alias("ids"))
     ids = lists.select(F.col("spec_id").cast("bigint"), "ids").mapInArrow(run, "id_spec bigint, id_pos int, id string")
     return rows.join(ids, (F.col("spec_id") == F.col("id_spec")) & (F.col("pos") == F.col("id_pos"))).drop(
