@@ -10,7 +10,6 @@ from wiretally.checks.sqlparts import PAGES, WS, lit, tag_sql
 from wiretally.functions import pages as G
 from wiretally.functions import text, urls
 from wiretally.operators import passive_index, read_pages, triage
-from wiretally.checks.traffic import ex
 from wiretally.sources import derived as D
 
 
@@ -293,15 +292,24 @@ def _(spark, sf):
     return discovery(spark, sf)
 
 
-@query("discovery_with_index", f"""{_DISC}
-SELECT origin, confidence, regexp_extract(origin, '://([^:/]+)', 1) AS domain, CASE WHEN n.k IS NOT NULL THEN n.k END AS total_hits
-FROM dsc LEFT JOIN (SELECT 'https://spam-farm.example.org' AS o, 3 AS k) n ON origin = n.o""")
+@query("discovery_with_index", f"""{_DISC},
+ hits AS (SELECT regexp_extract(url, '://([^:/?#]+)', 1) AS domain, count(*) AS total_hits, count(DISTINCT page_id % 5) AS indexed_endpoints
+   FROM pr WHERE page_id % 3 <> 0 GROUP BY 1)
+SELECT origin, confidence, regexp_extract(origin, '://([^:/]+)', 1) AS domain, total_hits, indexed_endpoints
+FROM dsc LEFT JOIN hits ON regexp_extract(origin, '://([^:/]+)', 1) = domain""")
 def _(spark, sf):
-    index = passive_index.domain_index(passive_index.passive_index(ex(spark, sf))).limit(1).select(
-        F.lit("spam-farm.example.org").alias("domain"), F.lit(3).alias("total_hits"), "endpoints")
+    # the index of calls that the sites' pages made: two of three answered with JSON, on five paths
+    n = F.col("page_id")
+    none = F.create_map().cast("map<string,string>")
+    made = responses(spark, sf).select(
+        F.timestamp_micros(n).cast("timestamp_ntz").alias("ts"), n.alias("ts_us"), n.alias("seq"),
+        F.concat(urls.url_origin("url"), F.lit("/api/"), F.get(F.lit(["cart", "menu", "news", "stock", "team"]), (n % 5).cast("int"))).alias("url"),
+        F.lit("GET").alias("method"),
+        none.alias("request_headers"), none.alias("response_headers"), F.lit(200).alias("status"),
+        F.when(n % 3 != 0, "application/json").otherwise("text/html").alias("content_type"))
+    index = passive_index.domain_index(passive_index.passive_index(made))
     out = triage.with_passive_index(discovery(spark, sf), index)
-    return out.select("origin", "confidence", "domain", F.when(
-        F.col("origin").startswith("https"), F.col("total_hits")).alias("total_hits"))
+    return out.select("origin", "confidence", "domain", "total_hits", "indexed_endpoints")
 
 
 _PATHS = ", ".join(
