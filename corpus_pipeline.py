@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.llm import mixing, packing, quality, secrets, simhash
+from wiretally.llm import mixing, nearcopies, packing, quality, secrets
 from wiretally.llm.common import table
 from wiretally.session import landed
 
@@ -27,8 +27,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: fingerprints of three-word shingles, up to 3 differing bits."""
-    return simhash.deduplicated(docs)
+    """One document of each near-duplicate class: five-word shingles with a similarity of at least 0.8, or
+    fingerprints of three-word shingles with up to 3 differing bits."""
+    return nearcopies.deduplicated(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
