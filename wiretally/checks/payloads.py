@@ -174,6 +174,34 @@ def _(spark, sf):
     return P.normalise_payloads(plain).select("url", F.md5("content").alias("digest"))
 
 
+@query("wiki_links", r"""WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS i, chr(10) AS nl, text FROM documents WHERE doc_id % 8 = 7),
+ t AS (SELECT *, 'https://deepwiki.com/o/r' || i AS url FROM d)
+SELECT url, md5('# Hi' || nl || nl || text || nl || '[code](https://github.com/o/r' || i || '/blob/main/src/a' || i || '.ts) [part](https://deepwiki.com/o/r' || i
+  || '/p' || i || ') [page](https://deepwiki.com/o/r' || i || '/Page_' || i || ') [out](https://e.example/' || i || '.md)') AS digest FROM t""")
+def _(spark, sf):
+    """All wiki bodies, each with a link of every kind that is rewritten and one that is not."""
+    d = D.table(spark, sf, "documents").filter("doc_id % 8 = 7").withColumn("i", _s("doc_id"))
+    text = F.concat("text", F.lit("\n[code](src/a"), "i", F.lit(".ts) [part](#p"), "i", F.lit(") [page](Page_"), "i",
+                    F.lit(") [out](https://e.example/"), "i", F.lit(".md)"))
+    body = F.concat(F.lit('0:["x"]\n1a:T'), F.lower(F.hex(F.octet_length("text") + 6)), F.lit(",# Hi\n\n"), F.col("text"),
+                    F.lit('\n2:["$"]\n3:T5,abcde\n4:["y"]'))
+    rows = d.withColumn("text", text).select(
+        "doc_id", F.concat(F.lit("https://deepwiki.com/o/r"), "i").alias("url"), F.lit(200).alias("status"), body.alias("body"))
+    out = P.normalise_payloads(rows).filter("route = 'wiki'")
+    return out.select("url", F.md5("content").alias("digest"))
+
+
+@query("wiki_payloads", r"""WITH d AS (SELECT doc_id, '# Hi' || chr(10) || chr(10) || text AS t FROM documents WHERE doc_id % 8 = 7),
+ m AS (SELECT doc_id, t, 'o/r' || doc_id AS slug, regexp_replace(t, '\]\((https?://)', ']' || chr(1) || '\1', 'g') AS a FROM d WHERE length(t) >= 50),
+ f AS (SELECT *, regexp_replace(a, '\[([^\]]+)\]\(([^)]+\.(?:ts|js|md|json|tsx|jsx|py|rs|go|toml|yaml|yml|css|html))\)', '[\1]' || chr(1) || 'https://github.com/' || slug || '/blob/main/\2)', 'g') AS b FROM m),
+ g AS (SELECT *, regexp_replace(regexp_replace(b, '\[([^\]]+)\]\(#([^)]*)\)', '[\1]' || chr(1) || 'https://deepwiki.com/' || slug || '/\2)', 'g'),
+   '\[([^\]]+)\]\(([^)]+)\)', '[\1]' || chr(1) || 'https://deepwiki.com/' || slug || '/\2)', 'g') AS c FROM f)
+SELECT 'https://deepwiki.com/' || slug AS url, 'Hi — ' || slug || ' | DeepWiki' AS title, md5(replace(c, chr(1), '(')) AS digest FROM g""")
+def _(spark, sf):
+    out = P.normalise_payloads(doc_payloads(spark, sf)).filter("route = 'wiki'")
+    return out.select("url", "title", F.md5("content").alias("digest"))
+
+
 @query("whole_listings", """SELECT 'https://www.reddit.com/r/a' || doc_id || '/' AS url,
  (SELECT string_agg(n || '. t' || n || ' (' || n || ' pts, 0 comments) by u/[deleted]', chr(10) ORDER BY n) FROM unnest(range(1, doc_id % 30 + 2)) AS t(n)) AS content
 FROM documents WHERE doc_id % 8 = 0""")
