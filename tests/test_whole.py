@@ -10,3 +10,10 @@ def test_wiki_bodies_with_links(spark):
 
     n = D.table(spark, SF, "documents").filter("doc_id % 8 = 7").count()
     assert QUERIES["wiki_links"](spark, SF).count() == n > 0
+
+
+def test_previews_and_tokens_of_all_exchanges(spark):
+    n = traffic.ex(spark, SF).count()
+    for name in ("response_preview_all", "refreshable_tokens_all"):
+        rows = QUERIES[name](spark, SF)
+        assert rows.count() == n > QUERIES[name.removesuffix("_all")](spark, SF).count()

@@ -325,6 +325,17 @@ def _(spark, sf):
     return e.select("seq", bodies.response_preview("response_body").alias("preview"))
 
 
+@query("response_preview_all", f"""{WITH}{EXR},
+ j AS (SELECT seq, kind, resp_body, TRY_CAST(CASE WHEN kind NOT IN ('items', 'down', 'noise') THEN resp_body END AS JSON) AS v FROM exr),
+ o AS (SELECT *, CASE WHEN kind = 'profile' THEN json_extract(v, '$.user') ELSE v END AS flat FROM j),
+ p AS (SELECT *, '{{' || array_to_string(list_transform(list_sort(json_keys(flat)), lambda k: '"' || k || '":' || CAST(json_extract(flat, '$.' || k) AS VARCHAR)), ',') || '}}' AS sorted FROM o)
+SELECT seq, CASE WHEN kind = 'items' THEN '[' || array_to_string(list_slice(string_split(replace(
+   resp_body[2:-2], '}},{{', '}}|{{'), '|'), 1, 2), ',') || ']' WHEN kind IN ('down', 'noise') THEN resp_body
+   WHEN kind = 'profile' THEN '{{"ok":' || CAST(json_extract(v, '$.ok') AS VARCHAR) || ',"user":' || sorted || '}}' ELSE sorted END AS preview FROM p""")
+def _(spark, sf):
+    return ex(spark, sf).select("seq", bodies.response_preview("response_body").alias("preview"))
+
+
 @query("graphql_operations", f"""{WITH}{EXR}
 SELECT seq, kind = 'graphql' AS is_graphql, CASE WHEN kind = 'graphql' THEN
   CASE WHEN seq % 3 = 0 THEN 'Item' || (seq % 5) ELSE 'GetItem' || (seq % 4) END END AS operation,
@@ -375,6 +386,20 @@ def _(spark, sf):
     )
 
 
+@query("refreshable_tokens_all", f"""{WITH}{EXR}
+SELECT seq, CASE WHEN kind = 'order' THEN 'csrf_token' WHEN kind IN ('graphql', 'login') THEN '' END AS tokens,
+ CASE WHEN kind = 'order' THEN json_extract_string(req_body, '$.csrf_token') = h_request_id END AS same,
+ CASE WHEN kind = 'order' THEN json_extract_string(req_body, '$.order.sku') END AS sku FROM exr""")
+def _(spark, sf):
+    nodes = bodies.json_nodes("request_body")
+    return ex(spark, sf).select(
+        "seq", F.array_join(bodies.refreshable_tokens(nodes), ",").alias("tokens"),
+        (bodies.extract_path("request_body", "csrf_token")
+         == F.col("request_headers")["x-request-id"]).alias("same"),
+        bodies.extract_path("request_body", "order.sku").alias("sku"),
+    )
+
+
 @query("pagination", f"""{WITH}{EXR}
 SELECT seq, CASE WHEN kind = 'product' THEN 'offset:offset:limit' WHEN kind = 'items' AND seq % 3 = 0 THEN 'page:page'
    WHEN kind = 'items' THEN 'cursor:cursor' END AS by_params,
