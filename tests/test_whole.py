@@ -17,3 +17,11 @@ def test_previews_and_tokens_of_all_exchanges(spark):
     for name in ("response_preview_all", "refreshable_tokens_all"):
         rows = QUERIES[name](spark, SF)
         assert rows.count() == n > QUERIES[name.removesuffix("_all")](spark, SF).count()
+
+
+def test_all_calls_are_rendered_whole(spark):
+    rows = QUERIES["render_all_requests"](spark, SF).collect()
+    urls = [r["url"] for r in rows if r["endpoint_id"] == "post-api-users-profile" and r["url"]]
+    assert len(rows) == traffic.ex(spark, SF).count() and urls
+    assert all("&order_id=" in u and "&session_token=" in u for u in urls)
+    assert all("&order_id=" in r["url"] for r in rows if r["endpoint_id"] == "get-api-v1-products" and r["url"])

@@ -481,6 +481,41 @@ def _(spark, sf):
     return out.withColumn("url", F.regexp_replace("url", "&order_id=[0-9]+", ""))
 
 
+@query("render_all_requests", f"""{CAT},
+ pr AS (SELECT id, path, raw_path, domain, unnest(string_split(ltrim(query, '?'), '&')) AS kv FROM cat WHERE id = 'post-api-users-profile' AND domain = 'api.shop.example.com'),
+ pv AS (SELECT string_split(kv, '=')[1] AS name, string_split(kv, '=')[2] AS val FROM pr),
+ pc AS (SELECT val, unnest(string_split(val, '')) AS ch FROM (SELECT DISTINCT val FROM pv)),
+ pb AS (SELECT val, -sum(n / length(val) * log2(n / length(val))) AS bits FROM (SELECT val, ch, count(*) AS n FROM pc WHERE ch <> '' GROUP BY val, ch) GROUP BY val),
+ ps AS (SELECT name, val, length(val) >= 16 AND round(bits, 12) >= 3.5 AS hot FROM pv LEFT JOIN pb USING (val)),
+ pq AS (SELECT max(CASE WHEN name = 'ref' THEN CASE WHEN hot THEN '%5Bscrubbed%5D' ELSE val END END) AS ref,
+   max(CASE WHEN name = 'email' THEN CASE WHEN hot THEN '%5Bscrubbed%5D' ELSE '%5Bemail%5D' END END) AS email FROM ps),
+ calls AS (SELECT seq AS call_id, CASE WHEN seq % 7 = 0 THEN 'none.example.com' ELSE 'api.shop.example.com' END AS domain,
+   CASE seq % 4 WHEN 0 THEN 'get-api-v1-products' WHEN 1 THEN 'post-api-v2-orders' WHEN 2 THEN 'post-api-users-profile' ELSE 'get-nothing' END AS endpoint_id, k FROM ex),
+ j AS (SELECT c.*, cat.path, cat.raw_path, cat.query, cat.tier FROM calls c LEFT JOIN cat ON cat.domain = c.domain AND cat.id = c.endpoint_id)
+SELECT call_id, endpoint_id, CASE WHEN path IS NULL THEN NULL
+  WHEN endpoint_id = 'get-api-v1-products' THEN 'https://' || domain || raw_path || '?limit=' || k || '&' || string_split(query, '&')[2] || '&order_id=' || k || '&q=a+b'
+  WHEN endpoint_id = 'post-api-users-profile' THEN 'https://' || domain || raw_path || '?email=' || (SELECT email FROM pq) || '&limit=' || k || '&order_id=' || k || '&q=a+b&ref=' || (SELECT ref FROM pq) || '&session_token=%5Bscrubbed%5D'
+  WHEN endpoint_id = 'post-api-v2-orders' THEN 'https://' || domain || '/api/v2/orders/' || k || '?limit=' || k || '&q=a+b' END AS url,
+ CASE WHEN domain LIKE 'none%' THEN 'No skill file found for "' || domain || '"' WHEN path IS NULL THEN 'Endpoint "' || endpoint_id || '" not found in skill for ' || domain END AS error,
+ CASE WHEN domain NOT LIKE 'none%' THEN coalesce(tier, 'unknown') END AS tier
+FROM j""")
+def _(spark, sf):
+    """All calls with their whole URLs."""
+    ev = D.table(spark, sf, "events")
+    k = F.regexp_extract("props", r"\d+", 0)
+    s = F.col("event_id")
+    calls = ev.select(
+        s.alias("call_id"),
+        F.when(s % 7 == 0, "none.example.com").otherwise("api.shop.example.com").alias("domain"),
+        F.when(s % 4 == 0, "get-api-v1-products").when(s % 4 == 1, "post-api-v2-orders")
+        .when(s % 4 == 2, "post-api-users-profile").otherwise("get-nothing").alias("endpoint_id"),
+        F.create_map(F.lit("limit"), k, F.lit("q"), F.lit("a b"), F.lit("order_id"), k,
+                     F.lit("body.x"), k).alias("params"),
+    )
+    cat = endpoints(spark, sf).withColumn("query_params", merge.plain_params("query_params"))
+    return requests.render_requests(calls, cat).drop("domain")
+
+
 @query("pick_endpoints", f"""{CAT},
  pg AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'api.shop.example.com' WHEN 1 THEN 'www.shop.example.com' WHEN 2 THEN 'nope.example.com'
      WHEN 3 THEN 'api.shop.example.com' WHEN 4 THEN 'www.shop.example.com' ELSE 'many.example.com' END AS domain,
