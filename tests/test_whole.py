@@ -25,3 +25,8 @@ def test_all_calls_are_rendered_whole(spark):
     assert len(rows) == traffic.ex(spark, SF).count() and urls
     assert all("&order_id=" in u and "&session_token=" in u for u in urls)
     assert all("&order_id=" in r["url"] for r in rows if r["endpoint_id"] == "get-api-v1-products" and r["url"])
+
+
+def test_merge_takes_endpoints_of_one_key(spark):
+    rows = QUERIES["merge_catalog_all"](spark, SF).filter("path = '/graphql'").collect()
+    assert rows and len({r["domain"] for r in rows}) == len(rows)

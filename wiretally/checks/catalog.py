@@ -134,8 +134,8 @@ _IMP = f"""{CAT},
    UNION ALL SELECT domain, method, path, 'added', 'extra', 'https://spec', 0.7, 'openapi-import', false FROM added)"""
 
 
-def imported(spark, sf):
-    e = endpoints(spark, sf).filter((F.length("key") % 4 != 0) & F.col("operation").isNull())
+def imported(spark, sf, graphql=False):
+    e = endpoints(spark, sf).filter((F.length("key") % 4 != 0) & (F.lit(graphql) | F.col("operation").isNull()))
     n = F.length("path")
     renamed = F.replace("path", F.lit(":"), F.lit(":x"))
     extra = F.create_map(F.lit("fields"), merge.param(
@@ -160,9 +160,9 @@ def imported(spark, sf):
     return rows.unionByName(added)
 
 
-def existing(spark, sf):
+def existing(spark, sf, graphql=False):
     none = F.lit(None).cast("string")
-    return endpoints(spark, sf).filter(F.col("operation").isNull()).select(
+    return endpoints(spark, sf).filter(F.lit(graphql) | F.col("operation").isNull()).select(
         "domain", "method", "path", "pos", merge.plain_params("query_params").alias("query_params"),
         "response_type", "response_fields", "confidence", "provenance",
         none.alias("spec_source"), none.alias("description"),
@@ -179,6 +179,41 @@ def _(spark, sf):
     )
 
 
+# The same with the GraphQL endpoints: on either side several rows share a method and path, and the last one wins.
+_IMP_ALL = f"""{CAT},
+ imp AS (SELECT domain, method, path AS path0, replace(path, ':', ':x') AS path, body_missing,
+    CASE WHEN length(path) % 2 = 0 THEN 'Doc of ' || id END AS description, CASE WHEN length(path) % 3 <> 1 THEN 'https://spec' END AS spec_source,
+    length(path) % 5 = 0 AS has_param, key FROM cat WHERE length(key) % 4 <> 0
+    QUALIFY row_number() OVER (PARTITION BY domain, method, path ORDER BY first_us DESC) = 1),
+ old AS (SELECT * FROM cat QUALIFY row_number() OVER (PARTITION BY domain, method, path ORDER BY first_us DESC) = 1),
+ m AS (SELECT old.domain, old.method, old.path, old.body_missing, imp.key IS NOT NULL AS matched, imp.description, imp.spec_source, imp.has_param,
+    CASE WHEN imp.key IS NULL THEN 'preserved'
+      WHEN imp.description IS NOT NULL OR imp.spec_source IS NOT NULL OR imp.has_param OR old.body_missing THEN 'enriched' ELSE 'preserved' END AS action
+   FROM old LEFT JOIN imp ON old.domain = imp.domain AND old.method = imp.method AND old.path = imp.path0),
+ added AS (SELECT DISTINCT domain, 'GET' AS method, path || '/extra' AS path FROM imp),
+ mg AS (SELECT domain, method, path, action, description, spec_source, CASE WHEN action = 'enriched' THEN greatest(0.7, CASE WHEN body_missing THEN 0.8 ELSE 0 END)
+     WHEN body_missing THEN 0.8 END::DOUBLE AS confidence, CASE WHEN body_missing THEN 'skeleton' END AS provenance,
+     coalesce(matched AND has_param, false) AS gained FROM m
+   UNION ALL SELECT domain, method, path, 'added', 'extra', 'https://spec', 0.7, 'openapi-import', false FROM added)"""
+
+
+@query("merge_catalog_all", f"{_IMP_ALL} SELECT * FROM mg")
+def _(spark, sf):
+    m = merge.merge_catalog(existing(spark, sf, True), imported(spark, sf, True))
+    return m.select(
+        "domain", "method", "path", "action", "description", "spec_source", "confidence", "provenance",
+        F.coalesce(F.map_contains_key("query_params", "fields") & (F.col("action") != "added"),
+                   F.lit(False)).alias("gained"),
+    )
+
+
+@query("merge_counts_all", f"""{_IMP_ALL}
+SELECT domain, count(*) FILTER (WHERE action = 'preserved') AS preserved, count(*) FILTER (WHERE action = 'added') AS added,
+  count(*) FILTER (WHERE action = 'enriched') AS enriched, count(*) FILTER (WHERE action = 'skipped') AS skipped FROM mg GROUP BY domain""")
+def _(spark, sf):
+    return merge.merge_counts(merge.merge_catalog(existing(spark, sf, True), imported(spark, sf, True)))
+
+
 @query("merge_counts", f"""{_IMP}
 SELECT domain, count(*) FILTER (WHERE action = 'preserved') AS preserved, count(*) FILTER (WHERE action = 'added') AS added,
   count(*) FILTER (WHERE action = 'enriched') AS enriched, count(*) FILTER (WHERE action = 'skipped') AS skipped FROM mg GROUP BY domain""")
