@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wiretally.llm import forest, mixing, orderhash, packing, pii, quality, repeats, secrets, simhash, warc
+from wiretally.llm import (
+    cells,
+    feast,
+    forest,
+    mixing,
+    orderhash,
+    packing,
+    pii,
+    product,
+    quality,
+    repeats,
+    secrets,
+    simhash,
+    warc,
+)
 from wiretally.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -178,6 +192,90 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         orderhash.likeness(F.col("entries"), F.col("next_entries")).alias("near_next"))
 
 
+@query
+def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 8 leading components of the covariance, at unit variance."""
+    return feast.whiten(table(spark, sf_dir, "embeddings"), ["vec_id"]).select(
+        "vec_id", "component", "n", F.col("deviation").cast("bigint").alias("deviation"), "whitened", "explained",
+        "identity_error")
+
+
+@query
+def op12_product_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links of a cosine of at least 0.98 inside its label, and its class."""
+    return product.near_duplicates(table(spark, sf_dir, "embeddings"), ["vec_id"])
+
+
+ORACLES["op12_product_near_duplicates"] = """
+with recursive vecs as (
+  select row_number() over () as r, vec_id, label, embedding::double[] as v,
+         coalesce(label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+                  and len(list_filter(embedding, lambda x: x <> 0)) > 0, false) as usable
+  from embeddings),
+links as materialized (
+  select a.r as a, b.r as b, b.vec_id from vecs a join vecs b on a.label = b.label and a.r <> b.r
+  where a.usable and b.usable and list_cosine_similarity(a.v, b.v) >= 0.98),
+reach as (
+  select r as a, r as b from vecs
+  union
+  select reach.a, links.b from reach join links on reach.b = links.a),
+least as (select a, min(vec_id) as component_id from reach join vecs on b = r group by a),
+counted as (select a, count(*) as n_links from links group by a)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, coalesce(vec_id = component_id, false) as kept
+from vecs join least on r = least.a left join counted on r = counted.a
+"""
+
+
+@query
+def op13_grid_cell_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as 8 codebook indexes, with its error and that of all vectors of its label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    books = cells.train(vectors)
+    coded = cells.with_group_error(cells.compress(vectors, books, ["vec_id", "label"]), "label")
+    return coded.select("vec_id", "code", "error", F.col("group_error").alias("label_error"),
+                        F.lit(cells.digest(books)).alias("codebooks_sha256"))
+
+
+def _near(n: int) -> str:
+    """Every part with the index and distance of its nearest entry of codebook n."""
+    return f"""near{n} as materialized (
+  select k, p, any_value(x) as x, min(d * 16 + e) % 16 as e, min(d * 16 + e) // 16 as d
+  from (select a.k, a.p, a.x, b.e, list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) ** 2))::bigint
+               as d from cut a join book{n} b on a.p = b.p) group by k, p)"""
+
+
+def _book(n: int) -> str:
+    """Codebook n: entries moved to the floor of the mean of their parts."""
+    return f"""book{n} as materialized (
+  select b.p, b.e, coalesce(m.x, b.x) as x from book{n - 1} b left join (
+    select p, e, list(floor_mean order by i) as x from (
+      select p, e, i, (sum(c) - ((sum(c) % count(*)) + count(*)) % count(*)) // count(*) as floor_mean
+      from (select p, e, unnest(x) as c, unnest(range(1, len(x) + 1)) as i from near{n - 1}) group by p, e, i)
+    group by p, e) m on b.p = m.p and b.e = m.e)"""
+
+
+_ROUNDS = ",\n".join(f"{_near(n - 1)},\n{_book(n)}" for n in range(1, 7))
+ORACLES["op13_grid_cell_codes"] = f"""
+with kept as (
+  select row_number() over (order by vec_id, embedding) as k, vec_id, label,
+         list_transform(embedding, lambda c: floor(4096 * c::double)::bigint) as v
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+cut as materialized (
+  select k, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] as x from kept, range(8) t(p)),
+book0 as (select p, k - 1 as e, x from cut where k <= 16),
+{_ROUNDS},
+{_near(6)},
+coded as (
+  select k, string_agg(lpad(lower(printf('%x', e::int)), 2, '0'), '' order by p) as code, sum(d)::bigint as error
+  from near6 group by k),
+books as (
+  select sha256(string_agg(array_to_string(x, ','), ',' order by p, e)) as codebooks_sha256 from book6)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+from kept join coded using (k), books
+"""
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
