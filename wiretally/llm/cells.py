@@ -104,7 +104,7 @@ def steps(column: pa.Array, dim: int, parts: int) -> np.ndarray:
     """rows x parts x width: floor(4096 x) of every component."""
     x = matrix(column, dim)
     limit = int((2.0 ** 62 / max(dim, 1)) ** 0.5) // 2
-    return whole(np.floor(x * SCALE), limit).reshape(len(x), parts, -1)
+    return whole(np.floor(x * SCALE), limit).reshape(len(x), parts, dim // parts)
 
 
 def encode(books: np.ndarray, vectors: np.ndarray, memos: list[Memo]) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wiretally.llm.components import components
-from wiretally.llm.vectors import doubles, finite, matrix, width
+from wiretally.llm.vectors import doubles, finite, matrix, numbers, width
 from wiretally.session import landed
 
 BLOCK = 4096
@@ -149,7 +149,7 @@ def nodes_of(table: DataFrame, keep: list[str], by: str, vector: str, label: str
     usable = finite(values) & F.exists(values, lambda x: x != 0) & F.col(label).isNotNull()
     text = F.concat_ws("|", F.col(label).cast("string"), values.cast("string"))
     return table.select(F.struct(*keep).alias("row"), F.col(by).alias("by"), F.col(label).alias("label"),
-                        values.alias("vec"), F.when(usable, F.md5(text)).alias("node"))
+                        numbers(table, vector).alias("vec"), F.when(usable, F.md5(text)).alias("node"))
 
 
 def links(distinct: DataFrame, index: Index, dim: int, cosine: float) -> tuple[DataFrame, DataFrame]:
@@ -296,12 +296,12 @@ class Block:
 
 
 def near_duplicates(table: DataFrame, keep: list[str], *, by: str = "vec_id", vector: str = "embedding",
-                    label: str = "label", cosine: float = 0.98, sample: int = 10_000, per_list: int = 100,
-                    most_lists: int = 512, subspaces: int = 8) -> DataFrame:
+                    label: str = "label", cosine: float = 0.98, sample: int = 16_384, per_list: int = 256,
+                    most_lists: int = 1024, subspaces: int = 8) -> DataFrame:
     """The kept columns and ``n_links``, ``component_id`` (smallest ``by`` reachable) and ``kept`` of every row.
 
-    The index is trained on at most ``sample`` distinct vectors, those of the least digest, with one list for about
-    ``per_list`` distinct vectors, ``most_lists`` at most. ``cosine`` must be above 0."""
+    The index is trained on at most ``sample`` distinct vectors, those of the least digest, with one list for
+    ``per_list`` distinct vectors of the largest label, ``most_lists`` at most. ``cosine`` must be above 0."""
     clash = set(keep) & set(RESULT)
     if clash or not 0 < cosine <= 1:
         raise ValueError(f"kept columns are named like results: {sorted(clash)}" if clash else "cosine not in (0, 1]")
@@ -318,7 +318,8 @@ def near_duplicates(table: DataFrame, keep: list[str], *, by: str = "vec_id", ve
         linked = spark.createDataFrame([], distinct.select(
             F.col("node").alias("linked"), F.col("copies").alias("row_links"), F.col("first").alias("root_id")).schema)
     else:
-        lists = min(most_lists, max(1, distinct.count() // per_list))
+        largest = distinct.groupBy("label").count().agg(F.max("count")).first()[0]
+        lists = min(most_lists, max(1, largest // per_list))
         index = build(directions(chosen), cosine, lists, subspaces)
         counts, pairs = links(distinct.select("node", "label", "vec", "copies"), index, dim, cosine)
         total = counts.groupBy(F.col("node").alias("counted")).agg(F.sum("links").alias("links"))

@@ -19,6 +19,11 @@ def doubles(vector: str) -> Column:
     return F.col(vector).cast("array<double>")
 
 
+def numbers(table: DataFrame, vector: str) -> Column:
+    """A vector as it is when its numbers are floats, otherwise as doubles."""
+    return F.col(vector) if table.schema[vector].dataType.simpleString() == "array<float>" else doubles(vector)
+
+
 def width(table: DataFrame, vector: str) -> int:
     """Length of the longest vector of a table; 0 where there is none."""
     return table.agg(F.max(F.size(vector))).first()[0] or 0
@@ -29,7 +34,7 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     flat = np.asarray(column.flatten(), np.float64)
     lengths = np.asarray(pc.list_value_length(column), np.int64)
     if len(flat) == len(lengths) * dim:
-        return flat.reshape(-1, dim)
+        return flat.reshape(len(lengths), dim)
     out = np.zeros((len(lengths), dim))
     out[np.arange(dim) < lengths[:, None]] = flat
     return out
