@@ -1,13 +1,16 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
 The 3-bit fingerprints of ``simhash`` are all linked, as its postings guarantee. Of pairs that differ by a few
-words most lie further apart, so each text also gets 96 minima of seeded permutations of its shingle hashes, four to
-a band. A pair of similarity s shares none of the 24 bands with probability (1 - s^4)^24: 3 in a million at 0.8,
-less above. Texts that share a band are candidates, and a candidate links by its exact similarity only.
+words most lie further apart, so each text also gets 400 minima of seeded permutations of its shingle hashes, eight to
+a band. A pair of similarity s shares none of the 50 bands with probability (1 - s^8)^50: 1 in 10,000 at 0.8,
+less above; at 0.5 it shares one with probability 0.18. Texts that share a band are candidates, and a candidate links by
+its exact similarity only.
 
-A band's texts are never gathered in one task and never all paired: each is compared with the band's least text
-first, and after that only texts which are still in different classes are compared with each other, all of them.
-Similar texts are in one class then, the same as if every pair of the band were compared.
+Each text of a band is compared with the band's least text first, its hub, unless both are in one class already. What is
+still apart from the hub's class after that is compared with the texts of other classes in the band, in blocks: a task holds
+the shingle sets of a block, streams the others past it and gives back no more links than join classes. A pair that shares
+several bands is compared in one of them. So sets move, once for each hub or block, but pairs never do, and similar
+texts are in one class at the end, the same as if every pair of a band were compared.
 
 Defined cases
     Equal texts are one node, numbered by 64 bits of their MD5. A null text is an empty one. Texts without words have no
@@ -30,7 +33,9 @@ from wiretally.llm.components import components
 from wiretally.session import landed
 
 WIDTH = 5
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 50, 8
+#: Texts compared with one hub in one piece, and texts still apart that a task holds at once.
+PIECE, HELD = 1024, 256
 #: Odd factors and summands of the permutations x -> a * x + b of 64-bit numbers.
 _SEEDED = np.random.default_rng(simhash.SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 FACTORS, SUMMANDS = _SEEDED[0] | np.uint64(1), _SEEDED[1]
@@ -92,30 +97,96 @@ def with_bands(docs: DataFrame) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those ``a, b`` of the distinct pairs of nodes whose texts are similar."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
-    texts = docs.select(node_of().alias("node"), F.col("text").cast("binary").alias("text"))
-    chosen = landed(texts.join(wanted, F.col("node") == F.col("wanted"), "leftsemi").groupBy("node").agg(
-        F.first("text").alias("text")), "compared-texts")
-    left = chosen.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = chosen.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+def with_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """``wanted`` (``node, digest``: of one document with its text) with ``set``, the text's sorted shingle hashes."""
+    texts = docs.select(row_digest().alias("of"), F.col("text").cast("binary").alias("text"))
+    chosen = texts.join(wanted.select("node", "digest"), F.col("of") == F.col("digest")).select("node", "text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, None
         for part in parts:
-            a, b, text_a, text_b = (part.column(n) for n in range(4))
-            passed = []
-            for i, node in enumerate(a.to_pylist()):
-                if node != last:  # many pairs in turn have the same first text
-                    last, mine = node, shingles(text_a[i].as_py() or b"")
-                if similar(mine, shingles(text_b[i].as_py() or b"")):
-                    passed.append(i)
-            at = pa.array(passed, pa.int64())
-            yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], names=["a", "b"])
+            sets = [shingles(t or b"").tobytes() for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    return chosen.mapInArrow(run, "node bigint, set binary").dropDuplicates(["node"])
+
+
+class Held:
+    """Texts that one group of others is compared with, and the classes joined so far."""
+
+    def __init__(self) -> None:
+        self.nodes: list[int] = []
+        self.found: list[np.ndarray] = []
+        self.roots: list[int] = []
+        self.bands: list[list[int] | None] = []
+        self.up: dict[int, int] = {}
+        self.now: np.ndarray | None = None
+
+    def add(self, node: int, root: int, found: bytes, bands_: list[int] | None) -> None:
+        self.nodes.append(node)
+        self.roots.append(root)
+        self.found.append(np.frombuffer(found, np.uint64))
+        self.bands.append(bands_)
+
+    def root(self, x: int) -> int:
+        while x in self.up:
+            x = self.up[x]
+        return x
+
+    def meet(self, key: int, node: int, root: int, apart: bool, found: bytes, bands_: list[int] | None) -> list[int]:
+        """Held nodes similar to a text, one for each class that it joins to its own."""
+        if self.now is None:
+            self.now = np.array(self.roots)
+            self.sizes = np.array([len(f) for f in self.found])
+            self.names = np.array(self.nodes)
+            self.keys = np.array(self.bands) if self.bands and self.bands[0] is not None else None
+        mine = np.frombuffer(found, np.uint64)
+        own = self.root(root)
+        chosen = (self.now != own) & (5 * np.minimum(self.sizes, len(mine)) >= 4 * np.maximum(self.sizes, len(mine)))
+        if apart:  # the other one is held as well, in this block or another, and meets this one there
+            chosen &= self.names < node
+        at = np.flatnonzero(chosen)
+        if len(at) and self.keys is not None:  # of the bands that a pair shares, only the first compares it
+            first = (self.keys[at] == np.array(bands_)).argmax(axis=1)
+            at = at[self.keys[at, first] == key]
+            at = at[(self.keys[at] == np.array(bands_)).any(axis=1)] if len(at) else at
+        if not len(at):
+            return []
+        flat = np.concatenate([self.found[i] for i in at])
+        place = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+        starts = np.concatenate([[0], np.cumsum(self.sizes[at])[:-1]])
+        both = np.add.reduceat(mine[place] == flat, starts, dtype=np.int64)
+        out = []
+        for i in at[5 * both >= 4 * (self.sizes[at] + len(mine) - both)].tolist():
+            other = int(self.now[i])
+            if other != own:
+                out.append(self.nodes[i])
+                self.up[other] = own
+                self.now[self.now == other] = own
+        return out
+
+
+def compared(dealt: DataFrame) -> DataFrame:
+    """Links ``a, b`` between the held rows (``side`` 0) and the others of each ``key, block``."""
+    ordered = dealt.select("key", "block", "side", "node", "root", "apart", "set", "bands").repartition(
+        "key", "block").sortWithinPartitions("key", "block", "side")
 
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, Held()
+        for part in parts:
+            links: list[tuple[int, int]] = []
+            for key, block, side, node, root, apart, found, bands_ in zip(
+                    *(c.to_pylist() for c in part.columns), strict=True):
+                if (key, block) != place:
+                    place, held = (key, block), Held()
+                if side == 0:
+                    held.add(node, root, found, bands_)
+                elif held.nodes:
+                    links += [(node, other) for other in held.meet(key, node, root, apart, found, bands_)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())],
+                names=["a", "b"])
+
+    return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
 def close_sizes(x: str, y: str) -> Column:
@@ -130,35 +201,76 @@ def rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
         "node", F.coalesce("root", "node").alias("root"))
 
 
+def blocks_of(groups: DataFrame, size: int) -> DataFrame:
+    """``of_key, blocks`` of groups counted as ``key, n``."""
+    return groups.select(F.col("key").alias("of_key"), F.ceil(F.col("n") / size).cast("int").alias("blocks"))
+
+
+def spread_over(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows of each ``key`` dealt to its blocks."""
+    return rows.join(blocks, F.col("key") == F.col("of_key")).withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def repeated_over(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows of each ``key`` in all of its blocks."""
+    return rows.join(blocks, F.col("key") == F.col("of_key")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+
+def star_links(members: DataFrame, sets: DataFrame, now: DataFrame) -> DataFrame:
+    """Links of the texts of each band to its hub, where they are in different classes and similar."""
+    pairs = members.filter("node <> hub").select("node", "hub").distinct()
+    hub = now.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("size").alias("hub_size"))
+    stars = landed(pairs.join(hub, "hub").join(now, "node").filter(
+        (F.col("root") != F.col("hub_root")) & close_sizes("size", "hub_size")).select(
+        F.col("hub").alias("key"), "node", "root", "hub_root"), "stars")
+    counted = landed(stars.groupBy("key").agg(F.count("*").alias("n"), F.min("hub_root").alias("root")), "hubs")
+    blocks = blocks_of(counted, PIECE)
+    held = repeated_over(counted.select("key", F.col("key").alias("node"), "root"), blocks)
+    asked = spread_over(stars, blocks)
+    same = F.lit(False).alias("apart"), F.lit(None).cast("array<bigint>").alias("bands")
+    rows = held.select("key", "block", F.lit(0).alias("side"), "node", "root", *same).unionByName(
+        asked.select("key", "block", F.lit(1).alias("side"), "node", "root", *same))
+    return compared(rows.join(sets.select("node", "set"), "node"))
+
+
+def other_links(members: DataFrame, sets: DataFrame, now: DataFrame) -> DataFrame:
+    """Links of the texts of each band that are not in its hub's class to those in other classes."""
+    hub = now.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    placed = landed(members.join(now.select("node", "root"), "node").join(hub, "hub").select(
+        F.col("k").alias("key"), "node", "root", (F.col("root") != F.col("hub_root")).alias("apart")), "placed")
+    counted = landed(placed.groupBy("key").agg(F.sum(F.col("apart").cast("int")).alias("n")).filter("n > 0"), "apart")
+    blocks = blocks_of(counted, HELD)
+    held = spread_over(placed.filter("apart"), blocks).withColumn("side", F.lit(0))
+    rows = held.unionByName(repeated_over(placed, blocks).withColumn("side", F.lit(1)))
+    return compared(rows.join(sets.select("node", "set", "bands"), "node"))
+
+
 def classes(prints: DataFrame, docs: DataFrame) -> DataFrame:
     """``node, root`` of every node of ``prints``, by its fingerprints and by the similarity of its texts."""
-    nodes = landed(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size")), "nodes")
+    nodes = landed(prints.groupBy("node").agg(
+        F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("digest").alias("digest"),
+        F.first("bands").alias("bands")), "nodes")
     by_print = simhash.classes(nodes.select(F.col("node").alias("doc_id"), "fp"))
     links = nodes.join(by_print.select(F.col("fp").alias("class_fp"), F.col("component_id").alias("a")),
                        F.col("fp") == F.col("class_fp")).select("a", F.col("node").alias("b")).filter("a <> b")
     links = landed(links, "print-links")
+    narrow = nodes.select("node", "size")
+    now = landed(narrow.join(rooted(narrow.select("node"), links), "node"), "print-classes")
 
-    posted = prints.select("node", F.explode("bands").alias("k"))
+    posted = nodes.select("node", F.explode("bands").alias("k"))
     shared = posted.groupBy("k").agg(F.min("node").alias("hub"), F.max("node").alias("most")).filter("hub < most")
     hubs = landed(shared.select(F.col("k").alias("shared_k"), "hub"), "shared-bands")
-    members = landed(
-        posted.join(hubs, F.col("k") == F.col("shared_k")).select("k", "node", "hub").distinct().join(
-            nodes.select("node", "size"), "node"), "members")
-    sizes = nodes.select(F.col("node").alias("hub"), F.col("size").alias("hub_size"))
-    stars = members.filter("node <> hub").select("hub", "node", "size").distinct().join(sizes, "hub").filter(
-        close_sizes("size", "hub_size")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    links = landed(links.unionByName(verified(landed(stars, "stars"), docs)), "star-links")
-
-    # whatever is still apart in a band is compared, each with each
-    now = landed(rooted(nodes.select("node"), links), "star-classes")
-    hub_roots = now.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    placed = landed(members.join(now, "node").join(hub_roots, "hub").filter("node <> hub"), "placed")
-    apart = placed.filter("root <> hub_root").select(
-        "k", F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("root").alias("x_root"))
-    rest = placed.join(apart, "k").filter((F.col("root") != F.col("x_root")) & close_sizes("size", "x_size")).select(
-        F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-    rest = landed(rest, "rest")
-    return landed(rooted(nodes.select("node"), links.unionByName(verified(rest, docs))), "near-classes")
+    members = landed(posted.join(hubs, F.col("k") == F.col("shared_k")).select("k", "node", "hub"), "members")
+    wanted = nodes.select("node", "digest", "bands").join(members.select("node").distinct(), "node", "leftsemi")
+    found = with_sets(wanted, docs).withColumnRenamed("node", "of_node")
+    sets = landed(wanted.join(found, F.col("node") == F.col("of_node")).select("node", "set", "bands"), "sets")
+
+    links = landed(links.unionByName(star_links(members, sets, now)), "star-links")
+    now = landed(narrow.join(rooted(narrow.select("node"), links), "node"), "star-classes")
+    links = links.unionByName(landed(other_links(members, sets, now), "other-links"))
+    return landed(rooted(narrow.select("node"), links), "near-classes")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
