@@ -1,17 +1,20 @@
 """The training-data pipeline: documents in, packed pieces out.
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame on what its predecessor kept; all but the last
-return the columns of documents. ``run`` writes every stage as Parquet in the shared folder and reads it again.
+return the columns of documents. ``run`` writes every stage as Parquet in the shared folder and reads it again; what a
+stage landed for itself is removed then.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wiretally.llm import mixing, nearcopies, packing, quality, secrets
 from wiretally.llm.common import table
-from wiretally.session import landed
+from wiretally.session import landed_alone
 
 #: What stands in a text for a secret that was found in it.
 MASK = "[SECRET]"
@@ -74,5 +77,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = landed(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = landed_alone(spark, partial(stage, spark, docs, sf_dir), f"stage-{name}")
     return docs

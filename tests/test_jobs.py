@@ -271,3 +271,19 @@ def test_map_order_does_not_change_a_fingerprint(spark):
         return catalog_fingerprint(df).first()["fingerprint"]
 
     assert print_of("p", "q") == print_of("q", "p") != print_of("p", "q", "/y")
+
+
+def test_landed_alone_removes_what_led_to_it(spark):
+    import os
+
+    from wiretally.session import checkpoint_root, landed, landed_alone
+
+    def make():
+        one = landed(spark.range(10), "alone-step")
+        two = landed_alone(spark, lambda: landed(one, "alone-inner").filter("id > 3"), "alone-nested")
+        return two.filter("id < 8")
+
+    found = landed_alone(spark, make, "alone-result")
+    assert sorted(r["id"] for r in found.collect()) == [4, 5, 6, 7]
+    left = {n.rsplit("-", 1)[0] for n in os.listdir(checkpoint_root(spark)) if n.startswith("alone-")}
+    assert left == {"alone-result"}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,9 +55,36 @@ def state_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), f"{name}-{os.urandom(6).hex()}")
 
 
+#: Folders written by ``landed`` within each running ``landed_alone``.
+_written: list[list[str]] = []
+
+
 def landed(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage is cut, a lost executor
     loses nothing, and the planner knows its size in bytes, so it broadcasts it only when it is small."""
     folder = state_folder(df.sparkSession, name)
     df.write.parquet(folder)
+    if _written:
+        _written[-1].append(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def landed_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``landed(make(), name)``; the tables that ``make`` itself lands are removed once the result is written, because
+    nothing depends on them any more. ``make`` must return nothing else that is read later."""
+    _written.append([])
+    try:
+        result = landed(make(), name)
+    finally:
+        folders = _written.pop()
+        for folder in folders[:-1]:
+            remove(spark, folder)
+    if _written:
+        _written[-1] += folders[-1:]
+    return result
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of this job in whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
