@@ -1,11 +1,12 @@
 import pytest
 from oracle import compare, connect
 from test_mixing import digest, expected
+from test_nearcopies import pairs_of
 from test_simhash import plain_fingerprint, plain_roots
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from wiretally.llm import mixing, quality, secrets
+from wiretally.llm import mixing, quality, secrets, simhash
 from wiretally.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -27,10 +28,6 @@ def test_registered():
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
-def key(r):
-    return str(r["doc_id"]), r["text"] or ""
-
-
 def test_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
@@ -49,14 +46,15 @@ def test_stages_against_brute_force(spark):
     rows = good.collect()
     single = stages["near_duplicates"](spark, good, SF)
     assert single.columns == docs.columns
-    prints = {key(r): plain_fingerprint(r["text"]) for r in rows}
-    roots = plain_roots(sorted(set(prints.values())), lambda a, b: (a ^ b).bit_count() <= 3)
+    rows.sort(key=lambda r: (r["doc_id"], digest(r["doc_id"], r["text"])))
+    prints = [plain_fingerprint(r["text"]) for r in rows]
+    found = pairs_of([set(simhash.hashes((r["text"] or "").encode(), 5)) for r in rows])
+    roots = plain_roots(range(len(rows)), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3
+                        or found.get((min(i, j), max(i, j)), 0) >= 0.8)
     first = {}
-    for r in rows:
-        root = roots[prints[key(r)]]
-        at = (r["doc_id"], digest(r["doc_id"], r["text"]))
-        first[root] = min(first.get(root, at), at)
-    assert sorted(r["doc_id"] for r in single.collect()) == sorted(i for i, _ in first.values())
+    for i, r in enumerate(rows):
+        first.setdefault(roots[i], r["doc_id"])
+    assert sorted(r["doc_id"] for r in single.collect()) == sorted(first.values())
 
     clean = stages["secrets"](spark, single, SF)
     assert clean.columns == docs.columns
@@ -83,7 +81,8 @@ def test_run_follows_the_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
-    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, docs.collect()))
+    found = corpus_pipeline.run(spark, SF)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, docs.collect()))
 
 
 def test_odd_and_empty_documents(spark, odd, nothing):
