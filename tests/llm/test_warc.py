@@ -92,3 +92,47 @@ def test_archives_roll(spark):
     assert made.count() > 2 and made.agg(F.sum("records")).first()[0] == 60
     again = warc.read_archives(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder))
     assert sorted(r["page_id"] for r in again.collect()) == list(range(60))
+
+
+def test_reading_grows_with_the_archive_only():
+    """A frame is given to the decoder in slices: twice the archive takes about twice the time."""
+    import os
+    import time
+
+    text = [os.urandom(900).hex().encode() for _ in range(400)]
+    frames = [warc.record(i, "http://x/", text[i % 400], hashlib.sha1(text[i % 400]).hexdigest(), None) for i in range(400)]
+    writer = zstandard.ZstdCompressor(write_content_size=True)
+    one = [writer.compress(f) for f in frames]
+
+    def seconds(times):
+        data = warc.dictionary_frame(b"") + b"".join(one) * times
+        start = time.process_time()
+        assert sum(1 for _ in warc.read_archive(data)) == 400 * times
+        return time.process_time() - start, len(data)
+
+    (short, small), (long, large) = seconds(48), seconds(96)
+    assert small > 16 << 20 and large > 32 << 20 and long < 3 * short
+
+
+@pytest.mark.parametrize("step", [1, 7, 4096, 1 << 20])
+def test_slices_of_any_size_read_the_same(monkeypatch, step):
+    monkeypatch.setattr(warc, "FIRST_SLICE", step)
+    records = [warc.record(i, "u", b"p" * (i * 997), hashlib.sha1(b"p" * (i * 997)).hexdigest(), None) for i in range(9)]
+    data = warc.dictionary_frame(b"") + b"".join(zstandard.ZstdCompressor().compress(r) for r in records)
+    assert [len(p.payload) for p in warc.read_archive(data)] == [i * 997 for i in range(9)]
+    for cut in (len(data) - 1, len(data) - 9):
+        with pytest.raises(ValueError):
+            list(warc.read_archive(data[:cut]))
+
+
+def test_folders_are_in_the_clusters_file_system(spark):
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "hdfs://names:9000")
+        assert warc.qualified(spark, "/data/warc") == "hdfs://names:9000/data/warc"
+        assert warc.qualified(spark, "file:///data/warc") == "file:///data/warc"
+        assert warc.qualified(spark, "s3a://bucket/warc") == "s3://bucket/warc"
+    finally:
+        conf.set("fs.defaultFS", before)
+    assert warc.qualified(spark, "/data/warc") == "file:///data/warc"

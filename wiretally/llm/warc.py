@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wiretally.session import landed, state_folder
@@ -36,6 +36,10 @@ VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 3
+#: Bytes of a frame that the reader takes first; twice as many each time that is not enough.
+FIRST_SLICE = 4096
+#: Names of one kind of file system here and in the tasks' library.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 READ_SCHEMA = ("page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, "
                "refers_to bigint, payload binary")
@@ -141,15 +145,19 @@ def read_archive(data: bytes) -> Iterator[Page]:
         body = zstandard.ZstdDecompressor().decompress(body)
     known = zstandard.ZstdCompressionDict(body) if body else None
     reader = zstandard.ZstdDecompressor(dict_data=known) if known else zstandard.ZstdDecompressor()
-    at = 8 + size
+    at, view = 8 + size, memoryview(data)
     while at < len(data):
         if data[at:at + 4] != FRAME_MAGIC:
             raise ValueError(f"byte {at}: no frame begins here")
         try:
-            one = reader.decompressobj()
-            raw = one.decompress(memoryview(data)[at:])
+            one, pieces, end, step = reader.decompressobj(), [], at, FIRST_SLICE
+            while not one.eof and end < len(data):  # slices, so that a frame costs its own size and not the archive's
+                pieces.append(one.decompress(view[end:end + step]))
+                end, step = min(end + step, len(data)), 2 * step
             if not one.eof:
                 raise ValueError("the frame is cut off")
+            raw = b"".join(pieces)
+            end -= len(one.unused_data)
             promised = zstandard.frame_content_size(data[at:at + 18])
             if promised >= 0 and promised != len(raw):
                 raise ValueError(f"the frame promises {promised} bytes and has {len(raw)}")
@@ -157,7 +165,7 @@ def read_archive(data: bytes) -> Iterator[Page]:
         except (ValueError, UnicodeDecodeError, zstandard.ZstdError, KeyError) as e:
             raise ValueError(f"byte {at}: {e}") from e
         yield page
-        at = len(data) - len(one.unused_data)
+        at = end
 
 
 def planned(pages: DataFrame, least: int = 1000) -> DataFrame:
@@ -189,17 +197,30 @@ def dictionary(pages: DataFrame, *, sample: int = 256, cut: int = 16384, size: i
         return b""
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder with the scheme and host of its file system, as the tasks' library spells them."""
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    path = jvm.Path(folder)
+    if path.toUri().getScheme() is None:
+        path = path.makeQualified(jvm.FileSystem.getDefaultUri(conf), jvm.Path("/"))
+    scheme, _, rest = path.toString().partition(":")
+    rest = rest if rest.startswith("//") else f"//{rest}"
+    return f"{SCHEMES.get(scheme, scheme)}:{rest}"
+
+
 def write_archives(pages: DataFrame, folder: str, *, least: int = 1000, roll: int = 32 << 20) -> DataFrame:
     """Writes every page as a record below ``folder`` (any file system that pyarrow opens) and returns the
-    archives written: ``path, records, bytes``. The work is done when this returns."""
+    archives written: ``path, records, bytes``. The work is done when this returns. A folder without a scheme is in the
+    cluster's default file system, where Spark's readers look for it too."""
     trained = dictionary(pages)
+    target = qualified(pages.sparkSession, folder)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from pyarrow import fs
         from pyspark import TaskContext
 
-        system, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        system, base = fs.FileSystem.from_uri(target)
         context = TaskContext.get()
         known = zstandard.ZstdCompressionDict(trained) if trained else None
         writer = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=True)
@@ -272,7 +293,7 @@ def round_trip(pages: DataFrame, *, least: int = 1000) -> DataFrame:
     return read_archives(files)
 
 
-def _make(spark, folder: str) -> None:
+def _make(spark: SparkSession, folder: str) -> None:
     """Creates the folder in the file system it is in, so that an empty table reads as empty too."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
