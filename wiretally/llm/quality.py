@@ -12,7 +12,7 @@ a bound stated here, whatever the table's size. Scoring covers every whole text,
 Defined cases
     A null text is an empty one; texts without words have the score of the model's bias.
     Labels: null ids and null qualities are left out, an id labelled both ways too. Ids labelled
-    repeatedly count once. Without two classes every score is the share of label 1 (0.5 without labels).
+    repeatedly count once, with the least text where they have several. Without two classes every score is the share of label 1 (0.5 without labels).
     Rows of equal text get equal scores. An empty table gives an empty table.
 """
 
@@ -51,7 +51,7 @@ class Model:
 def shape(word: str) -> str:
     """Character classes of a word, equal ones in a row written once."""
     out = []
-    for c in word[:40]:
+    for c in word:
         k = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)
@@ -246,8 +246,9 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000) -> Model
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found, pa.int32()))],
                     names=["doc_id", "y", "features"])
 
-    # The sample has at most 2 * per_class narrow rows: it is the side to broadcast.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # The sample has at most 2 * per_class narrow rows: it is the side to broadcast. An id on many rows counts once.
+    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(
+        F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     rows = landed(chosen.mapInArrow(featurise, "doc_id bigint, y int, features array<int>"), "quality-sample")
     share = ones / total
 
@@ -277,10 +278,13 @@ def score_texts(model: Model, make: Featuriser, texts: list[str | None]) -> np.n
     out = np.zeros(len(texts))
     for start, group in batches(texts):
         found, ends = make(group)
-        top = np.concatenate([[0.0], np.cumsum(model.weights[found], dtype=np.float64)])
-        norm = np.concatenate([[0.0], np.cumsum(np.square(model.scale[found], dtype=np.float64))])
-        size = np.sqrt(np.maximum(norm[ends[1:]] - norm[ends[:-1]], 0))
-        m = (top[ends[1:]] - top[ends[:-1]]) / np.where(size > 1e-9, size, 1.0) + model.bias
+        some = np.flatnonzero(ends[1:] > ends[:-1])  # texts without features have a sum of nothing
+        top, norm = np.zeros(len(group)), np.zeros(len(group))
+        if len(some):  # each text is summed by itself, so its score does not depend on its neighbours
+            top[some] = np.add.reduceat(model.weights[found].astype(np.float64), ends[some])
+            norm[some] = np.add.reduceat(np.square(model.scale[found], dtype=np.float64), ends[some])
+        size = np.sqrt(norm)
+        m = top / np.where(size > 1e-9, size, 1.0) + model.bias
         out[start:start + len(group)] = 1 / (1 + np.exp(-np.clip(model.slope * m + model.shift, -60, 60)))
     return out
 
