@@ -9,7 +9,8 @@ from wiretally.checks.base import query
 from wiretally.checks.sqlparts import EXR, KEYED, WITH, entropy_of, in_list
 from wiretally.checks.traffic import TEMPLATE, ex, keyed
 from wiretally.functions import bodies, urls
-from wiretally.operators import catalog, drift, merge, reports, requests, traffic
+from wiretally.operators import catalog, drift, merge, reports, requests, search_index, traffic
+from wiretally.session import state_folder
 from wiretally.sources import derived as D
 
 _ID = """CASE WHEN operation IS NOT NULL THEN 'post-graphql-' || operation ELSE lower(method) || '-' ||
@@ -35,6 +36,14 @@ def endpoints(spark, sf):
     ).withColumn("pos", F.col("first_us")).withColumn("verified", F.lit(None).cast("boolean"))
 
 
+def searched(spark, sf):
+    """The search index of the catalog, built once and landed."""
+    built = search_index.build_search_index(endpoints(spark, sf))
+    return search_index.SearchIndex(
+        D.landed(spark, sf, "search-entries", lambda: built.entries),
+        D.landed(spark, sf, "search-postings", lambda: built.postings.sortWithinPartitions("gram", "domain")))
+
+
 # ------------------------------------------------------------------------------------------
 # drift
 # ------------------------------------------------------------------------------------------
@@ -262,8 +271,6 @@ def _(spark, sf):
 # ------------------------------------------------------------------------------------------
 @query("catalog_store", f"{CAT} SELECT domain, key, CASE WHEN domain LIKE 'api.pay%' THEN 'NEW' ELSE method END AS method, hits FROM cat WHERE domain <> 'www.shop.example.com'")
 def _(spark, sf):
-    from wiretally.session import state_folder
-
     e = endpoints(spark, sf).select("domain", "key", "method", "hits")
     path = state_folder(spark, "catalog")
     catalog.write_catalog(e, path, 8)
@@ -275,8 +282,6 @@ def _(spark, sf):
 
 @query("catalog_one_domain", f"{CAT} SELECT key, hits FROM cat WHERE domain = 'api.shop.example.com'")
 def _(spark, sf):
-    from wiretally.session import state_folder
-
     path = state_folder(spark, "catalog")
     catalog.write_catalog(endpoints(spark, sf).select("domain", "key", "hits"), path, 8)
     return catalog.read_catalog(spark, path, "api.shop.example.com", 8).select("key", "hits")
@@ -305,23 +310,49 @@ def _(spark, sf):
 SELECT domain, id, method, path, tier, false AS verified FROM cat WHERE contains(lower(domain || ' ' || id || ' ' || path || ' ' || method), 'orders')
   AND contains(lower(domain || ' ' || id || ' ' || path || ' ' || method), 'post')""")
 def _(spark, sf):
-    return catalog.search(catalog.build_search_index(endpoints(spark, sf)), "Orders  POST")
+    return search_index.search(searched(spark, sf), "Orders  POST")
 
 
-@query("search_summary", f"""{CAT}
-SELECT count(*) > 0 AS found, count(*) || ' endpoints across ' || count(DISTINCT domain) || CASE WHEN count(DISTINCT domain) = 1 THEN ' domain' ELSE ' domains' END AS summary
-FROM cat WHERE contains(domain, 'shop')""")
+@query("search_short_terms", f"""{CAT}
+SELECT domain, id, method, path, tier, false AS verified FROM cat WHERE contains(lower(domain || ' ' || id || ' ' || path || ' ' || method), 'v2')
+  AND contains(lower(domain || ' ' || id || ' ' || path || ' ' || method), '/')""")
 def _(spark, sf):
-    return catalog.search_summary(catalog.search(catalog.build_search_index(endpoints(spark, sf)), "shop"))
+    return search_index.search(searched(spark, sf), "v2 /")
 
 
-@query("search_index_update", f"""{CAT}
-SELECT domain, id, CASE WHEN domain LIKE 'api.pay%' THEN 'red' ELSE tier END AS tier FROM cat WHERE domain <> 'api.shop.example.com'""")
+@query("search_postings", f"""{CAT},
+ t AS (SELECT DISTINCT domain, lower(domain || ' ' || id || ' ' || path || ' ' || method) AS text FROM cat)
+SELECT domain, gram, count(*) AS n FROM (SELECT DISTINCT domain, text, text[i:i + s - 1] AS gram FROM t, range(1, 4) AS z(s), unnest(range(1, length(text) - s + 2)) AS p(i))
+GROUP BY domain, gram""")
+def _(spark, sf):
+    return searched(spark, sf).postings.groupBy("domain", "gram").agg(F.sum("n").alias("n"))
+
+
+@query("search_summary", f"""{CAT}
+SELECT count(*) > 0 AS found, count(*) || ' endpoints across ' || count(DISTINCT domain) || CASE WHEN count(DISTINCT domain) = 1 THEN ' domain' ELSE ' domains' END AS summary
+FROM cat WHERE contains(domain, 'shop')""")
 def _(spark, sf):
-    index = catalog.build_search_index(endpoints(spark, sf))
-    new = index.filter(F.col("domain").startswith("api.pay")).withColumn("tier", F.lit("red"))
-    gone = index.filter(F.col("domain") == "api.shop.example.com").select("domain")
-    return catalog.remove_from_index(catalog.update_search_index(index, new), gone).select("domain", "id", "tier")
+    return catalog.search_summary(search_index.search(searched(spark, sf), "shop"))
+
+
+@query("search_index_update", f"""{CAT},
+ u AS (SELECT domain, CASE WHEN domain LIKE 'api.pay%' THEN 'new-' || id ELSE id END AS id, method, path, CASE WHEN domain LIKE 'api.pay%' THEN 'red' ELSE tier END AS tier
+   FROM cat WHERE domain <> 'api.shop.example.com')
+SELECT domain, id, tier, contains(lower(domain || ' ' || id || ' ' || path || ' ' || method), 'new-') AS found FROM u""")
+def _(spark, sf):
+    """An index on disk: one domain replaced, another removed, then listed and searched."""
+    folder, e = state_folder(spark, "search-index"), endpoints(spark, sf)
+    search_index.save_search_index(search_index.build_search_index(e, 8), folder)
+    new = e.filter(F.col("domain").startswith("api.pay")).withColumn("tier", F.lit("red")).withColumn(
+        "id", F.concat(F.lit("new-"), "id"))
+    search_index.replace_in_search_index(spark, folder, new, new, 8)
+    gone = spark.range(1).select(F.lit("api.shop.example.com").alias("domain"))
+    search_index.replace_in_search_index(spark, folder, gone, buckets=8)
+    index = search_index.open_search_index(spark, folder)
+    hits = search_index.search(index, "new-").select("domain", "id", "path", "method", F.lit(True).alias("found"))
+    listed = search_index.search(index, "")
+    return listed.join(hits, ["domain", "id", "path", "method"], "left").select(
+        "domain", "id", "tier", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 @query("index_staleness", f"""{CAT}, n AS (SELECT count(DISTINCT domain) AS d, max(last_us) AS t FROM cat)

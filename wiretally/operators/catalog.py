@@ -1,4 +1,4 @@
-"""Catalog tables: storage, search index, validation, fingerprint."""
+"""Catalog tables: storage, validation, fingerprint."""
 
 from __future__ import annotations
 
@@ -62,8 +62,8 @@ def read_catalog(spark: SparkSession, path: str, domain: str | None = None,
     df = spark.read.parquet(path)
     if domain is None:
         return df.drop("bucket")
-    want = spark.range(1).select(bucket(F.lit(domain), buckets).alias("b")).first()["b"]
-    return df.filter((F.col("bucket") == want) & (F.col("domain") == domain)).drop("bucket")
+    # a constant: the planner folds it before it prunes
+    return df.filter((F.col("bucket") == bucket(F.lit(domain), buckets)) & (F.col("domain") == domain)).drop("bucket")
 
 
 def safe_documents(docs: DataFrame, raw: str = "raw") -> DataFrame:
@@ -103,39 +103,12 @@ def list_catalog(endpoints: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------
-# search index
+# searched tables; the index itself is in ``search_index``
 # ------------------------------------------------------------------------------------------
-def build_search_index(endpoints: DataFrame) -> DataFrame:
-    """The narrow table searches read: defaults filled, and the searched text ready."""
-    index = endpoints.select(
-        "domain", F.coalesce("id", F.lit("")).alias("id"),
-        F.coalesce("method", F.lit("GET")).alias("method"),
-        F.coalesce("path", F.lit("/")).alias("path"),
-        F.coalesce("tier", F.lit("unknown")).alias("tier"),
-        F.coalesce("verified", F.lit(False)).alias("verified"),
-    )
-    return index.withColumn("text", F.lower(F.concat_ws(" ", "domain", "id", "path", "method")))
-
-
-def update_search_index(index: DataFrame, new: DataFrame) -> DataFrame:
-    """Replace the entries of the new rows' domains."""
-    kept = index.join(new.select("domain").distinct(), "domain", "left_anti")
-    return kept.unionByName(new)
-
-
 def remove_from_index(index: DataFrame, domains: DataFrame) -> DataFrame:
     return index.join(domains.select("domain").distinct(), "domain", "left_anti")
 
 
-def search(index: DataFrame, query: str) -> DataFrame:
-    """Endpoints whose text has every term. A term that starts a word is also inside the text, so
-    containment is the whole rule. An empty query matches everything."""
-    hit = F.lit(True)
-    for term in query.lower().split():
-        hit = hit & F.col("text").contains(term)
-    return index.filter(hit).select("domain", "id", "method", "path", "tier", "verified")
-
-
 def search_summary(hits: DataFrame) -> DataFrame:
     """One row: found, and how many endpoints across how many domains. Counts per domain come first,
     so the distinct count is over domains."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiretally.functions import paths, urls
+from wiretally.functions.grams import containing
 
 REPLAYABLE = ["green", "yellow", "unknown"]
 
@@ -74,8 +75,8 @@ def pick_endpoints(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     """The catalog endpoint that answers a page URL best: the first replayable GET endpoint whose
     path contains the page's path or is contained in it, else the first one.
 
-    Each distinct path of a domain is matched once, however many pages have it, and only overlapping pairs leave
-    the join; a hot domain's partition can be split, because both sides are joined by equality.
+    Distinct paths and distinct templates of a domain meet in both directions through the rarest trigram of the shorter
+    one, see :func:`containing`: what is compared grows with what overlaps, not with pages times endpoints.
 
     ``pages``: (page_id, domain, path); ``catalog``: domain, id, method, path, tier, pos.
     """
@@ -84,15 +85,26 @@ def pick_endpoints(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     ).select("domain", "id", "pos", F.col("path").alias("template"))
     order = F.struct("pos", "id")
     first = usable.groupBy("domain").agg(F.min_by("id", order).alias("first_id"))
+    templates = usable.groupBy("domain", "template").agg(F.min(order).alias("best"))
     asked = pages.filter("path <> '/'").select("domain", "path").distinct()
-    overlap = F.col("path").contains(F.col("template")) | F.col("template").contains(F.col("path"))
-    matched = asked.join(usable, "domain").filter(overlap).groupBy("domain", "path").agg(
-        F.min_by("id", order).alias("match_id"))
+    matched = overlapping(asked, templates.select("domain", "template")).join(
+        templates, ["domain", "template"]).groupBy("domain", "path").agg(F.min("best").alias("best")).select(
+        "domain", "path", F.col("best.id").alias("match_id"))
     return pages.join(matched, ["domain", "path"], "left").join(first, "domain", "left").select(
         "page_id", "domain", F.coalesce("match_id", "first_id").alias("endpoint_id"),
         F.col("match_id").isNotNull().alias("overlaps"))
 
 
+def overlapping(paths: DataFrame, templates: DataFrame) -> DataFrame:
+    """``domain, path, template`` where one contains the other; a pair of equal ones comes twice."""
+    inside = containing(templates.select("domain", F.col("template").alias("needle")),
+                        paths.select("domain", F.col("path").alias("haystack")), "domain")
+    around = containing(paths.select("domain", F.col("path").alias("needle")),
+                        templates.select("domain", F.col("template").alias("haystack")), "domain")
+    return inside.select("domain", F.col("haystack").alias("path"), F.col("needle").alias("template")).unionByName(
+        around.select("domain", F.col("needle").alias("path"), F.col("haystack").alias("template")))
+
+
 def verified_tiers(endpoints: DataFrame, results: DataFrame) -> DataFrame:
     """Tier of an endpoint from a landed test call: 2xx green, 401/403 yellow, another status orange,
     no response red; without a test call the heuristic tier stays.
