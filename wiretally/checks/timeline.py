@@ -163,6 +163,29 @@ def _(spark, sf):
     return index_columns(jobs.read_index(spark, folder))
 
 
+_IDLE = 3 * 3600  # seconds; no domain of the test events is idle for days
+_EXPIRED = _OBS.replace(" obs AS (", " obs0 AS (", 1).replace("\n idx AS (", f"""
+ gaps AS (SELECT domain, ts_us, lead(ts_us) OVER (PARTITION BY domain ORDER BY ts_us) AS nxt FROM obs0),
+ cut AS (SELECT domain, max(ts_us) AS until_us FROM gaps WHERE (nxt IS NULL OR nxt - ts_us >= {_IDLE}000000)
+   AND ts_us + {_IDLE}000000 <= (SELECT max(ts_us) // 1000 * 1000 FROM obs0) - 600000000 GROUP BY domain),
+ obs AS (SELECT obs0.* FROM obs0 LEFT JOIN cut USING (domain) WHERE until_us IS NULL OR ts_us > until_us),
+ idx AS (""", 1)
+
+
+@query("stream_index_expired", f"{_EXPIRED} SELECT * FROM idx")
+def _(spark, sf):
+    """Part of the files, compaction, the rest; then all domains' idle spans, another compaction, and the index."""
+    folder, checkpoint = state_folder(spark, "index"), state_folder(spark, "index-cp")
+    path = D.landed_path(spark, sf, "exchanges", ex)
+    for files in ("part-0000[0-3]*", "part-*"):
+        source = stream_exchanges(spark, path, glob=files)
+        jobs.index_writer(source, folder, checkpoint, 3600).trigger(availableNow=True).start().awaitTermination()
+        jobs.compact_index(spark, folder, slice_s=3600, idle_s=_IDLE)
+    jobs.expiry_writer(stream(spark, sf), folder, state_folder(spark, "expiry-cp"), f"{_IDLE} seconds").trigger(
+        availableNow=True).start().awaitTermination()
+    return index_columns(jobs.read_index(spark, folder))
+
+
 @query("stream_index_domain", f"{_OBS} SELECT * FROM idx WHERE domain = 'api.shop.example.com'")
 def _(spark, sf):
     folder = state_folder(spark, "index")
@@ -185,12 +208,13 @@ def _(spark, sf):
         "session", "domain", "key")
 
 
-@query("stream_sessions", f"""{WITH}{KEYED},
- s AS (SELECT session, ts_us, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY session ORDER BY ts_us) < {_GAP}000000 THEN 0 ELSE 1 END AS st FROM keyed),
+@query("stream_sessions", f"""{_NEWS},
+ s AS (SELECT session, ts_us, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY session ORDER BY ts_us) < {_GAP}000000 THEN 0 ELSE 1 END AS st FROM news),
  n AS (SELECT *, sum(st) OVER (PARTITION BY session ORDER BY ts_us) AS grp FROM s),
- g AS (SELECT session, count(*) AS exchanges, min(ts_us) AS start_us, max(ts_us) AS end_us FROM n GROUP BY session, grp)
+ g AS (SELECT session, count(*) AS endpoints, min(ts_us) AS start_us, max(ts_us) AS end_us FROM n GROUP BY session, grp)
 SELECT * FROM g WHERE end_us + {_GAP}000000 <= (SELECT max(ts_us) // 1000 * 1000 FROM keyed) - 600000000""")
 def _(spark, sf):
+    _rocksdb(spark)
     return outcome(spark, jobs.session_stream(stream(spark, sf), _GAP), "sessions")
 
 

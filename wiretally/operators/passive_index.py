@@ -45,10 +45,10 @@ def observations(ex: DataFrame) -> DataFrame:
     )
 
 
-def combinations(obs: DataFrame) -> DataFrame:
-    """Counts per combination: the map-side half of the index."""
+def combinations(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts per combination: the map-side half of the index; ``by``: more columns to keep apart."""
     return obs.groupBy(
-        "domain", "path", "method", "auth_type", "pagination", "type", "has_body", "params"
+        *by, "domain", "path", "method", "auth_type", "pagination", "type", "has_body", "params"
     ).agg(
         F.count("*").alias("hits"),
         F.min(ordinal("ts_us", "seq")).alias("first_ord"),
@@ -76,11 +76,11 @@ def _per_name(rows: DataFrame) -> tuple[DataFrame, Column]:
     return out, F.coalesce(F.col("name_pos"), F.lit(0)) == 0
 
 
-def endpoint_index(combos: DataFrame) -> DataFrame:
+def endpoint_index(combos: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(domain, path) rows: hits, methods, first known auth kind, pagination and type, parameter
     names, any body. ``lastSeen`` is the true maximum, also under late data."""
     rows, once = _per_name(combos)
-    return rows.groupBy("domain", "path").agg(
+    return rows.groupBy(*by, "domain", "path").agg(
         F.sum(F.when(once, F.col("hits"))).alias("hits"),
         F.min("first_us").alias("first_us"),
         F.max("last_us").alias("last_us"),
@@ -104,7 +104,7 @@ def passive_index(ex: DataFrame) -> DataFrame:
     return endpoint_index(combinations(observations(ex)))
 
 
-def merge_index(*parts: DataFrame) -> DataFrame:
+def merge_index(*parts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Fold endpoint indexes into one. A value known earlier wins, whichever part it comes from."""
     rows = parts[0]
     for part in parts[1:]:
@@ -117,7 +117,7 @@ def merge_index(*parts: DataFrame) -> DataFrame:
         ]
 
     rows, once = _per_name(rows)
-    return rows.groupBy("domain", "path").agg(
+    return rows.groupBy(*by, "domain", "path").agg(
         F.sum(F.when(once, F.col("hits"))).alias("hits"),
         F.min("first_us").alias("first_us"),
         F.max("last_us").alias("last_us"),

@@ -8,8 +8,12 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from wiretally import constants as K
 from wiretally.operators import passive_index, traffic
+from wiretally.session import remove
+from wiretally.streaming import stateful
 
 LATE = "10 minutes"
+#: An endpoint that a session has not met for so long is new to it again.
+FORGET_SECONDS = 60 * 86_400
 
 
 def event_time(df: DataFrame, late: str = LATE) -> DataFrame:
@@ -22,18 +26,24 @@ def event_time(df: DataFrame, late: str = LATE) -> DataFrame:
 # continuous index
 # ------------------------------------------------------------------------------------------
 #: Version of the index's layout; readers refuse any other.
-INDEX_VERSION = 1
+INDEX_VERSION = 2
+#: Rows of the index are kept apart by the day they were seen on, so that what a domain did before it was idle can go.
+SLICE_SECONDS = 86_400
+IDLE_DAYS = K.DELETE_DAYS
 
 
-def index_writer(ex: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
+def index_writer(ex: DataFrame, folder: str, checkpoint: str, slice_s: int = SLICE_SECONDS) -> DataStreamWriter:
     """Write the index of every micro-batch as one partition of the folder's deltas.
 
     A repeated batch overwrites its own partition, so a lost executor or a restarted query never
-    counts a hit twice. The index is the merge of the deltas, see :func:`read_index`."""
+    counts a hit twice. The index is the merge of the deltas, see :func:`read_index`. ``slice_s`` must not exceed the
+    idle time of :func:`expired_domains`."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        obs = passive_index.observations(batch).withColumn("slice", F.floor(F.col("ts_us") / (slice_s * 1_000_000)))
+        by = ("slice",)
         (
-            passive_index.passive_index(batch)
+            passive_index.endpoint_index(passive_index.combinations(obs, by), by)
             .withColumn("version", F.lit(INDEX_VERSION))
             .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
             .write.mode("overwrite")
@@ -45,66 +55,105 @@ def index_writer(ex: DataFrame, folder: str, checkpoint: str) -> DataStreamWrite
     return ex.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def _generation(spark: SparkSession, folder: str) -> int | None:
-    """The newest whole generation: its number is the last batch that it covers."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/generations")
+def expired_domains(ex: DataFrame, idle: str = f"{IDLE_DAYS} days", late: str = LATE) -> DataFrame:
+    """``domain, first_us, last_us, hits`` of every span of observations after which a domain was idle for ``idle``.
+
+    A domain's span is a session window. It is the only state of the domain, and when the watermark passes its end the
+    span is emitted and leaves the state. A domain that comes back later begins another span."""
+    obs = event_time(passive_index.observations(ex).select("ts", "ts_us", "domain"), late)
+    return obs.groupBy("domain", F.session_window("ts", idle).alias("w")).agg(
+        F.count("*").alias("hits"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us")
+    ).select("domain", "first_us", "last_us", "hits")
+
+
+def expiry_writer(ex: DataFrame, folder: str, checkpoint: str, idle: str = f"{IDLE_DAYS} days") -> DataStreamWriter:
+    """Append expired spans to the folder of an index; its readers leave out what they cover."""
+    return expired_domains(ex, idle).writeStream.format("parquet").outputMode("append").option(
+        "path", f"{folder}/expired").option("checkpointLocation", checkpoint)
+
+
+def _names(spark: SparkSession, folder: str, need: str = "") -> list[int]:
+    """Numbers n of the folders ``…=n`` below a folder, of those that hold ``need``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(path):
-        return None
-    found = [int(f.getPath().getName().partition("=")[2]) for f in system.listStatus(path)
-             if system.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
-    return max(found, default=None)
+        return []
+    return sorted(
+        int(f.getPath().getName().partition("=")[2]) for f in system.listStatus(path)
+        if "=" in f.getPath().getName()
+        and (not need or system.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), need))))
 
 
-def _index_parts(spark: SparkSession, folder: str) -> DataFrame:
-    deltas = spark.read.parquet(f"{folder}/deltas")
+def _generation(spark: SparkSession, folder: str) -> int | None:
+    """The newest whole generation: its number is the last batch that it covers."""
+    return max(_names(spark, f"{folder}/generations", "_SUCCESS"), default=None)
+
+
+def _alive(spark: SparkSession, folder: str, parts: DataFrame) -> DataFrame:
+    """Rows of an index without those that were last seen in an expired span of their domain. Spans are as few as
+    domains went idle; a gap is at least a slice long, so no row reaches across it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/expired/_spark_metadata")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return parts
+    spans = spark.read.parquet(f"{folder}/expired").groupBy("domain").agg(F.max("last_us").alias("expired_us"))
+    return parts.join(spans, "domain", "left").filter(
+        F.col("expired_us").isNull() | (F.col("last_us") > F.col("expired_us"))).drop("expired_us")
+
+
+def _index_parts(spark: SparkSession, folder: str, up_to: int | None = None) -> DataFrame:
     covered = _generation(spark, folder)
-    if covered is None:
-        return deltas.drop("batch_id")
-    merged = spark.read.parquet(f"{folder}/generations/covers={covered}")
-    return merged.unionByName(deltas.filter(F.col("batch_id") > covered).drop("batch_id"))
+    deltas = spark.read.parquet(f"{folder}/deltas")
+    newer = deltas.filter(F.col("batch_id") > F.lit(-1 if covered is None else covered))
+    if up_to is not None:
+        newer = newer.filter(F.col("batch_id") <= up_to)
+    newer = newer.drop("batch_id")
+    if covered is not None:
+        newer = spark.read.parquet(f"{folder}/generations/covers={covered}").unionByName(newer)
+    wrong = F.raise_error(F.concat(F.lit("index version "), F.col("version").cast("string")))
+    checked = newer.filter(F.when(F.col("version") == INDEX_VERSION, True).otherwise(wrong.cast("boolean")))
+    return checked.drop("version")
 
 
 def read_index(spark: SparkSession, folder: str, domain: str | None = None) -> DataFrame:
     """The index a stream has built so far, or one domain of it: the newest generation and the deltas after it,
-    merged, the earliest known value first. Another version of the layout is an error."""
+    without expired spans, merged, the earliest known value first. Another version of the layout is an error. A reader
+    may overlap one compaction: the generation before the newest and the deltas after it stay."""
     parts = _index_parts(spark, folder)
     if domain is not None:
         parts = parts.filter(F.col("domain") == domain)
-    wrong = F.raise_error(F.concat(F.lit("index version "), F.col("version").cast("string")))
-    checked = parts.filter(F.when(F.col("version") == INDEX_VERSION, True).otherwise(wrong.cast("boolean")))
-    return passive_index.merge_index(checked.drop("version"))
+    return passive_index.merge_index(_alive(spark, folder, parts).drop("slice"))
 
 
-def compact_index(spark: SparkSession, folder: str, as_of_us: int | None = None) -> None:
-    """Write a generation: all deltas of now and the generation before, merged, without domains that were idle for
-    too long. The writer may go on meanwhile, its later batches stay deltas; readers see the generation once
-    it is whole. Deltas and generations that are covered can be removed by the operator of the folder."""
-    last = spark.read.parquet(f"{folder}/deltas").agg(F.max("batch_id")).first()[0]
-    if last is None or last == _generation(spark, folder):
-        return
-    deltas = spark.read.parquet(f"{folder}/deltas").filter(F.col("batch_id") <= last).drop("batch_id")
+def compact_index(spark: SparkSession, folder: str, as_of_us: int | None = None, *, slice_s: int = SLICE_SECONDS,
+                  idle_s: int = IDLE_DAYS * 86_400) -> None:
+    """Write a generation: all deltas of now and the generation before, merged, without expired spans. The writer may go
+    on meanwhile, its later batches stay deltas. Readers see the generation once it is whole; then the deltas of the
+    generation before it and all older generations are removed.
+
+    ``as_of_us``: a time that the watermark has passed. Domains that were idle for too long then are left out as well,
+    and slices that no later expiry can part any more become one, so an old domain costs a row per path."""
     covered = _generation(spark, folder)
-    if covered is not None:
-        old = spark.read.parquet(f"{folder}/generations/covers={covered}")
-        newer = spark.read.parquet(f"{folder}/deltas").filter(
-            (F.col("batch_id") > covered) & (F.col("batch_id") <= last)).drop("batch_id")
-        deltas = old.unionByName(newer)
-    merged = passive_index.merge_index(deltas.drop("version"))
+    last = max(_names(spark, f"{folder}/deltas"), default=None)
+    if last is None or last == covered:
+        return
+    rows = _alive(spark, folder, _index_parts(spark, folder, last))
     if as_of_us is not None:
-        domains = passive_index.lifecycle(passive_index.domain_index(merged), as_of_us)
-        dead = domains.filter("freshness = 'deleted'").select("domain")
+        settled = (as_of_us - idle_s * 1_000_000) // (slice_s * 1_000_000)
+        rows = rows.withColumn("slice", F.greatest("slice", F.lit(settled)))
+    merged = passive_index.merge_index(rows, by=("slice",))
+    if as_of_us is not None:
+        seen = merged.groupBy("domain").agg(F.max("last_us").alias("last_us"))
+        dead = passive_index.lifecycle(seen, as_of_us).filter("freshness = 'deleted'").select("domain")
         merged = merged.join(dead, "domain", "left_anti")
     merged.withColumn("version", F.lit(INDEX_VERSION)).write.mode("overwrite").parquet(
         f"{folder}/generations/covers={last}")
-
-
-def live_index(ex: DataFrame, late: str = LATE, size: str = "1 day") -> DataFrame:
-    """Counts per (domain, path) and window, for dashboards; the watermark frees ended windows."""
-    obs = event_time(passive_index.observations(ex), late)
-    return obs.groupBy(F.window("ts", size).alias("w"), "domain", "path").agg(
-        F.count("*").alias("hits"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us")
-    ).select(F.col("w.start").alias("start"), "domain", "path", "hits", "first_us", "last_us")
+    if covered is not None:
+        for n in _names(spark, f"{folder}/deltas"):
+            if n <= covered:
+                remove(spark, f"{folder}/deltas/batch_id={n}")
+        for n in _names(spark, f"{folder}/generations"):
+            if n < covered:
+                remove(spark, f"{folder}/generations/covers={n}")
 
 
 # ------------------------------------------------------------------------------------------
@@ -148,13 +197,18 @@ def new_endpoint_stream(ex: DataFrame, late: str = "1 day") -> DataFrame:
     )
 
 
-def session_stream(ex: DataFrame, idle_s: int = K.IDLE_SECONDS, late: str = LATE) -> DataFrame:
-    """Capture sessions of a stream: they end ``idle_s`` after the last accepted exchange."""
-    kept = event_time(traffic.accepted(ex), late)
+def session_stream(ex: DataFrame, idle_s: int = K.IDLE_SECONDS, late: str = LATE,
+                   forget_s: int = FORGET_SECONDS) -> DataFrame:
+    """Capture sessions of a stream: they end ``idle_s`` after the last endpoint that was new to the session.
+
+    Two operators in a row: first sightings of endpoints, whose state forgets an endpoint ``forget_s`` after the session
+    met it last, and session windows over what is left."""
+    keyed = event_time(traffic.with_keys(traffic.accepted(ex)), late)
+    news = stateful.first_sightings(keyed, ["session", "domain", "key"], forget_s)
     return (
-        kept.groupBy("session", F.session_window("ts", f"{idle_s} seconds").alias("w"))
-        .agg(F.count("*").alias("exchanges"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
-        .select("session", "exchanges", "start_us", "end_us")
+        news.groupBy("session", F.session_window("ts", f"{idle_s} seconds").alias("w"))
+        .agg(F.count("*").alias("endpoints"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
+        .select("session", "endpoints", "start_us", "end_us")
     )
 
 

@@ -28,6 +28,52 @@ def _sorted(rows: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
     return pd.concat(frames).sort_values(["ts_us", "seq"])
 
 
+class FirstSightings(StatefulProcessor):
+    """The first row of every key, by time inside a micro-batch. State: when the key was seen last; a timer on that time
+    drops it, after which the key counts as new."""
+
+    def __init__(self, forget_s: int) -> None:
+        self.forget_ms = forget_s * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", _struct(("ts_us", T.LongType())))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        spans = [(int(r["ts_us"].min()), int(r["ts_us"].max())) for r in rows if len(r)]
+        if not spans:
+            return
+        first, last = min(a for a, _ in spans), max(b for _, b in spans)
+        known = self.last.get()[0] if self.last.exists() else None
+        if known is None or last > known:
+            if known is not None:
+                self.handle.deleteTimer(known // 1000 + self.forget_ms)
+            self.last.update((last,))
+            self.handle.registerTimer(last // 1000 + self.forget_ms)
+        if known is None:
+            names = self.names
+            yield pd.DataFrame([(*key, pd.Timestamp(first, unit="us"), first)], columns=[*names, "ts", "ts_us"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def first_sightings(rows: DataFrame, keys: list[str], forget_s: int) -> DataFrame:
+    """``keys, ts, ts_us`` of the first row of every key; ``rows`` has these columns and a watermark on ``ts``, which the
+    result keeps, so that another stateful operator can follow. One key's state is one number: a session of any size is
+    spread over all tasks by its endpoints."""
+    processor = FirstSightings(forget_s)
+    processor.names = keys
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("ts", T.TimestampType()),
+                           T.StructField("ts_us", T.LongType())])
+    return rows.select(*keys, "ts", "ts_us").groupBy(*keys).transformWithStateInPandas(
+        processor, schema, "Append", "eventTime", eventTimeColumnName="ts")
+
+
 class RateLimiter(StatefulProcessor):
     """Greedy sliding limiter: a call passes while fewer than ``limit`` passed calls lie in the window
     before it. State: the passed calls of one window. It is dropped after a quiet window."""
