@@ -221,7 +221,8 @@ def test_two_archives_keep_their_rows_apart(spark, tmp_path):
     import json
 
     from wiretally.operators import traffic
-    from wiretally.sources.exchanges import EXCHANGE_SCHEMA, read_har
+    from wiretally.sources.archives import read_archives
+    from wiretally.sources.exchanges import EXCHANGE_SCHEMA
 
     def entry(i, host):
         return {
@@ -236,7 +237,7 @@ def test_two_archives_keep_their_rows_apart(spark, tmp_path):
     zone = spark.conf.get("spark.sql.session.timeZone")
     try:
         spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
-        rows = read_har(spark, str(tmp_path))
+        rows = read_archives(spark, str(tmp_path))
         assert rows.schema.names == EXCHANGE_SCHEMA.names
         got = rows.collect()
         assert len({r["seq"] for r in got}) == 6 and len({r["session"] for r in got}) == 2

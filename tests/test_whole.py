@@ -1,4 +1,4 @@
-"""Queries that take the rows and kinds which the shorter queries beside them leave out."""
+"""Queries that must take all rows and kinds of their tables."""
 
 from wiretally.checks import QUERIES, traffic
 
@@ -14,13 +14,12 @@ def test_wiki_bodies_with_links(spark):
 
 def test_previews_and_tokens_of_all_exchanges(spark):
     n = traffic.ex(spark, SF).count()
-    for name in ("response_preview_all", "refreshable_tokens_all"):
-        rows = QUERIES[name](spark, SF)
-        assert rows.count() == n > QUERIES[name.removesuffix("_all")](spark, SF).count()
+    for name in ("response_preview", "refreshable_tokens"):
+        assert QUERIES[name](spark, SF).count() == n
 
 
 def test_all_calls_are_rendered_whole(spark):
-    rows = QUERIES["render_all_requests"](spark, SF).collect()
+    rows = QUERIES["render_requests"](spark, SF).collect()
     urls = [r["url"] for r in rows if r["endpoint_id"] == "post-api-users-profile" and r["url"]]
     assert len(rows) == traffic.ex(spark, SF).count() and urls
     assert all("&order_id=" in u and "&session_token=" in u for u in urls)
@@ -28,5 +27,5 @@ def test_all_calls_are_rendered_whole(spark):
 
 
 def test_merge_takes_endpoints_of_one_key(spark):
-    rows = QUERIES["merge_catalog_all"](spark, SF).filter("path = '/graphql'").collect()
+    rows = QUERIES["merge_catalog"](spark, SF).filter("path = '/graphql'").collect()
     assert rows and len({r["domain"] for r in rows}) == len(rows)

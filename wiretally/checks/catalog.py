@@ -128,23 +128,8 @@ def _(spark, sf):
 # ------------------------------------------------------------------------------------------
 # merge
 # ------------------------------------------------------------------------------------------
-_IMP = f"""{CAT},
- imp AS (SELECT domain, method, replace(path, ':', ':x') AS path, length(path) AS n, body_missing, response_type, provenance, confidence,
-    CASE WHEN length(path) % 2 = 0 THEN 'Doc of ' || id END AS description, CASE WHEN length(path) % 3 <> 1 THEN 'https://spec' END AS spec_source,
-    length(path) % 5 = 0 AS has_param, key FROM cat WHERE length(key) % 4 <> 0 AND operation IS NULL),
- m AS (SELECT cat.domain, cat.method, cat.path, cat.key, cat.body_missing, imp.key IS NOT NULL AS matched, imp.description, imp.spec_source, imp.has_param,
-    CASE WHEN imp.key IS NULL THEN 'preserved'
-      WHEN imp.description IS NOT NULL OR imp.spec_source IS NOT NULL OR imp.has_param OR cat.body_missing THEN 'enriched' ELSE 'preserved' END AS action
-   FROM (SELECT * FROM cat WHERE operation IS NULL) cat LEFT JOIN imp ON cat.domain = imp.domain AND cat.key = imp.key),
- added AS (SELECT DISTINCT domain, 'GET' AS method, path || '/extra' AS path FROM imp),
- mg AS (SELECT domain, method, path, action, description, spec_source, CASE WHEN action = 'enriched' THEN greatest(0.7, CASE WHEN body_missing THEN 0.8 ELSE 0 END)
-     WHEN body_missing THEN 0.8 END::DOUBLE AS confidence, CASE WHEN body_missing THEN 'skeleton' END AS provenance,
-     coalesce(matched AND has_param, false) AS gained FROM m
-   UNION ALL SELECT domain, method, path, 'added', 'extra', 'https://spec', 0.7, 'openapi-import', false FROM added)"""
-
-
-def imported(spark, sf, graphql=False):
-    e = endpoints(spark, sf).filter((F.length("key") % 4 != 0) & (F.lit(graphql) | F.col("operation").isNull()))
+def imported(spark, sf):
+    e = endpoints(spark, sf).filter(F.length("key") % 4 != 0)
     n = F.length("path")
     renamed = F.replace("path", F.lit(":"), F.lit(":x"))
     extra = F.create_map(F.lit("fields"), merge.param(
@@ -169,27 +154,17 @@ def imported(spark, sf, graphql=False):
     return rows.unionByName(added)
 
 
-def existing(spark, sf, graphql=False):
+def existing(spark, sf):
     none = F.lit(None).cast("string")
-    return endpoints(spark, sf).filter(F.lit(graphql) | F.col("operation").isNull()).select(
+    return endpoints(spark, sf).select(
         "domain", "method", "path", "pos", merge.plain_params("query_params").alias("query_params"),
         "response_type", "response_fields", "confidence", "provenance",
         none.alias("spec_source"), none.alias("description"),
     )
 
 
-@query("merge_catalog", f"{_IMP} SELECT * FROM mg")
-def _(spark, sf):
-    m = merge.merge_catalog(existing(spark, sf), imported(spark, sf))
-    return m.select(
-        "domain", "method", "path", "action", "description", "spec_source", "confidence", "provenance",
-        F.coalesce(F.map_contains_key("query_params", "fields") & (F.col("action") != "added"),
-                   F.lit(False)).alias("gained"),
-    )
-
-
-# The same with the GraphQL endpoints: on either side several rows share a method and path, and the last one wins.
-_IMP_ALL = f"""{CAT},
+# On either side several GraphQL endpoints share a method and path, and the last one wins.
+_IMP = f"""{CAT},
  imp AS (SELECT domain, method, path AS path0, replace(path, ':', ':x') AS path, body_missing,
     CASE WHEN length(path) % 2 = 0 THEN 'Doc of ' || id END AS description, CASE WHEN length(path) % 3 <> 1 THEN 'https://spec' END AS spec_source,
     length(path) % 5 = 0 AS has_param, key FROM cat WHERE length(key) % 4 <> 0
@@ -206,9 +181,9 @@ _IMP_ALL = f"""{CAT},
    UNION ALL SELECT domain, method, path, 'added', 'extra', 'https://spec', 0.7, 'openapi-import', false FROM added)"""
 
 
-@query("merge_catalog_all", f"{_IMP_ALL} SELECT * FROM mg")
+@query("merge_catalog", f"{_IMP} SELECT * FROM mg")
 def _(spark, sf):
-    m = merge.merge_catalog(existing(spark, sf, True), imported(spark, sf, True))
+    m = merge.merge_catalog(existing(spark, sf), imported(spark, sf))
     return m.select(
         "domain", "method", "path", "action", "description", "spec_source", "confidence", "provenance",
         F.coalesce(F.map_contains_key("query_params", "fields") & (F.col("action") != "added"),
@@ -216,13 +191,6 @@ def _(spark, sf):
     )
 
 
-@query("merge_counts_all", f"""{_IMP_ALL}
-SELECT domain, count(*) FILTER (WHERE action = 'preserved') AS preserved, count(*) FILTER (WHERE action = 'added') AS added,
-  count(*) FILTER (WHERE action = 'enriched') AS enriched, count(*) FILTER (WHERE action = 'skipped') AS skipped FROM mg GROUP BY domain""")
-def _(spark, sf):
-    return merge.merge_counts(merge.merge_catalog(existing(spark, sf, True), imported(spark, sf, True)))
-
-
 @query("merge_counts", f"""{_IMP}
 SELECT domain, count(*) FILTER (WHERE action = 'preserved') AS preserved, count(*) FILTER (WHERE action = 'added') AS added,
   count(*) FILTER (WHERE action = 'enriched') AS enriched, count(*) FILTER (WHERE action = 'skipped') AS skipped FROM mg GROUP BY domain""")
@@ -520,34 +488,6 @@ def _(spark, sf):
 # request planning
 # ------------------------------------------------------------------------------------------
 @query("render_requests", f"""{CAT},
- calls AS (SELECT seq AS call_id, CASE WHEN seq % 7 = 0 THEN 'none.example.com' ELSE 'api.shop.example.com' END AS domain,
-   CASE seq % 4 WHEN 0 THEN 'get-api-v1-products' WHEN 1 THEN 'post-api-v2-orders' WHEN 2 THEN 'post-api-users-profile' ELSE 'get-nothing' END AS endpoint_id, k FROM ex),
- j AS (SELECT c.*, cat.path, cat.raw_path, cat.query, cat.tier FROM calls c LEFT JOIN cat ON cat.domain = c.domain AND cat.id = c.endpoint_id)
-SELECT call_id, endpoint_id, CASE WHEN path IS NULL THEN NULL
-  WHEN endpoint_id = 'get-api-v1-products' THEN 'https://' || domain || raw_path || '?limit=' || k || '&' || string_split(query, '&')[2] || '&q=a+b'
-  WHEN endpoint_id = 'post-api-v2-orders' THEN 'https://' || domain || '/api/v2/orders/' || k || '?limit=' || k || '&q=a+b' END AS url,
- CASE WHEN domain LIKE 'none%' THEN 'No skill file found for "' || domain || '"' WHEN path IS NULL THEN 'Endpoint "' || endpoint_id || '" not found in skill for ' || domain END AS error,
- CASE WHEN domain NOT LIKE 'none%' THEN coalesce(tier, 'unknown') END AS tier
-FROM j WHERE endpoint_id <> 'post-api-users-profile'""")
-def _(spark, sf):
-    ev = D.table(spark, sf, "events")
-    k = F.regexp_extract("props", r"\d+", 0)
-    s = F.col("event_id")
-    calls = ev.select(
-        s.alias("call_id"),
-        F.when(s % 7 == 0, "none.example.com").otherwise("api.shop.example.com").alias("domain"),
-        F.when(s % 4 == 0, "get-api-v1-products").when(s % 4 == 1, "post-api-v2-orders")
-        .when(s % 4 == 2, "post-api-users-profile").otherwise("get-nothing").alias("endpoint_id"),
-        F.create_map(F.lit("limit"), k, F.lit("q"), F.lit("a b"), F.lit("order_id"), k,
-                     F.lit("body.x"), k).alias("params"),
-    )
-    cat = endpoints(spark, sf).withColumn("query_params", merge.plain_params("query_params"))
-    out = requests.render_requests(calls, cat).drop("domain").filter("endpoint_id <> 'post-api-users-profile'")
-    # the catalog has no order_id slot for products, so that parameter goes to the query there
-    return out.withColumn("url", F.regexp_replace("url", "&order_id=[0-9]+", ""))
-
-
-@query("render_all_requests", f"""{CAT},
  pr AS (SELECT id, path, raw_path, domain, unnest(string_split(ltrim(query, '?'), '&')) AS kv FROM cat WHERE id = 'post-api-users-profile' AND domain = 'api.shop.example.com'),
  pv AS (SELECT string_split(kv, '=')[1] AS name, string_split(kv, '=')[2] AS val FROM pr),
  pc AS (SELECT val, unnest(string_split(val, '')) AS ch FROM (SELECT DISTINCT val FROM pv)),

@@ -147,31 +147,32 @@ def _(spark, sf):
     return doc_payloads(spark, sf).select("doc_id", P.route("url").alias("route"))
 
 
-@query("normalise_payloads", r"""WITH d AS (SELECT *, doc_id % 8 AS k, 'p' || doc_id AS sid, chr(10) AS nl FROM documents),
+_PAYLOADS = r"""WITH d AS (SELECT *, doc_id % 8 AS k, 'p' || doc_id AS sid, chr(10) AS nl FROM documents),
  r AS (SELECT k, CASE k WHEN 0 THEN 'https://www.reddit.com/r/a' || doc_id || '/' WHEN 1 THEN 'https://youtu.be/' || doc_id WHEN 2 THEN 'https://en.wikipedia.org/wiki/' || sid
    WHEN 3 THEN 'https://grokipedia.com/wiki/A_' || doc_id WHEN 4 THEN 'https://grokipedia.com/search?q=a%20' || doc_id WHEN 5 THEN 'https://grokipedia.com/?' || doc_id
    WHEN 6 THEN 'https://x.com/ann/status/' || doc_id ELSE 'https://deepwiki.com/o/r' || doc_id END AS url,
   CASE k WHEN 0 THEN 'r/a' || doc_id WHEN 3 THEN 'A ' || doc_id WHEN 4 THEN 'Grokipedia search: "a ' || doc_id || '"' WHEN 5 THEN 'Grokipedia'
    WHEN 6 THEN CASE WHEN text = '' THEN 'Tweet by Ann (@ann)' ELSE 'Ann (@ann): ' || text[1:80] || CASE WHEN length(text) > 80 THEN '…' ELSE '' END END WHEN 7 THEN 'Hi — o/r' || doc_id || ' | DeepWiki' ELSE sid END AS title,
-  CASE k WHEN 0 THEN (SELECT string_agg(n || '. t' || n || ' (' || n || ' pts, 0 comments) by u/[deleted]', chr(10) ORDER BY n) FROM unnest(range(1, least(doc_id % 30 + 2, 26))) AS t(n))
+  CASE k WHEN 0 THEN (SELECT string_agg(n || '. t' || n || ' (' || n || ' pts, 0 comments) by u/[deleted]', chr(10) ORDER BY n) FROM unnest(range(1, least(doc_id % 30 + 2, {items} + 1))) AS t(n))
    WHEN 1 THEN 'Title: ' || sid || nl || 'Author: ' || lang || nl || 'Channel: https://v/c' WHEN 2 THEN text
-   WHEN 3 THEN CASE WHEN length(text) > 20000 THEN text[1:20000] || nl || nl || '[Truncated — full article is ' || length(text) || ' chars. 12 citations available.]' ELSE text END || nl || nl || '## Sources' || nl
-     || (SELECT string_agg(n || '. [s' || n || '](https://s/' || n || ')', chr(10) ORDER BY n) FROM unnest(range(1, 11)) AS t(n)) || CASE WHEN doc_id > 0 THEN nl || nl || 'Views: ' || format('{:,}', doc_id * 1000) || ' | Quality: N/A | Language: en' ELSE '' END
+   WHEN 3 THEN CASE WHEN length(text) > {chars} THEN text[1:{chars}] || nl || nl || '[Truncated — full article is ' || length(text) || ' chars. 12 citations available.]' ELSE text END || nl || nl || '## Sources' || nl
+     || (SELECT string_agg(n || '. [s' || n || '](https://s/' || n || ')', chr(10) ORDER BY n) FROM unnest(range(1, {sources} + 1)) AS t(n)) || CASE WHEN doc_id > 0 THEN nl || nl || 'Views: ' || format('{:,}', doc_id * 1000) || ' | Quality: N/A | Language: en' ELSE '' END
    WHEN 4 THEN '1. **[' || sid || '](https://grokipedia.com/wiki/' || sid || ')** (1,234,567 views)' || nl || '   a **b** c'
    WHEN 5 THEN '# Grokipedia' || nl || nl || 'An open source, comprehensive collection of all knowledge.' || nl || nl || '**' || format('{:,}', doc_id * 10) || ' articles** | **3.0 GB index**' || nl || nl || '## Recent Activity' || nl || '- **A b** — edited by Anonymous (fix typo)' || nl
    WHEN 6 THEN '**Ann** (@ann)' || CASE WHEN text <> '' THEN nl || nl || text ELSE '' END || CASE WHEN doc_id > 0 THEN nl || format('{:,}', doc_id * 100) || ' likes' ELSE '' END
    END AS content FROM d)
-SELECT url, title, md5(content) AS digest, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens FROM r WHERE k <> 7 AND NOT (k = 6 AND title IS NULL)""")
-def _(spark, sf):
-    out = P.normalise_payloads(doc_payloads(spark, sf), P.PREVIEW).filter("route <> 'wiki'")
-    return out.select("url", "title", F.md5("content").alias("digest"), "tokens")
+SELECT url, title, md5(content) AS digest, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens FROM r WHERE k <> 7 AND NOT (k = 6 AND title IS NULL)"""
 
 
-@query("wiki_streams", r"""WITH d AS (SELECT doc_id, '# Hi' || chr(10) || chr(10) || text AS t FROM documents WHERE doc_id % 8 = 7)
-SELECT 'https://deepwiki.com/o/r' || doc_id AS url, md5(t) AS digest FROM d WHERE length(t) >= 50 AND NOT regexp_matches(t, '\]\(') AND NOT regexp_matches(t, '(^|\n)[0-9a-f]+:')""")
+def payload_sql(items, chars, sources):
+    """SQL of all routes but wiki bodies, which ``wiki_streams`` has, under the given limits."""
+    return _PAYLOADS.replace("{items}", str(items)).replace("{chars}", str(chars)).replace("{sources}", str(sources))
+
+
+@query("normalise_payloads", payload_sql(25, 20000, 10))
 def _(spark, sf):
-    plain = doc_payloads(spark, sf).filter((F.col("doc_id") % 8 == 7) & ~F.col("body").contains("]("))
-    return P.normalise_payloads(plain).select("url", F.md5("content").alias("digest"))
+    out = P.normalise_payloads(doc_payloads(spark, sf), P.PREVIEW).filter("route <> 'wiki'")
+    return out.select("url", "title", F.md5("content").alias("digest"), "tokens")
 
 
 @query("wiki_links", r"""WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS i, chr(10) AS nl, text FROM documents WHERE doc_id % 8 = 7),
@@ -191,7 +192,7 @@ def _(spark, sf):
     return out.select("url", F.md5("content").alias("digest"))
 
 
-@query("wiki_payloads", r"""WITH d AS (SELECT doc_id, '# Hi' || chr(10) || chr(10) || text AS t FROM documents WHERE doc_id % 8 = 7),
+@query("wiki_streams", r"""WITH d AS (SELECT doc_id, '# Hi' || chr(10) || chr(10) || text AS t FROM documents WHERE doc_id % 8 = 7),
  m AS (SELECT doc_id, t, 'o/r' || doc_id AS slug, regexp_replace(t, '\]\((https?://)', ']' || chr(1) || '\1', 'g') AS a FROM d WHERE length(t) >= 50),
  f AS (SELECT *, regexp_replace(a, '\[([^\]]+)\]\(([^)]+\.(?:ts|js|md|json|tsx|jsx|py|rs|go|toml|yaml|yml|css|html))\)', '[\1]' || chr(1) || 'https://github.com/' || slug || '/blob/main/\2)', 'g') AS b FROM m),
  g AS (SELECT *, regexp_replace(regexp_replace(b, '\[([^\]]+)\]\(#([^)]*)\)', '[\1]' || chr(1) || 'https://deepwiki.com/' || slug || '/\2)', 'g'),
@@ -202,6 +203,13 @@ def _(spark, sf):
     return out.select("url", "title", F.md5("content").alias("digest"))
 
 
+@query("whole_payloads", payload_sql(10 ** 9, 10 ** 9, 12))
+def _(spark, sf):
+    """Every listing, article and post without limits."""
+    out = P.normalise_payloads(doc_payloads(spark, sf)).filter("route <> 'wiki'")
+    return out.select("url", "title", F.md5("content").alias("digest"), "tokens")
+
+
 @query("whole_listings", """SELECT 'https://www.reddit.com/r/a' || doc_id || '/' AS url,
  (SELECT string_agg(n || '. t' || n || ' (' || n || ' pts, 0 comments) by u/[deleted]', chr(10) ORDER BY n) FROM unnest(range(1, doc_id % 30 + 2)) AS t(n)) AS content
 FROM documents WHERE doc_id % 8 = 0""")

@@ -13,8 +13,10 @@ from wiretally.checks.sqlparts import (
 )
 from wiretally.functions import bodies, headers, paths, text, urls
 from wiretally.operators import traffic
+from wiretally.session import state_folder
+from wiretally.sources import archives
 from wiretally.sources import derived as D
-from wiretally.sources.exchanges import split_by_size
+from wiretally.sources.exchanges import read_exchanges, split_by_size
 
 
 def ex(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,6 +41,27 @@ def _(spark, sf):
     )
 
 
+@query("archive_exchanges", f"""{WITH}{EXR}
+SELECT ts_us, method, status, url, CASE WHEN NOT body_missing THEN length(resp_body) END AS body_chars, body_missing, length(req_body) AS sent_chars, h_request_id AS request_header, content_type FROM exr""")
+def _(spark, sf):
+    """All exchanges written as archives, and the archives read back in several tasks per file."""
+    folder = state_folder(spark, "archives")
+    archives.write_archives(ex(spark, sf).repartition(3), folder)
+    rows = archives.read_archives(spark, folder, split_bytes=1 << 18)
+    return rows.select(
+        "ts_us", "method", "status", "url", F.length("response_body").cast("bigint").alias("body_chars"), "body_missing",
+        F.length("request_body").cast("bigint").alias("sent_chars"),
+        F.col("request_headers")["x-request-id"].alias("request_header"), "content_type")
+
+
+@query("read_exchanges", f"""{WITH}{EXR}
+SELECT seq, ts_us, session, request_id, method, status, url, length(resp_body) AS body_chars FROM exr""")
+def _(spark, sf):
+    rows = read_exchanges(spark, D.landed_path(spark, sf, "exchanges", ex))
+    return rows.select("seq", "ts_us", "session", "request_id", "method", "status", "url",
+                       F.length("response_body").cast("bigint").alias("body_chars"))
+
+
 @query("size_cap", f"""{WITH}{EXR}
 SELECT seq, octet_length(encode(resp_body)) AS bytes, octet_length(encode(resp_body)) <= 200 AS kept FROM exr""")
 def _(spark, sf):
@@ -316,16 +339,7 @@ def _(spark, sf):
     )
 
 
-@query("response_preview", f"""{WITH}{EXR}
-SELECT seq, CASE WHEN kind = 'items' THEN '[' || array_to_string(list_slice(string_split(replace(
-   resp_body[2:-2], '}},{{', '}}|{{'), '|'), 1, 2), ',') || ']' ELSE resp_body END AS preview
-FROM exr WHERE kind IN ('items', 'down', 'noise')""")
-def _(spark, sf):
-    e = ex(spark, sf).filter(F.col("kind").isin("items", "down", "noise"))
-    return e.select("seq", bodies.response_preview("response_body").alias("preview"))
-
-
-@query("response_preview_all", f"""{WITH}{EXR},
+@query("response_preview", f"""{WITH}{EXR},
  j AS (SELECT seq, kind, resp_body, TRY_CAST(CASE WHEN kind NOT IN ('items', 'down', 'noise') THEN resp_body END AS JSON) AS v FROM exr),
  o AS (SELECT *, CASE WHEN kind = 'profile' THEN json_extract(v, '$.user') ELSE v END AS flat FROM j),
  p AS (SELECT *, '{{' || array_to_string(list_transform(list_sort(json_keys(flat)), lambda k: '"' || k || '":' || CAST(json_extract(flat, '$.' || k) AS VARCHAR)), ',') || '}}' AS sorted FROM o)
@@ -373,20 +387,6 @@ def _(spark, sf):
 
 
 @query("refreshable_tokens", f"""{WITH}{EXR}
-SELECT seq, 'csrf_token' AS tokens, json_extract_string(req_body, '$.csrf_token') = h_request_id AS same,
- json_extract_string(req_body, '$.order.sku') AS sku FROM exr WHERE kind = 'order'""")
-def _(spark, sf):
-    e = ex(spark, sf).filter(F.col("kind") == "order")
-    nodes = bodies.json_nodes("request_body")
-    return e.select(
-        "seq", F.array_join(bodies.refreshable_tokens(nodes), ",").alias("tokens"),
-        (bodies.extract_path("request_body", "csrf_token")
-         == F.col("request_headers")["x-request-id"]).alias("same"),
-        bodies.extract_path("request_body", "order.sku").alias("sku"),
-    )
-
-
-@query("refreshable_tokens_all", f"""{WITH}{EXR}
 SELECT seq, CASE WHEN kind = 'order' THEN 'csrf_token' WHEN kind IN ('graphql', 'login') THEN '' END AS tokens,
  CASE WHEN kind = 'order' THEN json_extract_string(req_body, '$.csrf_token') = h_request_id END AS same,
  CASE WHEN kind = 'order' THEN json_extract_string(req_body, '$.order.sku') END AS sku FROM exr""")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIZE = 3
+#: Grams of long texts, such as paths with numbers in them, of which trigrams soon repeat.
+LONG = 8
 
 
 def grams(text: Column, size: int = SIZE) -> Column:
@@ -15,22 +17,31 @@ def grams(text: Column, size: int = SIZE) -> Column:
         F.array_distinct(F.transform(places, lambda i: F.substr(text, i, F.lit(size)))), F.array().cast("array<string>"))
 
 
-def containing(needles: DataFrame, haystacks: DataFrame, group: str) -> DataFrame:
-    """``group, needle, haystack`` of all pairs of a group where the haystack contains the needle.
+def lookups(needles: DataFrame, haystacks: DataFrame, group: str, size: int = SIZE) -> DataFrame:
+    """``group, needle, haystack`` of the haystacks that have the one of a needle's grams that fewest haystacks of the
+    group have. A needle with a gram that no haystack has is left out, and one without a gram too. Grams are hashed:
+    equal hashes of different ones can only add rows."""
+    def hashed(text: str) -> Column:
+        return F.explode(F.transform(grams(F.col(text), size), lambda g: F.xxhash64(g))).alias("gram")
 
-    Each needle is looked up by the one of its trigrams that fewest haystacks of the group have; one that no haystack
-    has settles it. So the rows compared grow with what is alike, not with needles times haystacks. Needles without
-    a trigram, of which a group has few, meet all its haystacks. Both sides: distinct ``group, needle`` or ``haystack``."""
-    key = F.xxhash64(group, "haystack")
-    known = haystacks.filter("haystack is not null").select(group, "haystack", key.alias("id"))
-    postings = known.select(group, "id", F.explode(grams(F.col("haystack"))).alias("gram"))
+    known = haystacks.select(group, "haystack", F.xxhash64(group, "haystack").alias("id"))
+    postings = known.select(group, "id", hashed("haystack"))
     sizes = postings.groupBy(group, "gram").agg(F.count("*").alias("n"))
-    wanted = needles.filter(F.length("needle") >= SIZE).select(
-        group, "needle", F.explode(grams(F.col("needle"))).alias("gram"))
+    wanted = needles.select(group, "needle", hashed("needle"))
     rarest = wanted.join(sizes, [group, "gram"], "left").groupBy(group, "needle").agg(
-        F.count_if(F.col("n").isNull()).alias("missing"), F.min(F.struct("n", "gram")).alias("least")).filter(
-        "missing = 0").select(group, "needle", F.col("least.gram").alias("gram"))
-    long = rarest.join(postings, [group, "gram"]).select(group, "needle", "id").join(known, [group, "id"])
-    short = needles.filter(F.length("needle") < SIZE).join(known, group)
-    return long.select(group, "needle", "haystack").unionByName(short.select(group, "needle", "haystack")).filter(
-        F.col("haystack").contains(F.col("needle")))
+        F.count_if(F.col("n").isNull()).alias("missing"), F.min_by("gram", "n").alias("gram")).filter("missing = 0")
+    return rarest.join(postings, [group, "gram"]).select(group, "needle", "id").join(known, [group, "id"]).select(
+        group, "needle", "haystack")
+
+
+def containing(needles: DataFrame, haystacks: DataFrame, group: str) -> DataFrame:
+    """``group, needle, haystack`` of all pairs of a group where the haystack contains the needle.
+
+    Needles are looked up by their rarest gram, long ones by grams of ``LONG`` code points and others by trigrams, so the
+    rows compared grow with what is alike, not with needles times haystacks. Needles without a trigram, of which
+    a group has few, meet all its haystacks. Both sides: distinct ``group, needle`` or ``haystack``."""
+    length = F.length("needle")
+    short = needles.filter(length < SIZE).join(haystacks, group).select(group, "needle", "haystack")
+    middle = lookups(needles.filter(length.between(SIZE, LONG - 1)), haystacks, group, SIZE)
+    long = lookups(needles.filter(length >= LONG), haystacks, group, LONG)
+    return long.unionByName(middle).unionByName(short).filter(F.col("haystack").contains(F.col("needle")))

@@ -63,50 +63,6 @@ def stream_exchanges(
     return reader.load(path)
 
 
-def read_har(spark: SparkSession, path: str) -> DataFrame:
-    """HTTP archive files (one JSON document each) as exchanges. ``seq`` is unique over all files: a hash of
-    the file's path in its upper bits, the entry's position in the lower 20. Each file is a session."""
-    name_value = "array<struct<name:string,value:string>>"
-    schema = (
-        "log struct<entries:array<struct<startedDateTime:string,"
-        f"request:struct<url:string,method:string,headers:{name_value},postData:struct<text:string>>,"
-        f"response:struct<status:int,headers:{name_value},content:struct<mimeType:string,text:string>>>>>"
-    )
-    docs = spark.read.schema(schema).option("multiLine", True).json(path).withColumn(
-        "file", F.shiftleft(F.xxhash64("_metadata.file_path").bitwiseAND(F.lit((1 << 43) - 1)), 20))
-
-    def header_map(headers: Column) -> Column:
-        return F.aggregate(
-            headers,
-            F.create_map().cast("map<string,string>"),
-            lambda acc, h: F.map_concat(
-                F.map_filter(acc, lambda k, _v: k != F.lower(h["name"])),
-                F.create_map(F.lower(h["name"]), h["value"]),
-            ),
-        )
-
-    e = docs.select("file", F.posexplode("log.entries").alias("pos", "e")).withColumn("seq", F.col("file") + F.col("pos"))
-    ts = F.to_timestamp("e.startedDateTime")
-    return e.select(
-        "seq",
-        # UTC whatever the session's time zone is
-        (F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
-         + F.make_dt_interval(secs=F.unix_micros(ts) / 1_000_000)).alias("ts"),
-        F.unix_micros(ts).alias("ts_us"),
-        F.col("file").alias("session"),
-        F.col("pos").cast("bigint").alias("request_id"),
-        F.col("e.request.url").alias("url"),
-        F.col("e.request.method").alias("method"),
-        header_map(F.col("e.request.headers")).alias("request_headers"),
-        F.col("e.request.postData.text").alias("request_body"),
-        F.col("e.response.status").alias("status"),
-        F.coalesce(F.col("e.response.content.mimeType"), F.lit("")).alias("content_type"),
-        header_map(F.col("e.response.headers")).alias("response_headers"),
-        F.col("e.response.content.text").alias("response_body"),
-        F.col("e.response.content.text").isNull().alias("body_missing"),
-    )
-
-
 def request_events(exchanges: DataFrame) -> DataFrame:
     """Split exchanges into the three events of a request: sent, received 50 ms later, finished
     120 ms later. Used to replay landed exchanges through the pairing jobs."""

@@ -29,30 +29,36 @@ def _sorted(rows: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
 
 
 class FirstSightings(StatefulProcessor):
-    """The first row of every key, by time inside a micro-batch. State: when the key was seen last; a timer on that time
-    drops it, after which the key counts as new."""
+    """Rows of a key before which it was not seen for ``forget_s``, by event time, whatever the micro-batches are. State:
+    when the key was seen last; a timer drops it when it is old enough to be forgotten."""
 
-    def __init__(self, forget_s: int) -> None:
-        self.forget_ms = forget_s * 1000
+    def __init__(self, keys: list[str], forget_s: int) -> None:
+        self.keys, self.forget_us = keys, forget_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", _struct(("ts_us", T.LongType())))
 
+    def _timer(self, ts: int) -> int:
+        return (ts + self.forget_us) // 1000 + 1
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        spans = [(int(r["ts_us"].min()), int(r["ts_us"].max())) for r in rows if len(r)]
-        if not spans:
+        seen = sorted({int(t) for r in rows for t in r["ts_us"]})
+        if not seen:
             return
-        first, last = min(a for a, _ in spans), max(b for _, b in spans)
-        known = self.last.get()[0] if self.last.exists() else None
-        if known is None or last > known:
+        known = last = self.last.get()[0] if self.last.exists() else None
+        new = []
+        for ts in seen:
+            if last is None or ts - last >= self.forget_us:
+                new.append(ts)
+            last = ts if last is None else max(last, ts)
+        if last != known:
             if known is not None:
-                self.handle.deleteTimer(known // 1000 + self.forget_ms)
+                self.handle.deleteTimer(self._timer(known))
             self.last.update((last,))
-            self.handle.registerTimer(last // 1000 + self.forget_ms)
-        if known is None:
-            names = self.names
-            yield pd.DataFrame([(*key, pd.Timestamp(first, unit="us"), first)], columns=[*names, "ts", "ts_us"])
+            self.handle.registerTimer(self._timer(last))
+        if new:
+            yield pd.DataFrame([(*key, pd.Timestamp(ts, unit="us"), ts) for ts in new], columns=[*self.keys, "ts", "ts_us"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
@@ -63,15 +69,13 @@ class FirstSightings(StatefulProcessor):
 
 
 def first_sightings(rows: DataFrame, keys: list[str], forget_s: int) -> DataFrame:
-    """``keys, ts, ts_us`` of the first row of every key; ``rows`` has these columns and a watermark on ``ts``, which the
-    result keeps, so that another stateful operator can follow. One key's state is one number: a session of any size is
-    spread over all tasks by its endpoints."""
-    processor = FirstSightings(forget_s)
-    processor.names = keys
+    """``keys, ts, ts_us`` of the rows by which a key is new; ``rows`` has these columns and a watermark on ``ts``, which
+    the result keeps, so that another stateful operator can follow. One key's state is one number: a session of any size
+    is spread over all tasks by its endpoints."""
     schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("ts", T.TimestampType()),
                            T.StructField("ts_us", T.LongType())])
     return rows.select(*keys, "ts", "ts_us").groupBy(*keys).transformWithStateInPandas(
-        processor, schema, "Append", "eventTime", eventTimeColumnName="ts")
+        FirstSightings(keys, forget_s), schema, "Append", "eventTime", eventTimeColumnName="ts")
 
 
 class RateLimiter(StatefulProcessor):
