@@ -25,7 +25,7 @@ HEADLINE = [
 
 def main() -> None:
     from wiretally.checks import QUERIES
-    from wiretally.checks.catalog import endpoints
+    from wiretally.checks.catalog import endpoints, searched
     from wiretally.checks.timeline import events
     from wiretally.session import build_session
     from wiretally.sources import derived
@@ -40,7 +40,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("OFF")
     only = set(sys.argv[1:])
     for land in (derived.exchanges, derived.page_responses, derived.specs, derived.directories,
-                 endpoints, events):
+                 endpoints, searched, events):
         land(spark, sf)
     times: dict[str, float] = {}
     for name in HEADLINE:

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIZE = 3
-#: Grams of long texts, such as paths with numbers in them, of which trigrams soon repeat.
-LONG = 8
 
 
 def grams(text: Column, size: int = SIZE) -> Column:
@@ -17,31 +15,25 @@ def grams(text: Column, size: int = SIZE) -> Column:
         F.array_distinct(F.transform(places, lambda i: F.substr(text, i, F.lit(size)))), F.array().cast("array<string>"))
 
 
-def lookups(needles: DataFrame, haystacks: DataFrame, group: str, size: int = SIZE) -> DataFrame:
-    """``group, needle, haystack`` of the haystacks that have the one of a needle's grams that fewest haystacks of the
-    group have. A needle with a gram that no haystack has is left out, and one without a gram too. Grams are hashed:
-    equal hashes of different ones can only add rows."""
-    def hashed(text: str) -> Column:
-        return F.explode(F.transform(grams(F.col(text), size), lambda g: F.xxhash64(g))).alias("gram")
-
-    known = haystacks.select(group, "haystack", F.xxhash64(group, "haystack").alias("id"))
-    postings = known.select(group, "id", hashed("haystack"))
-    sizes = postings.groupBy(group, "gram").agg(F.count("*").alias("n"))
-    wanted = needles.select(group, "needle", hashed("needle"))
-    rarest = wanted.join(sizes, [group, "gram"], "left").groupBy(group, "needle").agg(
-        F.count_if(F.col("n").isNull()).alias("missing"), F.min_by("gram", "n").alias("gram")).filter("missing = 0")
-    return rarest.join(postings, [group, "gram"]).select(group, "needle", "id").join(known, [group, "id"]).select(
-        group, "needle", "haystack")
-
-
 def containing(needles: DataFrame, haystacks: DataFrame, group: str) -> DataFrame:
     """``group, needle, haystack`` of all pairs of a group where the haystack contains the needle.
 
-    Needles are looked up by their rarest gram, long ones by grams of ``LONG`` code points and others by trigrams, so the
-    rows compared grow with what is alike, not with needles times haystacks. Needles without a trigram, of which
-    a group has few, meet all its haystacks. Both sides: distinct ``group, needle`` or ``haystack``."""
-    length = F.length("needle")
-    short = needles.filter(length < SIZE).join(haystacks, group).select(group, "needle", "haystack")
-    middle = lookups(needles.filter(length.between(SIZE, LONG - 1)), haystacks, group, SIZE)
-    long = lookups(needles.filter(length >= LONG), haystacks, group, LONG)
-    return long.unionByName(middle).unionByName(short).filter(F.col("haystack").contains(F.col("needle")))
+    Where a needle lies in a haystack, the haystack has at that place a string of the needle's first character and length.
+    A group's needles have few first characters (paths: one) and lengths, so each haystack gives the hashes of its
+    strings of these kinds only, and an equality join finds the needles among them: it gives the pairs that match and no
+    others. Both sides: distinct ``group, needle`` or ``haystack``; nulls match nothing."""
+    kinds = needles.filter("needle is not null").groupBy(group, F.substring("needle", 1, 1).alias("first")).agg(
+        F.collect_set(F.length("needle")).alias("lengths")).groupBy(group).agg(
+        F.collect_list(F.struct("first", "lengths")).alias("kinds"))
+    text = F.col("haystack")
+
+    def strings(kind: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))),
+                          lambda i: F.substr(text, i, F.length(kind["first"])) == kind["first"])
+        return F.flatten(F.transform(kind["lengths"], lambda n: F.transform(
+            F.filter(places, lambda i: i + n - 1 <= F.length(text)), lambda i: F.xxhash64(F.substr(text, i, n)))))
+
+    found = haystacks.filter("haystack is not null").join(kinds, group).select(
+        group, "haystack", F.explode(F.array_distinct(F.flatten(F.transform("kinds", strings)))).alias("key"))
+    wanted = needles.select(group, "needle", F.xxhash64("needle").alias("key"))
+    return found.join(wanted, [group, "key"]).filter(text.contains(F.col("needle"))).select(group, "needle", "haystack")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wiretally.functions import paths, urls
 from wiretally.functions.grams import containing
+from wiretally.session import landed, spread
 
 REPLAYABLE = ["green", "yellow", "unknown"]
 
@@ -75,8 +76,8 @@ def pick_endpoints(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     """The catalog endpoint that answers a page URL best: the first replayable GET endpoint whose
     path contains the page's path or is contained in it, else the first one.
 
-    Distinct paths and distinct templates of a domain meet in both directions through the rarest trigram of the shorter
-    one, see :func:`containing`: what is compared grows with what overlaps, not with pages times endpoints.
+    Distinct paths and distinct templates of a domain meet in both directions through an equality join on the strings
+    of the longer one, see :func:`containing`: its output grows with what overlaps, not with pages times endpoints.
 
     ``pages``: (page_id, domain, path); ``catalog``: domain, id, method, path, tier, pos.
     """
@@ -85,8 +86,9 @@ def pick_endpoints(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     ).select("domain", "id", "pos", F.col("path").alias("template"))
     order = F.struct("pos", "id")
     first = usable.groupBy("domain").agg(F.min_by("id", order).alias("first_id"))
-    templates = usable.groupBy("domain", "template").agg(F.min(order).alias("best"))
-    asked = pages.filter("path <> '/'").select("domain", "path").distinct()
+    templates = spread(landed(usable.filter("template is not null").groupBy("domain", "template").agg(
+        F.min(order).alias("best")), "templates"))
+    asked = spread(landed(pages.filter("path <> '/'").select("domain", "path").distinct(), "asked-paths"))
     matched = overlapping(asked, templates.select("domain", "template")).join(
         templates, ["domain", "template"]).groupBy("domain", "path").agg(F.min("best").alias("best")).select(
         "domain", "path", F.col("best.id").alias("match_id"))

@@ -84,6 +84,13 @@ def landed_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str)
     return result
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table of few, small files. A table of any size has far more splits than cores and
+    passes unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder of this job in whatever file system it lies."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

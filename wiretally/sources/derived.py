@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.session import state_folder
+from wiretally.session import spread, state_folder
 
 SPARK = {
     "ts_us": "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))",
@@ -26,13 +26,6 @@ TABLES = (
 ).split()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of few, small files. A real input has far more splits than that and
-    passes unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _fill(sql: str, dialect: dict[str, str]) -> str:
     for mark, text in dialect.items():
         sql = sql.replace("{" + mark + "}", text)
