@@ -29,3 +29,27 @@ def test_all_calls_are_rendered_whole(spark):
 def test_merge_takes_endpoints_of_one_key(spark):
     rows = QUERIES["merge_catalog"](spark, SF).filter("path = '/graphql'").collect()
     assert rows and len({r["domain"] for r in rows}) == len(rows)
+
+
+def test_rules_of_a_table_equal_the_columns(spark):
+    """Both forms of the framework detectors on pages made of the rules' own texts."""
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    from wiretally import constants as K
+    from wiretally.functions import pages as G
+    from wiretally.operators import registry
+
+    rows = [(None, None), ("", {}), ('"buildId": "b7" /_next/ __NEXT_DATA__', {"X-Powered-By": "Next.js"})]
+    for one, two in itertools.combinations(K.FRAMEWORK_RULES, 2):
+        html = " ".join(r[4] for r in (one, two) if r[3] == "html")
+        rows.append((html, {r[3].title(): (r[4] or "yes").upper() if r[5] else r[4] or "yes" for r in (one, two)
+                            if r[3] != "html"}))
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, html string, headers map<string,string>")
+    got = {r["n"]: r["frameworks"] for r in registry.detect(pages, ["n"]).collect()}
+    want = {r["n"]: r["f"] for r in pages.select("n", G.page_frameworks("html", "headers").alias("f")).collect()}
+    assert {n: [tuple(x) for x in f] for n, f in got.items()} == {n: [tuple(x) for x in f or []] for n, f in want.items()}
+    assert sum(map(len, got.values())) > 700
+    assert registry.detect(pages, ["n"], registry.default_rules(spark).filter(F.lit(False))).filter(
+        "size(frameworks) > 0").count() == 0

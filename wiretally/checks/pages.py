@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from wiretally import constants as K
 from wiretally.checks.base import query
-from wiretally.checks.sqlparts import PAGES, WS, lit, tag_sql
+from wiretally.checks.sqlparts import EXR, PAGES, WITH, WS, lit, tag_sql
+from wiretally.functions import bodies, text, urls
 from wiretally.functions import pages as G
-from wiretally.functions import text, urls
-from wiretally.operators import passive_index, read_pages, triage
+from wiretally.operators import passive_index, read_pages, registry, triage
 from wiretally.sources import derived as D
 
 
@@ -206,15 +206,43 @@ _FW = f"""{_PR},
 SELECT page_id, name, CASE rank WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, n AS signals,
   row_number() OVER (PARTITION BY page_id ORDER BY rank, ord) - 1 AS pos FROM f""")
 def _(spark, sf):
-    fw = responses(spark, sf).select(
-        "page_id", F.posexplode(G.page_frameworks("html", "headers")).alias("p", "f")
-    )
+    """Frameworks of all pages from the table of rules."""
+    fw = registry.detect(responses(spark, sf), ["page_id"]).select("page_id", F.posexplode("frameworks").alias("p", "f"))
     return fw.select(
         "page_id", "f.name", "f.confidence", F.size("f.signals").alias("signals"),
         F.col("p").cast("bigint").alias("pos"),
     )
 
 
+@query("page_user_frameworks", f"""{_PR},
+ n AS (SELECT page_id, CAST(contains(html, '<article') AND contains(lower(html), '</style>') AS INT) AS a, CAST(h_server IS NOT NULL AS INT) AS b FROM pr)
+SELECT page_id, CASE WHEN a + b >= 2 THEN 'high' ELSE 'medium' END AS confidence,
+  CASE WHEN a = 1 AND b = 1 THEN 'styled article,server' WHEN a = 1 THEN 'styled article' ELSE 'server' END AS signals, 0 AS paths
+FROM n WHERE a + b > 0""")
+def _(spark, sf):
+    """A detector that a user adds as rows: two texts that a page must both have, and a header."""
+    mine = [(1000, "Magazine", "count", "styled article", "html", "<article", False),
+            (1001, "Magazine", "count", "styled article", "html", "</STYLE>", True),
+            (1002, "Magazine", "count", "server", "Server", None, False)]
+    rules = registry.default_rules(spark).unionByName(spark.createDataFrame(mine, registry.RULE_SCHEMA))
+    fw = registry.detect(responses(spark, sf), ["page_id"], rules).select("page_id", F.explode("frameworks").alias("f"))
+    return fw.filter("f.name = 'Magazine'").select(
+        "page_id", "f.confidence", F.array_join("f.signals", ",").alias("signals"), F.size("f.api_paths").alias("paths"))
+
+
+@query("safe_parse_json", f"""{WITH}{EXR}
+SELECT seq, CASE WHEN kind IN ('down', 'noise') THEN 'VARCHAR' ELSE json_type(CAST(resp_body AS JSON)) END AS type,
+  CASE WHEN kind IN ('down', 'noise') THEN resp_body END AS text FROM exr""")
+def _(spark, sf):
+    """All response bodies: JSON as it is, other texts as a JSON string."""
+    v = bodies.safe_parse_json("response_body")
+    kind = F.schema_of_variant(v)
+    return D.exchanges(spark, sf).select(
+        "seq", F.when(kind.startswith("OBJECT"), "OBJECT").when(kind.startswith("ARRAY"), "ARRAY").when(
+            kind == "STRING", "VARCHAR").otherwise(kind).alias("type"),
+        F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).alias("text"))
+
+
 @query("page_auth_required", f"""{_PR}
 SELECT page_id, status = 401 OR h_location IS NOT NULL OR page_id % 10 = 5 AS auth_required,
   CASE WHEN h_location IS NOT NULL THEN h_location WHEN page_id % 10 = 5 THEN '/account/login' END AS login_url,

@@ -209,6 +209,47 @@ SPEC_PATHS = [
 PROBE_PATHS = [
     "/api/", "/api/v1/", "/api/v2/", "/_api/", "/rest/", "/graphql", "/gql", "/api/graphql",
 ]
+# Detectors: framework, confidence rule, signal, place (html or a header), text (None: the header is present), lower case.
+FRAMEWORK_RULES = [
+    ("WordPress", "count", "wp-json link", "html", "/wp-json/", False),
+    ("WordPress", "count", "wp-content", "html", "/wp-content/", False),
+    ("WordPress", "count", "wp-includes", "html", "/wp-includes/", False),
+    ("WordPress", "count", "Link header", "link", "/wp-json/", False),
+    ("WordPress", "count", "X-Powered-By", "x-powered-by", "wordpress", True),
+    ("Shopify", "count", "Shopify CDN", "html", "cdn.shopify.com", False),
+    ("Shopify", "count", "Shopify.theme", "html", "Shopify.theme", False),
+    ("Shopify", "count", "myshopify domain", "html", "myshopify.com", False),
+    ("Shopify", "count", "shopify-section", "html", "shopify-section", False),
+    ("Next.js", "count", "__NEXT_DATA__", "html", "__NEXT_DATA__", False),
+    ("Next.js", "count", "_next assets", "html", "/_next/", False),
+    ("Next.js", "count", "X-Nextjs-Cache", "x-nextjs-cache", None, False),
+    ("Next.js", "count", "X-Powered-By", "x-powered-by", "next.js", True),
+    ("Nuxt", "count", "__NUXT__", "html", "__NUXT__", False),
+    ("Nuxt", "count", "_nuxt assets", "html", "/_nuxt/", False),
+    ("Nuxt", "count", "_payload.json", "html", "_payload.json", False),
+    ("Nuxt", "count", "nuxt-link", "html", "nuxt-link", False),
+    ("GraphQL", "count", "/graphql reference", "html", "/graphql", False),
+    ("GraphQL", "count", "Apollo state", "html", "__APOLLO_STATE__", False),
+    ("GraphQL", "count", "apollo-client", "html", "apollo-client", False),
+    ("GraphQL", "count", "Relay", "html", "relay-", False),
+    ("GraphQL", "count", "urql", "html", "urql", False),
+    ("Drupal", "count", "X-Drupal-Cache", "x-drupal-cache", None, False),
+    ("Drupal", "count", "X-Drupal-Dynamic-Cache", "x-drupal-dynamic-cache", None, False),
+    ("Drupal", "count", "X-Generator", "x-generator", "drupal", True),
+    ("Drupal", "count", "jsonapi", "html", "/jsonapi/", False),
+    ("Drupal", "count", "drupal-settings", "html", "drupal-settings-json", False),
+    ("Rails", "low", "Rails headers", "x-request-id", None, False),
+    ("Rails", "low", "Rails headers", "x-runtime", None, False),
+    ("Rails", "low", "Phusion", "x-powered-by", "phusion", True),
+    ("Django", "low", "Django-like headers", "x-frame-options", None, False),
+    ("Django", "low", "Django-like headers", "vary", "Cookie", False),
+    ("Django", "low", "CSRF middleware", "html", "csrfmiddlewaretoken", False),
+    ("Django", "low", "django reference", "html", "django", False),
+    ("Laravel", "medium", "Laravel meta", "html", "csrf-token", False),
+    ("Laravel", "medium", "Laravel meta", "html", "laravel", False),
+    ("Laravel", "medium", "laravel_session", "set-cookie", "laravel_session", False),
+    ("Strapi", "high", "X-Powered-By", "x-powered-by", "strapi", True),
+]
 FRAMEWORK_PATHS = {
     "WordPress": [
         "/wp-json/wp/v2/posts", "/wp-json/wp/v2/pages", "/wp-json/wp/v2/categories",

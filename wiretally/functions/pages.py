@@ -240,58 +240,22 @@ def _signals(*pairs: tuple[str, Column]) -> Column:
 
 
 def framework_signals(html: Column | str, headers: Column | str) -> list[tuple[str, str, Column]]:
-    """(framework, confidence rule, signals) per detector. The rule is ``count`` (two signals make
-    it high) or a fixed level. Detectors are data: append a row to add one."""
-    h = c(html)
+    """(framework, confidence rule, signals) of the built-in rules. The rule is ``count`` (two signals make
+    it high) or a fixed level. Rules of users go through ``operators.registry``."""
     m = lower_keys(headers)
 
-    def has(*texts: str) -> list[tuple[str, Column]]:
-        return [(t, h.contains(t)) for t in texts]
-
-    powered = F.lower(header(m, "x-powered-by"))
-    return [
-        ("WordPress", "count", _signals(
-            ("wp-json link", h.contains("/wp-json/")), ("wp-content", h.contains("/wp-content/")),
-            ("wp-includes", h.contains("/wp-includes/")),
-            ("Link header", header(m, "link").contains("/wp-json/")),
-            ("X-Powered-By", powered.contains("wordpress")))),
-        ("Shopify", "count", _signals(
-            ("Shopify CDN", h.contains("cdn.shopify.com")),
-            ("Shopify.theme", h.contains("Shopify.theme")),
-            ("myshopify domain", h.contains("myshopify.com")),
-            ("shopify-section", h.contains("shopify-section")))),
-        ("Next.js", "count", _signals(
-            ("__NEXT_DATA__", h.contains("__NEXT_DATA__")), ("_next assets", h.contains("/_next/")),
-            ("X-Nextjs-Cache", header(m, "x-nextjs-cache").isNotNull()),
-            ("X-Powered-By", powered.contains("next.js")))),
-        ("Nuxt", "count", _signals(
-            ("__NUXT__", h.contains("__NUXT__")), ("_nuxt assets", h.contains("/_nuxt/")),
-            *has("_payload.json", "nuxt-link"))),
-        ("GraphQL", "count", _signals(
-            ("/graphql reference", h.contains("/graphql")),
-            ("Apollo state", h.contains("__APOLLO_STATE__")),
-            ("apollo-client", h.contains("apollo-client")), ("Relay", h.contains("relay-")),
-            ("urql", h.contains("urql")))),
-        ("Drupal", "count", _signals(
-            ("X-Drupal-Cache", header(m, "x-drupal-cache").isNotNull()),
-            ("X-Drupal-Dynamic-Cache", header(m, "x-drupal-dynamic-cache").isNotNull()),
-            ("X-Generator", F.lower(header(m, "x-generator")).contains("drupal")),
-            ("jsonapi", h.contains("/jsonapi/")),
-            ("drupal-settings", h.contains("drupal-settings-json")))),
-        ("Rails", "low", _signals(
-            ("Rails headers", header(m, "x-request-id").isNotNull()
-             & header(m, "x-runtime").isNotNull()),
-            ("Phusion", powered.contains("phusion")))),
-        ("Django", "low", _signals(
-            ("Django-like headers", header(m, "x-frame-options").isNotNull()
-             & header(m, "vary").contains("Cookie")),
-            ("CSRF middleware", h.contains("csrfmiddlewaretoken")),
-            ("django reference", h.contains("django")))),
-        ("Laravel", "medium", _signals(
-            ("Laravel meta", h.contains("csrf-token") & h.contains("laravel")),
-            ("laravel_session", header(m, "set-cookie").contains("laravel_session")))),
-        ("Strapi", "high", _signals(("X-Powered-By", powered.contains("strapi")))),
-    ]
+    def holds(place: str, wanted: str | None, fold: bool) -> Column:
+        where = c(html) if place == "html" else header(m, place)
+        return where.isNotNull() if wanted is None else (F.lower(where) if fold else where).contains(wanted)
+
+    found: dict[str, dict[str, Column]] = {}
+    levels = {}
+    for framework, level, signal, place, wanted, fold in K.FRAMEWORK_RULES:
+        signals = found.setdefault(framework, {})
+        one = holds(place, wanted, fold)
+        signals[signal] = signals[signal] & one if signal in signals else one
+        levels[framework] = level
+    return [(name, levels[name], _signals(*signals.items())) for name, signals in found.items()]
 
 
 def _framework_row(ord_: int, name: str, rule: str, paths: Column):
