@@ -53,3 +53,19 @@ def test_rules_of_a_table_equal_the_columns(spark):
     assert sum(map(len, got.values())) > 700
     assert registry.detect(pages, ["n"], registry.default_rules(spark).filter(F.lit(False))).filter(
         "size(frameworks) > 0").count() == 0
+
+
+def test_addresses_with_leading_zeros_are_addresses(spark):
+    from pyspark.sql import functions as F
+
+    from wiretally.functions import urls
+
+    zeros = "0" * 60
+    hosts = {"127.0.0.1": "127.0.0.1", f"0x{zeros}7f.0.0.1": "127.0.0.1", f"{zeros}177.0.0.1": "127.0.0.1",
+             f"0x{zeros}7f000001": "127.0.0.1", f"0x{zeros}a9.0xfe.0{zeros}.0": "169.254.0.0", "0x0.0.0.0": "0.0.0.0",
+             "00.00.00.00": "0.0.0.0", "0x1ffffffffffffffff": None, "256.1.1.1": None, "09.1.1.1": None, "0x": None}
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", urls.normalize_ipv4("h").alias("ip"))
+    assert {r["h"]: r["ip"] for r in rows.collect()} == hosts
+    found = spark.createDataFrame([(f"http://{h}/x",) for h in hosts], "u string").select(
+        "u", urls.url_safety_reason(F.col("u")).alias("why")).collect()
+    assert all(r["why"] for r in found if hosts[r["u"][7:-2]])

@@ -221,10 +221,12 @@ def is_index_content_type(content_type: Column | str) -> Column:
 
 
 def _ip_number(part: Column) -> Column:
-    """Decimal, octal (0…) or hex (0x…) part of an IPv4."""
+    """Decimal, octal (0…) or hex (0x…) part of an IPv4, with any number of leading zeros. A number of more digits than
+    are looked at is larger than any address."""
+    hexed, octal = r"(?i)^0x0*([0-9a-f]{1,14})$", r"^0+([0-7]{1,16})$"
     return (
-        F.when(part.rlike(r"(?i)^0x[0-9a-f]{1,14}$"), F.conv(F.substring(part, 3, 40), 16, 10))
-        .when(part.rlike(r"^0[0-7]{1,16}$"), F.conv(part, 8, 10))
+        F.when(part.rlike(hexed), F.conv(F.regexp_extract(part, hexed, 1), 16, 10))
+        .when(part.rlike(octal), F.conv(F.regexp_extract(part, octal, 1), 8, 10))
         .when(part.rlike(r"^(?:0|[1-9]\d{0,15})$"), part)
         .try_cast("bigint")
     )
