@@ -38,10 +38,12 @@ def endpoints(spark, sf):
 
 def searched(spark, sf):
     """The search index of the catalog, built once and landed."""
-    built = search_index.build_search_index(endpoints(spark, sf))
+    def built():
+        return search_index.build_search_index(endpoints(spark, sf))
+
     return search_index.SearchIndex(
-        D.landed(spark, sf, "search-entries", lambda: built.entries),
-        D.landed(spark, sf, "search-postings", lambda: built.postings.sortWithinPartitions("gram", "domain")))
+        D.landed(spark, sf, "search-entries", lambda: built().entries),
+        D.landed(spark, sf, "search-postings", lambda: built().postings.sortWithinPartitions("gram", "domain")))
 
 
 # ------------------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wiretally.session import spread, state_folder
 
@@ -37,6 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _LANDED: dict[tuple[str, str, str], str] = {}
+_SCHEMAS: dict[tuple[str, str, str], StructType] = {}
 
 
 def landed(
@@ -49,8 +51,8 @@ def landed(
         df = spread(build())
         folder = state_folder(spark, f"derived-{name}")
         df.write.parquet(folder)
-        _LANDED[slot] = folder
-    return spark.read.parquet(_LANDED[slot])
+        _LANDED[slot], _SCHEMAS[slot] = folder, df.schema
+    return spark.read.schema(_SCHEMAS[slot]).parquet(_LANDED[slot])
 
 
 def landed_path(
