@@ -140,20 +140,159 @@ def _(spark, sf):
     )
 
 
-@query("page_markdown")
-def _(spark, sf):
-    r = read_pages.read_pages(responses(spark, sf))
-    return r.select("page_id", "title", "source", F.md5("content").alias("digest"), "tokens")
+def _attrs(name: str) -> str:
+    return f"<{name}(?:{WS}[^>]*)?>"
+
+
+def _rewritten(expr: str, pattern: str, rewrite: str, groups: tuple[int, ...] = (1,)) -> str:
+    """``expr`` with every match replaced by ``rewrite`` over g1, g2 (the groups) and n (its number)."""
+    found = ", ".join(f"regexp_extract_all({expr}, {lit(pattern)}, {g})" for g in groups)
+    for at, g in enumerate(groups):
+        rewrite = rewrite.replace(f"{{g{at + 1}}}", f"z[{at + 2}]")
+    return (f"array_to_string(list_transform(list_zip(string_split_regex({expr}, {lit(pattern)}), {found}), "
+            f"lambda z, n: z[1] || coalesce({rewrite}, '')), '')")
+
+
+def _clean_text(expr: str) -> str:
+    return _trim(_strip(expr))
+
+
+def _table_sql(inner: str) -> str:
+    cells = (f"list_transform(regexp_extract_all(tr, {lit('(?is)' + _attrs('(?:td|th)') + '(.*?)</(?:td|th)>')}, 1), "
+             f"lambda td: {_clean_text('td')})")
+    rows = (f"list_filter(list_transform(regexp_extract_all({inner}, {lit('(?is)' + _attrs('tr') + '(.*?)</tr>')}, 1), "
+            f"lambda tr: {cells}), lambda r: len(r) > 0)")
+    width = "list_max(list_transform(rs, lambda r: len(r)))"
+    line = f"'| ' || array_to_string(list_resize(r, {width}, ''), ' | ') || ' |' || chr(10)"
+    rule = f"'|' || repeat(' --- |', {width}) || chr(10)"
+    lines = f"list_transform(rs, lambda r, i: {line} || CASE WHEN i = 1 THEN {rule} ELSE '' END)"
+    return (f"list_transform([{rows}], lambda rs: CASE WHEN len(rs) > 0 THEN chr(10) || chr(10) "
+            f"|| rtrim(array_to_string({lines}, ''), chr(10)) || chr(10) || chr(10) ELSE '' END)[1]")
+
+
+def _list_sql(inner: str, mark: str) -> str:
+    items = _rewritten(inner, f"(?is){_attrs('li')}(.*?)</li>", f"{mark} || {_clean_text('{g1}')} || chr(10)")
+    # its own lambda names: it stands inside another rewrite
+    items = items.replace("lambda z, n:", "lambda y, m:").replace("z[1]", "y[1]").replace("z[2]", "y[2]")
+    return items
+
+
+def _framed_sql(text: str) -> str:
+    return f"chr(10) || chr(10) || {text} || chr(10) || chr(10)"
+
+
+def _markdown_ctes(source: str, root: str) -> str:
+    """CTEs ``m0 … md``: ``root`` of ``source`` becomes ``m`` (Markdown), with its ``links`` and ``images``."""
+    tag = "(?is)" + "{}" + "(.*?)</{}>"
+
+    def paired(name: str) -> str:
+        return tag.format(_attrs(name), name)
+
+    steps = [(paired(f"h{n}"), _framed_sql(f"'{'#' * n} ' || {_clean_text('{g1}')}"), (1,)) for n in range(1, 7)]
+    quote = f"'> ' || replace({_clean_text('{g1}')}, chr(10), chr(10) || '> ')"
+    fence = "'```' || chr(10) || {} || chr(10) || '```'"
+    steps += [
+        (paired("blockquote"), _framed_sql(quote), (1,)),
+        (rf"(?is){_attrs('pre')}{WS}*{_attrs('code')}(.*?)</code>{WS}*</pre>",
+         _framed_sql(fence.format(_entities(_trim("{g1}")))), (1,)),
+        (paired("pre"), _framed_sql(fence.format(_entities(_clean_text("{g1}")))), (1,)),
+        (paired("code"), f"'`' || {_entities('{g1}')} || '`'", (1,)),
+    ]
+    out, last = [f" m0 AS (SELECT *, regexp_replace({root}, '(?s)<!--.*?-->', '', 'g') AS m FROM {source})"], "m0"
+
+    def add(expr: str, extra: str = "") -> None:
+        nonlocal last
+        name = f"m{len(out)}"
+        out.append(f" {name} AS (SELECT * EXCLUDE (m), {expr} AS m{extra} FROM {last})")
+        last = name
+
+    for pattern, rewrite, groups in steps:
+        add(_rewritten("m", pattern, rewrite, groups))
+    tables = paired("table")
+    add(f"array_to_string(list_transform(list_zip(string_split_regex(m, {lit(tables)}), regexp_extract_all(m, {lit(tables)}, 1)), "
+        f"lambda z: z[1] || coalesce({_table_sql('z[2]')}, '')), '')")
+
+    def attr(of: str, name: str) -> str:
+        pattern = f"""(?i){name}=["']([^"']*)["']"""
+        return _entities(f"regexp_extract({of}, {lit(pattern)}, 1)")
+
+    image, link = rf"(?i)<img{WS}+[^>]*>", rf"""(?is)<a{WS}+[^>]*href=["']([^"']*)["'][^>]*>(.*?)</a>"""
+    src, alt = attr("{g1}", "src"), attr("{g1}", "alt")
+    pairs = f"list_transform(regexp_extract_all(m, {lit(image)}), lambda t: {attr('t', 'alt')} || chr(9) || {attr('t', 'src')})"
+    add(_rewritten("m", image, f"CASE WHEN {src} <> '' THEN '![' || {alt} || '](' || {src} || ')' ELSE '' END", (0,)),
+        f", array_to_string(list_filter({pairs}, lambda p: p NOT LIKE '%' || chr(9)), chr(10)) AS images")
+    text, href = _clean_text("{g2}"), _entities("{g1}")
+    ends = (f"list_transform(list_zip(regexp_extract_all(m, {lit(link)}, 2), regexp_extract_all(m, {lit(link)}, 1)), "
+            f"lambda p: {_clean_text('p[1]')} || chr(9) || {_entities('p[2]')})")
+    add(_rewritten("m", link, f"CASE WHEN {text} <> '' AND {href} <> '' THEN '[' || {text} || '](' || {href} || ')' ELSE {text} END", (1, 2)),
+        f", array_to_string(list_filter({ends}, lambda p: p NOT LIKE '%' || chr(9) AND p NOT LIKE chr(9) || '%'), chr(10)) AS links")
+    add(_rewritten("m", tag.format(_attrs("(?:strong|b)"), "(?:strong|b)"), f"'**' || {_strip('{g1}')} || '**'"))
+    add(_rewritten("m", f"(?is){_attrs('(?:em|i)')}(|[^m].*?|m|m[^g].*?)</(?:em|i)>", f"'*' || {_strip('{g1}')} || '*'"))
+    for name, mark in (("ol", "m || '. '"), ("ul", "'- '")):
+        add(_rewritten("m", paired(name), _framed_sql(_clean_text(_list_sql("{g1}", mark)))))
+    add(_rewritten("m", paired("p"), _framed_sql(_trim("{g1}"))))
+    add(f"regexp_replace(m, {lit(rf'(?i)<br{WS}*/?>')}, chr(10), 'g')")
+    add(_entities(_strip("m")))
+    add(_trim(f"regexp_replace(m, '{chr(92)}n{{3,}}', chr(10) || chr(10), 'g')"))
+    out.append(f" md AS (SELECT * FROM {last})")
+    return ",\n".join(out)
 
 
 _READ = f"""{_PR},
- rd AS (SELECT page_id, html, txt, coalesce(nullif({_meta('property', 'og:title')}, ''),
+ rd AS (SELECT page_id, html, txt, root, coalesce(nullif({_meta('property', 'og:title')}, ''),
    {_entities(_trim(_group('html', f'(?is){tag_sql("title")}(.*?)</title>', 2)))}) AS title,
    coalesce({_meta('property', 'og:type')}, 'unknown') AS type,
    CASE WHEN page_id % 10 = 7 THEN 'spa-shell' WHEN txt = '' THEN 'og-tags-only' ELSE 'readability' END AS source
    FROM tx WHERE status = 200)"""
 
 
+_MD = f"""{_READ},
+{_markdown_ctes('rd', 'root')}"""
+
+
+@query("page_markdown", f"{_MD} SELECT page_id, title, source, md5(m) AS digest, CAST(ceil(length(m) / 4.0) AS BIGINT) AS tokens FROM md")
+def _(spark, sf):
+    r = read_pages.read_pages(responses(spark, sf))
+    return r.select("page_id", "title", "source", F.md5("content").alias("digest"), "tokens")
+
+
+def _joined(column, *fields):
+    return F.array_join(F.transform(column, lambda x: F.concat_ws("\t", *[x[f] for f in fields])), "\n")
+
+
+@query("read_page_contents", f"{_MD} SELECT page_id, m AS content, links, images FROM md")
+def _(spark, sf):
+    """Whole content of all pages that were read, with the links and images that stand in it."""
+    r = read_pages.read_pages(responses(spark, sf))
+    return r.select("page_id", "content", _joined("links", "text", "href").alias("links"),
+                    _joined("images", "alt", "src").alias("images"))
+
+
+_BOXED = {"div": "post-content", "section": "entry-content"}
+
+
+def boxed(spark, sf):
+    """Pages whose article became an element named by a class, with elements of its own kind inside and behind."""
+    page = responses(spark, sf).filter(F.col("html").contains("<article>"))
+    tag = F.when(F.col("page_id") % 2 == 0, "div").otherwise("section")
+    name = F.when(F.col("page_id") % 2 == 0, _BOXED["div"]).otherwise(_BOXED["section"])
+    start = F.concat(F.lit("<"), tag, F.lit(' id="x" class="wide '), name, F.lit('"><'), tag, F.lit(">in</"), tag, F.lit(">"))
+    end = F.concat(F.lit("<"), tag, F.lit("\n>deep<"), tag, F.lit(">er</"), tag, F.lit("></"), tag, F.lit("></"), tag,
+                   F.lit("><"), tag, F.lit(">behind</"), tag, F.lit(">"))
+    html = F.replace(F.replace("html", F.lit("<article>"), start), F.lit("</article>"), end)
+    return page.select("page_id", "url", "status", "headers", html.alias("html"))
+
+
+@query("nested_roots", f"""{_PR},
+ bx AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'div' ELSE 'section' END AS t, {_group('clean', '(?s)<article>(.*?)</article>')} AS x FROM cl WHERE contains(html, '<article>')),
+ nr AS (SELECT page_id, '<' || t || '>in</' || t || '>' || x || '<' || t || chr(10) || '>deep<' || t || '>er</' || t || '></' || t || '>' AS root FROM bx)
+SELECT page_id, md5(root) AS digest, length(root) AS chars FROM nr""")
+def _(spark, sf):
+    """Content roots that are named by a class and hold elements of their own kind."""
+    r = read_pages.with_root(boxed(spark, sf))
+    return r.select("page_id", F.md5("root").alias("digest"), F.length("root").cast("bigint").alias("chars"))
+
+
 @query("read_pages", f"{_READ} SELECT page_id, title, type, source, CAST(ceil(length(html) / 4.0) AS BIGINT) AS html_tokens FROM rd")
 def _(spark, sf):
     r = read_pages.read_pages(responses(spark, sf))
@@ -177,6 +316,16 @@ def _(spark, sf):
     )
 
 
+@query("savings_of_content", f"""{_MD}
+SELECT source, count(*) AS pages, CAST(sum(ceil(length(m) / 4.0)) AS BIGINT) AS read_tokens,
+  CAST(sum(ceil(length(html) / 4.0)) AS BIGINT) AS html_tokens,
+  floor((1.0 - CAST(sum(ceil(length(m) / 4.0)) AS DOUBLE) / sum(ceil(length(html) / 4.0))) * 1000 + 0.5) / 10.0 AS savings_pct
+FROM md GROUP BY source""")
+def _(spark, sf):
+    """Savings by the content that reading returns."""
+    return read_pages.savings_by_source(read_pages.read_pages(responses(spark, sf)))
+
+
 @query("peek_pages", f"""{_PR},
  p AS (SELECT *, status = 200 AND content_type = 'application/json' AS js FROM pr),
  q AS (SELECT *, CASE WHEN js THEN NULL WHEN h_cf_ray IS NOT NULL THEN 'cloudflare' WHEN h_px IS NOT NULL THEN 'perimeterx'

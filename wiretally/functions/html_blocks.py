@@ -6,18 +6,15 @@ the matches are rewritten, and both are zipped together again.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from wiretally import constants as K
 from wiretally.functions.common import WS, c, let, trim_ws
 from wiretally.functions.pages import (
     ATTRS,
+    ROOT_MARKS,
     body_root,
     decode_entities,
     needs_nested_root,
@@ -131,8 +128,8 @@ def _fence(inner: Column) -> Column:
     return _framed("\n\n```\n", inner, "\n```\n\n")
 
 
-def html_to_markdown(html: Column | str) -> Column:
-    """Markdown of a content root: fixed order of rewrites, then tags stripped and entities decoded."""
+def markdown_blocks(html: Column | str) -> Column:
+    """First part of the rewrites: headings, quotes, code and tables. Links and images inside them are gone after it."""
     md = F.regexp_replace(c(html), r"(?s)<!--.*?-->", "")
     for level in range(1, 7):
         mark = "#" * level + " "
@@ -153,10 +150,18 @@ def html_to_markdown(html: Column | str) -> Column:
     md = replace_with(
         md, rf"(?is)<code{ATTRS}>(.*?)</code>", lambda x: _framed("`", decode_entities(x), "`")
     )
-    md = replace_with(md, rf"(?is)<table{ATTRS}>(.*?)</table>", _table)
-    md = replace_with(md, rf"(?i)<img{WS}+[^>]*>", _image, groups=(0,))
+    return replace_with(md, rf"(?is)<table{ATTRS}>(.*?)</table>", _table)
+
+
+def markdown_images(md: Column | str) -> Column:
+    """Second part: images."""
+    return replace_with(c(md), rf"(?i)<img{WS}+[^>]*>", _image, groups=(0,))
+
+
+def markdown_text(md: Column | str) -> Column:
+    """Last part: links, emphasis, lists and paragraphs, then tags stripped and entities decoded."""
     md = replace_with(
-        md,
+        c(md),
         rf"""(?is)<a{WS}+[^>]*href=["']([^"']*)["'][^>]*>(.*?)</a>""",
         _link,
         groups=(1, 2),
@@ -181,44 +186,58 @@ def html_to_markdown(html: Column | str) -> Column:
     return trim_ws(F.regexp_replace(md, r"\n{3,}", "\n\n"))
 
 
-def _nested_root(html: str | None) -> str | None:
-    """Inside of the element that carries a content class or id, by counting nested tags."""
-    if html is None:
-        return None
-    marks = [
-        rf"""class=["'][^"']*\b{name}\b""" for name in K.CONTENT_CLASSES
-    ] + [r"""id=["']content["']"""]
-    for mark in marks:
-        found = re.search(mark, html, re.I | re.A)
-        if not found:
-            continue
-        start = html.rfind("<", 0, found.start() + 1)
-        name = re.match(r"<(\w+)", html[max(start, 0):], re.A)
-        opened = html.find(">", max(start, 0))
-        if not name or opened < 0:
-            continue
-        depth = 1
-        for tag in re.compile(rf"</{name[1]}>|<{name[1]}[\s>]", re.I).finditer(html, opened + 1):
-            depth += -1 if tag[0].startswith("</") else 1
-            if depth == 0:
-                if inner := html[opened + 1 : tag.start()]:
-                    return inner
-                break
-    return None
-
-
-@F.pandas_udf(T.StringType())
-def nested_root(html: pd.Series) -> pd.Series:
-    return html.map(_nested_root)
+def html_to_markdown(html: Column | str) -> Column:
+    """Markdown of a content root, by a fixed order of rewrites."""
+    return markdown_text(markdown_images(markdown_blocks(html)))
+
+
+def _inside(h: Column, mark: str) -> Column:
+    """Inside of the element whose start tag carries the first match of ``mark``: a fold over the element's own tags
+    that counts depth and length. Null without a match, an end tag or an inside."""
+
+    def named(e: Column) -> Column:
+        # e: the text from the start tag's "<" on
+        name = F.regexp_extract(e, r"^<([A-Za-z0-9_]+)", 1)
+        opened = F.locate(">", e)
+        return F.when((name != "") & (opened > 0), closed(e.substr(opened + 1, F.length(e)), name))
+
+    def closed(rest: Column, name: Column) -> Column:
+        tags = F.concat(F.lit("(?i)</"), name, F.lit(">|<"), name, F.lit(f"(?:{WS}|>)"))
+
+        def step(a: Column, x: Column) -> Column:
+            depth = a["depth"] + F.when(x["tag"].startswith("</"), -1).otherwise(1)
+            at = a["at"] + F.length(x["piece"]).cast("bigint")
+            return F.when(a["end"].isNotNull(), a).otherwise(F.struct(
+                depth.alias("depth"), (at + F.length(x["tag"])).alias("at"), F.when(depth == 0, at).alias("end")))
+
+        # the last piece has no tag behind it
+        parts = F.filter(
+            F.arrays_zip(F.split(rest, tags, -1).alias("piece"), F.regexp_extract_all(rest, tags, F.lit(0)).alias("tag")),
+            lambda x: x["tag"].isNotNull())
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("end"))
+        end = F.aggregate(parts, start, step, lambda a: a["end"])
+        return let(end, lambda n: F.when(n > 0, rest.substr(F.lit(1), n.cast("int"))))
+
+    def of(before: Column) -> Column:
+        tail = F.substring_index(before, "<", -1)
+        start = F.length(before) - F.length(tail)
+        return F.when(before.contains("<"), let(h.substr(start, F.length(h)), named))
+
+    return F.when(h.rlike(mark), let(F.get(F.split(h, mark, 2), F.lit(0)), of))
+
+
+def nested_root(html: Column | str) -> Column:
+    """Inside of the first element that carries a content class or id, whose nested tags are counted."""
+    return F.coalesce(*[_inside(c(html), mark) for mark in ROOT_MARKS])
 
 
 def page_root(cleaned: Column | str) -> Column:
-    """Content root of a page whose noise is already stripped. Only pages whose root is named by a
-    class or id send their text to Python; all others send a null."""
+    """Content root of a page whose noise is already stripped."""
     h = c(cleaned)
     return F.coalesce(
         simple_content_root(h), nested_root(F.when(needs_nested_root(h), h)), body_root(h)
     )
 
 
-__all__ = ["html_to_markdown", "page_root", "replace_with", "nested_root", "strip_noise"]
+__all__ = ["html_to_markdown", "markdown_blocks", "markdown_images", "markdown_text", "page_root", "replace_with",
+           "nested_root", "strip_noise"]

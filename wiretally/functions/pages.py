@@ -22,6 +22,11 @@ ENTITIES = {
 }
 _AMP = "\uFDD2"
 
+#: Attributes that name a content root, in order of precedence.
+ROOT_MARKS = [
+    rf"""(?i)class=["'][^"']*(?<![A-Za-z0-9_]){name}(?![A-Za-z0-9_])""" for name in K.CONTENT_CLASSES
+] + [r"""(?i)id=["']content["']"""]
+
 
 def decode_entities(s: Column | str) -> Column:
     """Decode seven entities, each once: ``&amp;lt;`` gives ``&lt;``."""
@@ -92,12 +97,7 @@ def simple_content_root(html: Column | str) -> Column:
 
 def needs_nested_root(html: Column | str) -> Column:
     """The content root is named by a class or id, so nesting has to be counted."""
-    classes = "|".join(K.CONTENT_CLASSES)
-    marks = (
-        rf"""(?i)class=["'][^"']*(?<![A-Za-z0-9_])(?:{classes})(?![A-Za-z0-9_])"""
-        r"""|id=["']content["']"""
-    )
-    return simple_content_root(html).isNull() & c(html).rlike(marks)
+    return simple_content_root(html).isNull() & c(html).rlike("|".join(ROOT_MARKS))
 
 
 def body_root(html: Column | str) -> Column:

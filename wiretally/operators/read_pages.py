@@ -9,8 +9,7 @@ from wiretally.functions import html_blocks, pages, text
 
 
 def with_root(df: DataFrame, html: str = "html") -> DataFrame:
-    """Add ``root``: the content root of the page without noise elements. Only pages whose root is
-    named by a class or id visit Python."""
+    """Add ``root``: the content root of the page without noise elements."""
     cleaned = df.withColumn("__clean", pages.strip_noise(html))
     staged = cleaned.withColumn("__simple", pages.simple_content_root("__clean")).withColumn(
         "__nested",
@@ -22,13 +21,16 @@ def with_root(df: DataFrame, html: str = "html") -> DataFrame:
 
 def read_pages(df: DataFrame, max_chars: int | None = None) -> DataFrame:
     """url, title, author, description, content, links, images, metadata and token cost of pages
-    whose status is 200 (or unknown)."""
+    whose status is 200 (or unknown). Links and images are those that stand in the content: a link inside a heading
+    or a table is text there and is not listed."""
     if "status" in df.columns:
         df = df.filter(F.col("status") == 200)
     staged = (
         with_root(df)
         .withColumn("head", pages.page_head("html"))
-        .withColumn("full", html_blocks.html_to_markdown("root"))
+        .withColumn("blocks", html_blocks.markdown_blocks("root"))
+        .withColumn("pictured", html_blocks.markdown_images("blocks"))
+        .withColumn("full", html_blocks.markdown_text("pictured"))
         .withColumn("shell", pages.is_spa_shell("html", "root"))
     )
     content = F.substring("full", 1, max_chars) if max_chars else F.col("full")
@@ -39,8 +41,8 @@ def read_pages(df: DataFrame, max_chars: int | None = None) -> DataFrame:
         F.nullif("head.author", F.lit("")).alias("author"),
         F.nullif("head.og_description", F.lit("")).alias("description"),
         "content",
-        pages.page_links("root").alias("links"),
-        pages.page_images("root").alias("images"),
+        pages.page_links("pictured").alias("links"),
+        pages.page_images("blocks").alias("images"),
         F.coalesce(F.nullif("head.og_type", F.lit("")), F.lit("unknown")).alias("type"),
         F.nullif("head.published_time", F.lit("")).alias("published_at"),
         F.when(F.col("shell"), "spa-shell")
