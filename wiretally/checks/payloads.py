@@ -216,3 +216,65 @@ FROM documents WHERE doc_id % 8 = 0""")
 def _(spark, sf):
     out = P.normalise_payloads(doc_payloads(spark, sf))
     return out.filter("route = 'forum'").select("url", "content")
+
+
+def social_payloads(spark, sf):
+    """One social post per document, with and without author, article, quoted post and photos."""
+    d = D.table(spark, sf, "documents").withColumn("i", _s("doc_id"))
+    n = F.col("doc_id")
+
+    def block(kind, text):
+        return F.struct(F.lit(kind).alias("type"), (F.lit(text) if isinstance(text, str) else text).alias("text"))
+
+    blocks = F.array(
+        block("header-one", "Top"), block("unstyled", F.col("text")), block("unordered-list-item", "a"), block("ordered-list-item", "b"),
+        block("header-two", ""), block("blockquote", "c"), block("header-two", "d"), block("header-three", "e"))
+    author = F.struct(
+        F.lit("Ann B").alias("name"), F.lit("ann").alias("screen_name"), F.when(n % 2 == 0, "About me").alias("description"),
+        (n % 11 * 1234).alias("followers"),
+        F.when(n % 2 == 1, F.struct(F.concat(F.lit("https://a.example/"), "i").alias("url"),
+                                    F.when(n % 4 == 1, "a.example").alias("display_url"))).alias("website"))
+    article = F.when(n % 3 == 0, F.struct(
+        F.concat(F.lit("Art "), "i").alias("title"), F.struct(blocks.alias("blocks")).alias("content"), F.lit(None).cast("string").alias("preview_text"),
+        F.struct(F.struct(F.concat(F.lit("https://m/"), "i").alias("original_img_url")).alias("media_info")).alias("cover_media"),
+    )).when(n % 3 == 2, F.struct(
+        F.lit(None).cast("string").alias("title"), F.lit(None).alias("content"), F.col("lang").alias("preview_text"), F.lit(None).alias("cover_media")))
+    quote = F.when(n % 4 == 1, F.struct(F.struct(F.lit("Bo").alias("name"), F.lit("bo").alias("screen_name")).alias("author"), F.col("text").alias("text"))).when(
+        n % 4 == 2, F.struct(F.lit(None).alias("author"), F.lit("mine").alias("text")))
+    photos = F.when(n % 6 > 0, F.transform(F.sequence(F.lit(1), (n % 6).cast("int")), lambda p: F.struct(
+        F.concat(F.lit("https://p/"), p.cast("string")).alias("url"))))
+    tweet = F.struct(
+        F.when(n % 5 != 4, F.col("text")).alias("text"), F.struct(F.col("text").alias("text")).alias("raw_text"),
+        F.when(n % 7 != 0, author).alias("author"), (n * 100).alias("likes"), (n % 3).alias("retweets"), (n * 1000).alias("views"),
+        (n % 2).alias("bookmarks"), article.alias("article"), quote.alias("quote"), F.struct(photos.alias("photos")).alias("media"),
+        F.lit("2024-01-01").alias("created_at"))
+    return d.select(
+        F.concat(F.lit("https://x.com/u"), "i", F.lit("/status/"), "i").alias("url"), F.lit(200).alias("status"),
+        F.to_json(F.struct(tweet.alias("tweet"))).alias("body"))
+
+
+@query("social_posts", """WITH d AS (SELECT *, CAST(doc_id AS VARCHAR) AS i, doc_id % 7 <> 0 AS known, chr(10) AS nl, doc_id AS n, nullif(text, '') AS t FROM documents),
+ w AS (SELECT *, CASE WHEN known THEN 'Ann B (@ann)' ELSE 'u' || i END AS who FROM d)
+SELECT 'https://x.com/u' || i || '/status/' || i AS url,
+  CASE WHEN n % 3 = 0 THEN 'Art ' || i WHEN t IS NULL THEN 'Tweet by ' || who ELSE who || ': ' || t[1:80] || CASE WHEN length(t) > 80 THEN '…' ELSE '' END END AS title,
+  CASE WHEN known THEN 'Ann B' ELSE 'u' || i END AS author, t[1:200] AS description, CASE WHEN n % 3 = 1 THEN 'social' ELSE 'article' END AS type,
+  concat_ws(nl, CASE WHEN known THEN '**Ann B** (@ann)' END, CASE WHEN known AND n % 2 = 0 THEN 'About me' END,
+    CASE WHEN known AND n % 11 > 0 THEN 'Followers: ' || format('{:,}', n % 11 * 1234) END, nl || t,
+    nullif(concat_ws(' · ', CASE WHEN n > 0 THEN format('{:,}', n * 100) || ' likes' END, CASE WHEN n % 3 > 0 THEN (n % 3) || ' RTs' END,
+      CASE WHEN n > 0 THEN format('{:,}', n * 1000) || ' views' END, CASE WHEN n % 2 > 0 THEN '1 bookmarks' END), ''),
+    CASE n % 3 WHEN 0 THEN nl || '## Art ' || i WHEN 2 THEN nl || '## Article' END,
+    CASE n % 3 WHEN 0 THEN concat_ws(nl, nl || '# Top', t, '• a', '1. b', '> c', nl || '## d', nl || '### e') WHEN 2 THEN nullif(lang, '') END,
+    CASE n % 4 WHEN 1 THEN nl || '> Quoting Bo (@bo):' || nl || '> ' || coalesce(t, '') WHEN 2 THEN nl || '> Quoting Unknown:' || nl || '> mine' END) AS content,
+  CASE WHEN known AND n % 2 = 1 THEN CASE WHEN n % 4 = 1 THEN 'a.example' ELSE 'Website' END || ' https://a.example/' || i ELSE '' END AS links,
+  concat_ws(nl, nullif(array_to_string(list_transform(range(1, n % 6 + 1), lambda p: 'Tweet image https://p/' || p), chr(10)), ''),
+    CASE WHEN n % 3 = 0 THEN 'Art ' || i || ' https://m/' || i END) AS images
+FROM w""")
+def _(spark, sf):
+    """Every document as a social post, with its whole article, quote, link and all photos."""
+    out = P.normalise_payloads(social_payloads(spark, sf))
+
+    def joined(column, *fields):
+        return F.array_join(F.transform(column, lambda x: F.concat_ws(" ", *[x[f] for f in fields])), "\n")
+
+    return out.select("url", "title", "author", "description", "type", "content",
+                      joined("links", "text", "href").alias("links"), joined("images", "alt", "src").alias("images"))

@@ -37,6 +37,9 @@ class Limits:
     images: int | None = None
     photos: int | None = None
     article_chars: int | None = None
+    #: A social post has no title or summary of its own; they are excerpts of its text.
+    title_chars: int | None = 80
+    summary_chars: int | None = 200
 
 
 ALL = Limits()
@@ -50,6 +53,12 @@ def _head(items: Column, limit: int | None) -> Column:
     return items if limit is None else F.slice(items, 1, limit)
 
 
+def _excerpt(text: Column, limit: int | None, more: str = "") -> Column:
+    if limit is None:
+        return text
+    return F.concat(F.substring(text, 1, limit), F.when(F.length(text) > limit, more).otherwise(""))
+
+
 def route(url: Column | str) -> Column:
     out = F.lit(None).cast("string")
     for name, pattern in reversed(ROUTES):
@@ -333,6 +342,7 @@ BLOCK_MARKS = {
 
 
 def social(v: Column, url: Column, limits: Limits = ALL) -> Column:
+    """A post with its author, engagement, embedded article, quoted post, photos and cover."""
     user = F.regexp_extract(url, r"(?:twitter\.com|x\.com)/(\w+)/status/", 1)
     name, screen = _text(v, "$.tweet.author.name"), _text(v, "$.tweet.author.screen_name")
     known = F.try_variant_get(v, "$.tweet.author", "variant").isNotNull()
@@ -379,12 +389,12 @@ def social(v: Column, url: Column, limits: Limits = ALL) -> Column:
         _head(_items(v, "$.tweet.media.photos"), limits.photos), lambda p: _image("Tweet image", _text(p, "$.url")))
     title = F.coalesce(
         article_title,
-        _cat(who, ": ", F.substring(text, 1, 80), F.when(F.length(text) > 80, "…").otherwise("")),
+        _cat(who, ": ", _excerpt(text, limits.title_chars, "…")),
         _cat("Tweet by ", who),
     )
     return F.when(
         F.try_variant_get(v, "$.tweet", "variant").isNotNull(),
-        _row(title, F.coalesce(name, user), F.substring(text, 1, 200), content,
+        _row(title, F.coalesce(name, user), _excerpt(text, limits.summary_chars), content,
              F.when(has_article, "article").otherwise("social"), "twitter-fxtwitter", "X (Twitter)",
              F.filter(F.array(_link(_or(_text(v, "$.tweet.author.website.display_url"), "Website"), site)),
                       lambda x: x["href"].isNotNull()),
