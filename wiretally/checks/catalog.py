@@ -62,7 +62,7 @@ def _(spark, sf):
     return rows.select("seq", "path", "type")
 
 
-@query("schema_drift", f"""{CAT},
+_DRIFT = f"""{CAT},
  base AS (SELECT domain, key, kind, seq, ts_us FROM cat WHERE kind = 'product' AND NOT body_missing),
  b AS (SELECT base.*, ts_us >= 1705363200000000 AS late, CASE WHEN ts_us < 1705363200000000 AND seq % 9 = 0 THEN 'null' ELSE 'number' END AS price FROM base),
  r AS (SELECT domain, key, ts_us >= 1705363200000000 AS late, CASE WHEN ts_us < 1705363200000000 AND seq % 9 = 0 THEN 'null' ELSE 'number' END AS price,
@@ -76,7 +76,10 @@ UNION ALL SELECT domain, key, 'tags[]', 'warn', 'type changed: ' || CASE WHEN bl
 UNION ALL SELECT domain, key, 'price', 'warn', 'type changed: ' || bp || ' → ' || rp || CASE WHEN rp = 'null' THEN ' (became nullable)' ELSE '' END, responses FROM j WHERE bp <> rp
 UNION ALL SELECT c.domain, c.key, 'refresh_token', CASE WHEN c.session % 2 = 0 THEN 'error' ELSE 'info' END,
   CASE WHEN c.session % 2 = 0 THEN 'field disappeared: refresh_token was string' ELSE 'new field: refresh_token (string)' END, count(*)
- FROM cat c JOIN keyed o USING (domain, key) WHERE c.kind = 'oauth' AND NOT c.body_missing AND NOT o.body_missing AND c.session % 2 <> o.session % 2 GROUP BY ALL""")
+ FROM cat c JOIN keyed o USING (domain, key) WHERE c.kind = 'oauth' AND NOT c.body_missing AND NOT o.body_missing AND c.session % 2 <> o.session % 2 GROUP BY ALL"""
+
+
+@query("schema_drift", _DRIFT)
 def _(spark, sf):
     rows = keyed(spark, sf).filter(~F.col("body_missing"))
     out = drift.schema_drift(
@@ -86,6 +89,38 @@ def _(spark, sf):
     return out.select("domain", "key", "path", "severity", "message", "responses")
 
 
+def _drift_totals(path: str) -> str:
+    """The drift rows above, added up over the versions of an endpoint."""
+    head, first, rest = _DRIFT.partition("\nSELECT domain, key, 'name' AS path")
+    return (f"{head},\n vs AS ({first}{rest})\nSELECT domain, key, {path} AS path, severity, message, "
+            "CAST(sum(responses) AS BIGINT) AS responses FROM vs GROUP BY ALL")
+
+
+@query("drift_totals", _drift_totals("path"))
+def _(spark, sf):
+    """Drift counted over responses, from one row per path and type."""
+    rows = keyed(spark, sf).filter(~F.col("body_missing"))
+    out = drift.drift_totals(
+        endpoints(spark, sf).filter(F.col("provenance").isNull()),
+        rows.select("domain", "key", "ts_us", "response_body"),
+    )
+    return out.select("domain", "key", "path", "severity", "message", "responses")
+
+
+@query("drift_of_keyed_bodies", _drift_totals("'by_id.{id}.' || path"))
+def _(spark, sf):
+    """The same responses as members of an object whose keys are ids, two in each body."""
+    body, n = F.col("response_body"), F.col("seq").cast("string")
+    boxed = F.when(F.try_parse_json(body).isNotNull(), F.concat(
+        F.lit('{"by_id":{"'), n, F.lit('":'), body, F.lit(',"'), F.lpad(n, 20, "f"), F.lit('":'), body, F.lit("}}")))
+    rows = keyed(spark, sf).filter(~F.col("body_missing")).withColumn("response_body", boxed)
+    # the schema of the endpoint's first exchange, boxed in the same way
+    firsts = rows.groupBy("domain", "key").agg(F.min("ord").alias("ord")).select(traffic.ordinal_seq("ord").alias("seq"))
+    base = rows.join(firsts, "seq").select("domain", "key", bodies.schema_nodes("response_body").alias("response_schema"))
+    out = drift.drift_totals(base, rows.select("domain", "key", "ts_us", "response_body"))
+    return out.select("domain", "key", "path", "severity", "message", "responses")
+
+
 @query("confidence_upgrade", f"""{CAT},
  res AS (SELECT domain, key, bool_or(k % 3 = 0) AS ok FROM keyed GROUP BY ALL)
 SELECT domain, key, CASE WHEN ok AND body_missing THEN 1.0 WHEN body_missing THEN 0.8 END::DOUBLE AS confidence,
