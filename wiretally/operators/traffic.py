@@ -15,7 +15,7 @@ from wiretally import constants as K
 from wiretally.functions import bodies, headers, paths, text, urls
 from wiretally.functions.common import c, let, ordinal, ordinal_seq, str_array
 from wiretally.operators.joins import join_small
-from wiretally.session import reliable
+from wiretally.session import landed, reliable
 
 
 def with_reject_reason(
@@ -242,13 +242,14 @@ def domain_counters(classified: DataFrame) -> DataFrame:
         "ts_us",
         F.when(kept, size).otherwise(declared).cast("bigint").alias("bytes"),
     )
-    per_second = rows.groupBy("domain", _second("ts_us").alias("second")).agg(
+    # landed, so that traffic is classified once for all that is summed
+    per_second = landed(rows.groupBy("domain", _second("ts_us").alias("second")).agg(
         F.count_if("kept").alias("captured"),
         F.count_if(~F.col("kept")).alias("filtered"),
         F.sum(F.when(F.col("kept"), F.col("bytes"))).alias("kept_bytes"),
         F.sum(F.when(~F.col("kept"), F.col("bytes"))).alias("filtered_bytes"),
         F.min(F.when(F.col("kept"), F.col("ts_us"))).alias("first_us"),
-    )
+    ), "domain-seconds")
     totals = per_second.groupBy("domain").agg(
         F.sum("captured").alias("capture_count"),
         F.sum("filtered").alias("filtered_count"),
