@@ -8,6 +8,7 @@ from wiretally import constants as K
 from wiretally.checks.base import query
 from wiretally.checks.sqlparts import DIRECTORY, SPECS, in_list, lit
 from wiretally.operators import merge, specs
+from wiretally.session import spread_groups
 from wiretally.sources import derived as D
 
 
@@ -83,7 +84,7 @@ def _(spark, sf):
     names = {"/a": "same", "/b": "same", "/c": "same-2", "/d": "same", "/e": _LONG, "/f": _LONG, "/g": _LONG}
     doc = '{"openapi":"3.0.0","info":{"title":"t"},"servers":[{"url":"https://ids.example.org"}],"paths":{' + ",".join(
         f'"{p}":{{"get":{{"operationId":"{n}","responses":{{}}}}}}' for p, n in names.items()) + "}}"
-    hard = D.table(spark, sf, "supplier").select(
+    hard = spread_groups(D.table(spark, sf, "supplier")).select(
         F.col("s_suppkey").alias("spec_id"), F.concat(F.lit("https://s/"), "s_suppkey").alias("spec_url"), F.lit(doc).alias("raw"))
     ids = specs.spec_operations(specs.profile_specs(specs.read_specs(hard))).select("spec_id", "path", "id")
     o = specs.spec_operations(profiled(spark, sf).filter("problem is null"))
@@ -101,7 +102,7 @@ def _(spark, sf):
         F.lit('{"openapi":"3.0.0","info":{"title":"t"},"servers":[{"url":"https://deep.example.org"}],"paths":{"/x":{"get":{"responses":'
               '{"200":{"content":{"application/json":{"schema":{"$ref":"#/components/schemas/S0"}}}}}}}},"components":{"schemas":{'),
         chain, F.lit('"S'), last, F.lit('":{"type":"object","properties":{"deep":{"type":"string"}}}}}}'))
-    docs = D.table(spark, sf, "supplier").select(
+    docs = spread_groups(D.table(spark, sf, "supplier")).select(
         F.col("s_suppkey").alias("spec_id"), F.concat(F.lit("https://s/"), "s_suppkey").alias("spec_url"), raw.alias("raw"))
     o = specs.spec_operations(specs.profile_specs(specs.read_specs(docs)))
     return o.select("spec_id", F.col("response_type").alias("type"), F.array_join("response_fields", ",").alias("fields"))
@@ -220,7 +221,7 @@ def _(spark, sf):
 SELECT s_name AS provider, 'r' || s_suppkey AS repo, 'openapi.json' AS spec_path, 'https://x/' || s_suppkey AS spec_url, 'n' AS notes
 FROM supplier WHERE contains(lower(s_name), '7')""")
 def _(spark, sf):
-    s = D.table(spark, sf, "supplier").select(
+    s = spread_groups(D.table(spark, sf, "supplier")).select(
         F.col("s_name").alias("provider"), F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("repo"),
         F.lit("openapi.json").alias("specPath"),
         F.concat(F.lit("https://x/"), F.col("s_suppkey").cast("string")).alias("specUrl"), F.lit("n").alias("notes"))

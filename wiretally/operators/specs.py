@@ -287,7 +287,9 @@ def spec_operations(profiled: DataFrame) -> DataFrame:
         .withColumn("ops", F.expr(with_params))
         .withColumn("ops", F.expr(light))
         .select("spec_id", "spec_url", "domain", "base_path", "spec_version", "requires_auth",
-                F.posexplode("ops").alias("pos", "o"))
+                # outer: Spark tests an array that it explodes below, by working it out once more for each test
+                F.posexplode_outer("ops").alias("pos", "o"))
+        .filter("o is not null")
     )
     return _finish(staged)
 
