@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,19 +81,30 @@ def last_endpoints(news: DataFrame, owner: str = "session", n: int = 5) -> DataF
 def sliding_counts(df: DataFrame, keys: list[str], window_ms: int = K.RATE_WINDOW_MS) -> DataFrame:
     """Calls per key in the ``window_ms`` up to and including each millisecond.
 
-    Calls are counted per millisecond first. Each count is then copied to its own bucket and the next,
-    so every window lies inside one (key, bucket) group of at most two windows of milliseconds."""
+    Calls are counted per millisecond first, see :func:`_in_window`."""
     per_ms = df.groupBy(*keys, F.floor(F.col("ts_us") / 1000).cast("bigint").alias("ts_ms")).agg(
         F.count("*").alias("calls")
     )
-    own = F.floor(F.col("ts_ms") / F.lit(window_ms)).cast("bigint")
-    copies = per_ms.withColumn("own", own).withColumn("bucket", F.explode(F.array("own", F.col("own") + 1)))
-    w = Window.partitionBy(*keys, "bucket").orderBy("ts_ms").rangeBetween(-(window_ms - 1), 0)
-    return (
-        copies.withColumn("in_window", F.sum("calls").over(w))
-        .filter(F.col("bucket") == F.col("own"))
-        .select(*keys, "ts_ms", "calls", "in_window")
-    )
+    return _in_window(per_ms, keys, "ts_ms", window_ms).select(*keys, "ts_ms", "calls", "in_window")
+
+
+def _in_window(counts: DataFrame, keys: list[str], at: str, window: int) -> DataFrame:
+    """``counts`` (keys, at, calls) with ``in_window``: the calls of a key in the ``window`` up to and including ``at``.
+
+    A count enters its own bucket, of one window, at its time and leaves the next one a window later. So every window lies
+    inside one (key, bucket) group, as what the bucket before left behind and a running sum; a sliding frame would add up
+    all of its rows for each row."""
+    own = F.floor(F.col(at) / F.lit(window)).cast("bigint")
+    steps = counts.withColumn("own", own).filter("own is not null").select(
+        *keys, "calls", F.explode(F.array(
+            F.struct(F.col("own").alias("bucket"), F.col(at).alias("at"), F.col("calls").alias("step")),
+            F.struct((F.col("own") + 1).alias("bucket"), (F.col(at) + window).alias("at"), (-F.col("calls")).alias("step")))).alias("s")
+    ).select(*keys, "calls", "s.*")
+    group = Window.partitionBy(*keys, "bucket")
+    left = -F.sum(F.when(F.col("step") < 0, F.col("step")).otherwise(0)).over(group)
+    running = F.sum("step").over(group.orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
+    return steps.withColumn("in_window", left + running).filter("step > 0").select(
+        *keys, F.col("at").alias(at), "calls", "in_window")
 
 
 def rate_limit(calls: DataFrame, limit: int = K.RATE_LIMIT, window_ms: int = K.RATE_WINDOW_MS) -> DataFrame:
@@ -125,17 +137,24 @@ def rate_limit(calls: DataFrame, limit: int = K.RATE_LIMIT, window_ms: int = K.R
     def limiter(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, kept = None, deque()
         for part in parts:
-            flags = []
-            for key, burst, ts in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                if (key, burst) != place:
-                    place, kept = (key, burst), deque()
-                while kept and kept[0] <= ts - window_us:
-                    kept.popleft()
-                flags.append(len(kept) < limit)
-                if flags[-1]:
+            keys, bursts, times = (np.asarray(part.column(i)) for i in range(3))
+            allowed = np.zeros(len(times), bool)
+            edges = np.flatnonzero((keys[1:] != keys[:-1]) | (bursts[1:] != bursts[:-1])) + 1
+            for start, end in zip([0, *edges], [*edges, len(times)], strict=True):
+                if (keys[start], bursts[start]) != place:
+                    place, kept = (keys[start], bursts[start]), deque()
+                at = start
+                # from one call that passes to the next: the calls between them are rejected
+                while at < end and (len(kept) < limit or (
+                        at := at + int(np.searchsorted(times[at:end], kept[0] + window_us))) < end):
+                    ts = int(times[at])
+                    while kept and kept[0] <= ts - window_us:
+                        kept.popleft()
                     kept.append(ts)
+                    allowed[at] = True
+                    at += 1
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(3), part.column(2), pa.array(flags, pa.bool_())],
+                [part.column(0), part.column(3), part.column(2), pa.array(allowed)],
                 names=["key", "seq", "ts_us", "allowed"])
 
     return easy.unionByName(hard.mapInArrow(limiter, easy.schema))
@@ -143,11 +162,9 @@ def rate_limit(calls: DataFrame, limit: int = K.RATE_LIMIT, window_ms: int = K.R
 
 def _busy(rows: DataFrame, limit: int, window_us: int) -> DataFrame:
     """Adds ``sure``: at most ``limit`` calls of the key lie in the window up to and including the call's time."""
-    own = F.floor(F.col("ts_us") / F.lit(window_us)).cast("bigint")
-    per_us = rows.groupBy("key", "ts_us").agg(F.count("*").alias("calls")).withColumn("own", own)
-    copies = per_us.withColumn("bucket", F.explode(F.array("own", F.col("own") + 1)))
-    w = Window.partitionBy("key", "bucket").orderBy("ts_us").rangeBetween(-(window_us - 1), 0)
-    return copies.withColumn("sure", F.sum("calls").over(w) <= limit).filter("bucket = own").select("key", "ts_us", "sure")
+    per_us = rows.groupBy("key", "ts_us").agg(F.count("*").alias("calls"))
+    return _in_window(per_us, ["key"], "ts_us", window_us).select(
+        "key", "ts_us", (F.col("in_window") <= limit).alias("sure"))
 
 
 def _as_of(rows: DataFrame, starts: DataFrame, bucket_us: int) -> DataFrame:
