@@ -13,7 +13,7 @@ from wiretally.checks.sqlparts import (
 )
 from wiretally.functions import bodies, headers, paths, text, urls
 from wiretally.operators import traffic
-from wiretally.session import state_folder
+from wiretally.session import spread_groups, state_folder
 from wiretally.sources import archives
 from wiretally.sources import derived as D
 from wiretally.sources.exchanges import read_exchanges, split_by_size
@@ -46,7 +46,7 @@ SELECT ts_us, method, status, url, CASE WHEN NOT body_missing THEN length(resp_b
 def _(spark, sf):
     """All exchanges written as archives, and the archives read back in several tasks per file."""
     folder = state_folder(spark, "archives")
-    archives.write_archives(ex(spark, sf).repartition(3), folder)
+    archives.write_archives(spread_groups(ex(spark, sf)), folder)
     rows = archives.read_archives(spark, folder, split_bytes=1 << 18)
     return rows.select(
         "ts_us", "method", "status", "url", F.length("response_body").cast("bigint").alias("body_chars"), "body_missing",

@@ -138,7 +138,7 @@ def ranges(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> DataFram
     names = sorted(r["path"] for r in listed.select("path").collect())
     if not names:
         return spark.createDataFrame([], "file bigint, uri string, start bigint, end bigint, first bigint")
-    files = spark.createDataFrame(list(enumerate(names)), "file bigint, uri string").repartition(
+    files = spark.createDataFrame(list(enumerate(names)), "file bigint, uri string").repartitionByRange(
         min(len(names), 10_000), "file")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +158,12 @@ def ranges(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> DataFram
 
 
 def raw_entries(spark: SparkSession, path: str, split_bytes: int = SPLIT, tasks: int | None = None) -> DataFrame:
-    """``file, pos, raw``: every entry of every archive as JSON text. ``tasks``: at most one per range by default."""
+    """``file, pos, raw``: every entry of every archive as JSON text. ``tasks``: as many as ``SPLIT`` goes into their bytes by
+    default, and no fewer than there are cores or, if these are fewer, ranges; a task reads its ranges one by one."""
     planned = ranges(spark, path, split_bytes)
-    tasks = tasks or max(1, min(planned.count(), 100_000))
+    if not tasks:
+        n, size = planned.agg(F.count("*"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()
+        tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, size // SPLIT)))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
