@@ -10,7 +10,7 @@ from wiretally.checks.sqlparts import EXR, KEYED, WITH, entropy_of, in_list
 from wiretally.checks.traffic import TEMPLATE, ex, keyed
 from wiretally.functions import bodies, urls
 from wiretally.operators import catalog, drift, merge, reports, requests, search_index, traffic
-from wiretally.session import state_folder
+from wiretally.session import spread_groups, state_folder
 from wiretally.sources import derived as D
 
 _ID = """CASE WHEN operation IS NOT NULL THEN 'post-graphql-' || operation ELSE lower(method) || '-' ||
@@ -544,7 +544,7 @@ SELECT call_id, endpoint_id, CASE WHEN path IS NULL THEN NULL
 FROM j""")
 def _(spark, sf):
     """All calls with their whole URLs."""
-    ev = D.table(spark, sf, "events")
+    ev = spread_groups(D.table(spark, sf, "events"))
     k = F.regexp_extract("props", r"\d+", 0)
     s = F.col("event_id")
     calls = ev.select(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wiretally.session import spread, state_folder
+from wiretally.session import spread, spread_groups, state_folder
 
 SPARK = {
     "ts_us": "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))",
@@ -184,7 +184,7 @@ def _map_of(**cols: str) -> Column:
 
 
 def _exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    spread_groups(table(spark, sf_dir, "events")).createOrReplaceTempView("events")
     flat = spark.sql(exchanges_sql(SPARK))
     request_headers = _map_of(
         accept="'application/json'",
@@ -284,7 +284,7 @@ def probes_sql(dialect: dict[str, str]) -> str:
 
 
 def _page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "pages").createOrReplaceTempView("pages")
+    spread_groups(table(spark, sf_dir, "pages")).createOrReplaceTempView("pages")
     flat = spark.sql(page_responses_sql(SPARK))
     headers = _map_of(
         content_type="content_type",
@@ -372,7 +372,7 @@ def directory_sql(dialect: dict[str, str]) -> str:
 
 
 def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
+    spread_groups(table(spark, sf_dir, "supplier")).createOrReplaceTempView("supplier")
     return spark.sql(specs_sql(SPARK))
 
 
@@ -382,7 +382,7 @@ def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _directories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
+    spread_groups(table(spark, sf_dir, "supplier")).createOrReplaceTempView("supplier")
     return spark.sql(directory_sql(SPARK))
 
 
