@@ -117,7 +117,7 @@ def shannon_entropy(s: Column | str) -> Column:
 
     def of(text: Column) -> Column:
         n = F.length(text).cast("double")
-        chars = F.array_distinct(F.filter(F.split(text, ""), lambda x: x != ""))
+        chars = F.filter(F.array_distinct(F.split(text, "")), lambda x: x != "")
 
         def add(acc: Column, ch: Column) -> Column:
             p = (n - F.length(F.replace(text, ch, F.lit("")))) / n
@@ -135,8 +135,9 @@ def jwt_payload(token: Column | str) -> Column:
     body = F.translate(F.get(parts, F.lit(1)), "-_", "+/")
     padded = F.concat(body, F.repeat(F.lit("="), F.pmod(-F.length(body), F.lit(4))))
     text = F.try_to_binary(padded, F.lit("base64")).cast("string")
-    value = F.when(t.startswith("eyJ") & (F.size(parts) == 3), F.try_parse_json(text))
-    return F.when(F.substring(F.ltrim(text), 1, 1).isin("{", "["), value)
+    # nothing is decoded of other texts
+    value = let(text, lambda x: F.when(F.substring(F.ltrim(x), 1, 1).isin("{", "["), F.try_parse_json(x)))
+    return F.when(t.startswith("eyJ") & (F.size(parts) == 3), value)
 
 
 def jwt_claims(token: Column | str) -> Column:
@@ -175,22 +176,22 @@ def classify_token(value: Column | str) -> Column:
     def of(raw: Column) -> Column:
         def decide(x: Column) -> Column:
             jwt, bits = x["jwt"], x["bits"]
-            short = raw.rlike(K.UUID_RE) | (F.length(raw) < K.MIN_TOKEN_LENGTH)
-            is_token = jwt | (~short & (bits >= K.ENTROPY_MEDIUM))
-            high = jwt | (~short & (bits >= K.ENTROPY_HIGH))
+            is_token = jwt | (bits >= K.ENTROPY_MEDIUM)
+            high = jwt | (bits >= K.ENTROPY_HIGH)
             return F.struct(
                 is_token.alias("is_token"),
                 F.when(high, "high").otherwise("medium").alias("confidence"),
                 F.when(jwt, "jwt").otherwise("opaque").alias("format"),
             )
 
-        # entropy is rounded far below the bars so that summation order cannot move a value across
-        bits = F.when(
-            F.length(raw) >= K.MIN_TOKEN_LENGTH, F.round(shannon_entropy(raw), 12)
-        ).otherwise(0.0)
-        return let(
-            F.struct(jwt_payload(raw).isNotNull().alias("jwt"), bits.alias("bits")), decide
-        )
+        # entropy is rounded far below the bars so that summation order cannot move a value across; a JWT, an id or a
+        # short text is decided without it
+        def weigh(jwt: Column) -> Column:
+            plain = ~jwt & (F.length(raw) >= K.MIN_TOKEN_LENGTH) & ~raw.rlike(K.UUID_RE)
+            bits = F.when(plain, F.round(shannon_entropy(raw), 12)).otherwise(0.0)
+            return F.struct(jwt.alias("jwt"), bits.alias("bits"))
+
+        return let(let(jwt_payload(raw).isNotNull(), weigh), decide)
 
     return let(strip_bearer(value), of)
 
