@@ -24,15 +24,17 @@ def _segment_kind(seg: Column, prev: Column) -> Column:
     """What one path segment is. Only the slot queue needs the segments before it."""
     low = F.lower(seg)
     bare = F.regexp_replace(seg, "[-_]", "")
+    n = F.length(seg)
+    # the words first, which are none of the other kinds, and patterns only where the length allows a match
     return (
         F.when(seg == "", "empty")
-        .when(seg.rlike(r"^[0-9]+$"), "number")
-        .when(seg.rlike(K.UUID_RE), "uuid")
-        .when(seg.rlike(r"(?i)^[0-9a-f]{16,}$"), "hash")
-        .when(seg.rlike(r"[0-9]{8,}"), "slug")
-        .when((F.length(bare) >= 12) & bare.rlike("[A-Za-z]") & bare.rlike("[0-9]"), "hash")
         .when(low.isin(list(K.RESOURCE_SLOTS)), "noun")
         .when(low.isin(K.STRUCTURAL_WORDS), "structural")
+        .when(seg.rlike(r"^[0-9]+$"), "number")
+        .when((n >= 36) & seg.rlike(K.UUID_RE), "uuid")
+        .when((n >= 16) & seg.rlike(r"(?i)^[0-9a-f]{16,}$"), "hash")
+        .when((n >= 8) & seg.rlike(r"[0-9]{8,}"), "slug")
+        .when((n >= 12) & (F.length(bare) >= 12) & bare.rlike("[A-Za-z]") & bare.rlike("[0-9]"), "hash")
         .when(prev.isin(_KEEP) & (F.length(seg) >= 2) & ~seg.rlike(_WORD_RE), "value")
         .otherwise("word")
     )

@@ -16,6 +16,10 @@ URL_RE = (
     r"(/[^?#]*)?(?:\?([^#]*))?(?:#.*)?$"
 )
 
+#: URLs of the web whose host is not private; what they begin with excludes every other scheme.
+_PUBLIC_RE = URL_RE.replace(r"([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?", (
+    r"(?i:https?)://(?:[^/?#@]*@)?(?!(?i:" + K.PRIVATE_HOST_RE.removeprefix("^").removesuffix("$") + r")(?:[:/?#]|$))"))
+
 
 def url_scheme(url: Column | str) -> Column:
     return F.lower(F.nullif(F.regexp_extract(c(url), URL_RE, 1), F.lit("")))
@@ -94,6 +98,12 @@ def pairs_to_map(pairs: Column) -> Column:
     )
 
 
+def query_names(url: Column | str) -> Column:
+    """The names of :func:`query_params` in order, without their values."""
+    parts = F.filter(F.split(F.coalesce(url_query(url), F.lit("")), "&"), lambda p: p != "")
+    return F.array_sort(F.array_distinct(F.transform(parts, lambda p: form_decode(F.substring_index(p, "=", 1)))))
+
+
 def query_params(url: Column | str) -> Column:
     """Query of a URL as MAP name → example value."""
     return let(query_pairs(url_query(url)), pairs_to_map)
@@ -158,7 +168,7 @@ def capture_reject_reason(
               "content-type")
         .when(url_host(u).isNull(), "invalid-url")
         .when(is_blocklisted(url_host(u)), "blocklist")
-        .when(is_path_noise(url_path(u)), "noise-path")
+        .when(let(url_path(u), is_path_noise), "noise-path")
     )
 
 
@@ -194,21 +204,14 @@ def matches_domain_glob(host: Column | str, patterns: Column) -> Column:
 
 
 def is_allowed_url(url: Column | str) -> Column:
+    # one pass over the URL: its scheme, and a host that is valid and not private
     u = c(url)
-    blocked = F.lit(False)
-    for scheme in K.BLOCKED_SCHEMES:
-        blocked = blocked | F.lower(u).startswith(scheme)
-    return (
-        u.isNotNull()
-        & ~blocked
-        & F.coalesce(url_scheme(u).isin("http", "https"), F.lit(False))
-        & ~F.coalesce(url_host(u).rlike(K.PRIVATE_HOST_RE), F.lit(True))
-        & ~u.rlike(K.NOISE_URL_RE)
-    )
+    return F.coalesce(u.rlike(_PUBLIC_RE), F.lit(False)) & ~u.rlike(K.NOISE_URL_RE)
 
 
 def is_sensitive_path(path: Column | str) -> Column:
-    return c(path).rlike(any_of(K.SENSITIVE_PATHS))
+    # all parts begin with a slash, so that only slashes are tried
+    return c(path).rlike("(?i)/" + any_of((p.removeprefix("/") for p in K.SENSITIVE_PATHS), False).join(("(?:", ")")))
 
 
 def is_index_content_type(content_type: Column | str) -> Column:

@@ -18,30 +18,33 @@ from wiretally.functions.common import ordinal
 def is_observable() -> Column:
     """Whether a completed exchange may enter the index."""
     return (
-        urls.is_allowed_url("url")
-        & ~urls.is_sensitive_path(urls.url_path("url"))
-        & urls.is_index_content_type("content_type")
+        urls.is_index_content_type("content_type")
         & ((F.col("status") >= 200) | (F.col("status") == 0))
+        & urls.is_allowed_url("url")
+        & ~urls.is_sensitive_path(F.regexp_extract("url", urls.URL_RE, 4))
     )
 
 
 def observations(ex: DataFrame) -> DataFrame:
     """One narrow row per admitted exchange."""
-    names = F.array_sort(F.map_keys(urls.query_params("url")))
     length = headers.header(F.col("response_headers"), "content-length").try_cast("bigint")
-    path = urls.url_path("url")
-    return ex.filter(is_observable()).select(
+    path, names = F.col("__path"), F.col("params")
+    # a URL is taken apart once, not at each use of a part
+    parts = ex.filter(is_observable()).select(
+        "ts", "ts_us", "seq", "method", "request_headers", "response_headers",
+        urls.url_host("url").alias("domain"), urls.url_path("url").alias("__path"), urls.query_names("url").alias("params"))
+    return parts.select(
         "ts",
         "ts_us",
         "seq",
-        urls.url_host("url").alias("domain"),
+        "domain",
         paths.parameterize_path(path).alias("path"),
         "method",
         headers.auth_type("request_headers").alias("auth_type"),
         headers.observed_pagination("response_headers", names).alias("pagination"),
         F.when(path.endswith("/graphql") | path.endswith("/gql"), "graphql").alias("type"),
         F.coalesce(length > 0, F.lit(True)).alias("has_body"),
-        names.alias("params"),
+        "params",
     )
 
 
