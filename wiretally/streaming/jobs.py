@@ -8,7 +8,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from wiretally import constants as K
 from wiretally.operators import passive_index, traffic
-from wiretally.session import remove
+from wiretally.session import remove, spread_groups
 from wiretally.streaming import stateful
 
 LATE = "10 minutes"
@@ -40,7 +40,8 @@ def index_writer(ex: DataFrame, folder: str, checkpoint: str, slice_s: int = SLI
     idle time of :func:`expired_domains`."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        obs = passive_index.observations(batch).withColumn("slice", F.floor(F.col("ts_us") / (slice_s * 1_000_000)))
+        # a batch of a few files is dealt to all cores
+        obs = passive_index.observations(spread_groups(batch)).withColumn("slice", F.floor(F.col("ts_us") / (slice_s * 1_000_000)))
         by = ("slice",)
         (
             passive_index.endpoint_index(passive_index.combinations(obs, by), by)
