@@ -106,3 +106,20 @@ def test_summaries_merge(spark):
     want = drift.schema_summary(whole, "b", "key")
     assert sorted(map(str, both.select(want.columns).collect())) == sorted(map(str, want.collect()))
     assert drift.schema_summary(whole.filter("false"), "b", "key").count() == 0
+
+
+def test_the_baseline_is_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            made.add(part.num_rows)
+            yield part
+
+    base = spark.createDataFrame([("d", "e", '{"a":1,"b":{"c":[]},"x":[null]}')], "domain string, key string, b string")
+    base = base.mapInArrow(count, base.schema).withColumn("response_schema", bodies.schema_nodes("b"))
+    rows = spark.createDataFrame([("d", "e", 1, '{"a":"s","b":{"c":[[]]},"n":0,"x":[1]}')], "domain string, key string, ts_us bigint, response_body string")
+    got = {(r["severity"], r["path"], r["message"]) for r in drift.drift_totals(base, rows).collect()}
+    assert got == {("warn", "a", "type changed: number → string"), ("info", "n", "new field: n (number)"),
+                   ("warn", "x[]", "type changed: null → number")}
+    assert made.value == 1

@@ -114,29 +114,29 @@ def json_nodes(text_sql: str) -> Column:
 
 def schema_nodes(text_sql: str, max_depth: int = K.SCHEMA_MAX_DEPTH) -> Column:
     """(path, parent, chain, type) rows of a JSON text's schema: an array is sampled by its first
-    element, an object at ``max_depth`` is not opened. ``chain`` lists the types above the node."""
+    element, an object at ``max_depth`` is not opened. ``chain`` lists the types above the node. Of an array only that
+    element is taken out; an empty one has none."""
     children = f"""
 coalesce(
   case when f.depth < {max_depth} then transform(map_entries(f.m), e -> named_struct(
     'path', concat(f.path, case when f.path = '' then '' else '.' end, e.key),
     'parent', f.path, 'key', e.key, 'chain', concat(f.chain, 'o'), 'depth', f.depth + 1,
     'v', e.value)) end,
-  case when size(f.a) > 0 then array(named_struct(
+  case when f.head is not null then array(named_struct(
     'path', concat(f.path, '[]'), 'parent', f.path, 'key', '[]', 'chain', concat(f.chain, 'a'),
-    'depth', f.depth + 1, 'v', f.a[0])) end,
+    'depth', f.depth + 1, 'v', f.head)) end,
   cast(array() as array<struct<path:string,parent:string,key:string,chain:string,depth:int,v:variant>>))
 """
     expand = """
 named_struct('path', p.path, 'parent', p.parent, 'key', p.key, 'chain', p.chain, 'depth', p.depth,
   'v', p.v, 'm', try_variant_get(p.v, '$', 'map<string,variant>'),
-  'a', try_variant_get(p.v, '$', 'array<variant>'))
+  'head', try_variant_get(p.v, '$[0]', 'variant'))
 """
     node = f"""
 named_struct('path', f.path, 'parent', f.parent, 'key', f.key, 'chain', f.chain,
-  'type', case when f.m is not null then 'object' when f.a is not null then 'array'
-     when schema_of_variant(f.v) = 'STRING' then 'string'
-     when schema_of_variant(f.v) = 'BOOLEAN' then 'boolean'
-     when schema_of_variant(f.v) = 'VOID' then 'null' else 'number' end,
+  'type', case when f.m is not null then 'object' when f.head is not null then 'array'
+     else coalesce(try_element_at(map('STRING', 'string', 'BOOLEAN', 'boolean', 'VOID', 'null', 'ARRAY<VOID>', 'array'),
+       schema_of_variant(f.v)), 'number') end,
   'open', f.m is not null and f.depth < {max_depth})
 """
     return F.expr(
