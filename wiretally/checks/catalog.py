@@ -10,7 +10,8 @@ from wiretally.checks.sqlparts import EXR, KEYED, WITH, entropy_of, in_list
 from wiretally.checks.traffic import TEMPLATE, ex, keyed
 from wiretally.functions import bodies, urls
 from wiretally.operators import catalog, drift, merge, reports, requests, search_index, traffic
-from wiretally.session import spread_groups, state_folder
+from wiretally.operators.joins import join_small
+from wiretally.session import reliable, spread_groups, state_folder
 from wiretally.sources import derived as D
 
 _ID = """CASE WHEN operation IS NOT NULL THEN 'post-graphql-' || operation ELSE lower(method) || '-' ||
@@ -116,7 +117,9 @@ def _(spark, sf):
     rows = keyed(spark, sf).filter(~F.col("body_missing")).withColumn("response_body", boxed)
     # the schema of the endpoint's first exchange, boxed in the same way
     firsts = rows.groupBy("domain", "key").agg(F.min("ord").alias("ord")).select(traffic.ordinal_seq("ord").alias("seq"))
-    base = rows.join(firsts, "seq").select("domain", "key", bodies.schema_nodes("response_body").alias("response_schema"))
+    # a row per endpoint, kept: a filter on its schema would otherwise be asked of all rows before the join
+    first_rows = reliable(join_small(rows.select("seq", "domain", "key", "response_body"), firsts, "seq"))
+    base = first_rows.select("domain", "key", bodies.schema_nodes("response_body").alias("response_schema"))
     out = drift.drift_totals(base, rows.select("domain", "key", "ts_us", "response_body"))
     return out.select("domain", "key", "path", "severity", "message", "responses")
 
