@@ -69,3 +69,28 @@ def test_addresses_with_leading_zeros_are_addresses(spark):
     found = spark.createDataFrame([(f"http://{h}/x",) for h in hosts], "u string").select(
         "u", urls.url_safety_reason(F.col("u")).alias("why")).collect()
     assert all(r["why"] for r in found if hosts[r["u"][7:-2]])
+
+
+def test_pages_of_a_batch_become_python_one_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from wiretally.operators import registry
+
+    matcher = registry.Matcher([(0, "A", "count", "a", "html", "<main", True), (1, "A", "count", "b", "Server", None, False)])
+    pages = [None if i % 100 == 0 else ("<MAIN>" if i % 3 == 0 else "") + "x" * 20_000 for i in range(1_000)]
+    headers = [None if i % 7 == 0 else [{"key": "server", "value": "s" if i % 2 else None}] for i in range(1_000)]
+    kind = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
+    part = pa.RecordBatch.from_arrays([pa.array(range(1_000)), pa.array(pages), pa.array(headers, kind)], names=["n", "html", "h"])
+    tracemalloc.start()
+    got = []
+    for some in registry.matched(matcher, part, ["n", "html", "found"]):
+        assert some.column(1).equals(part.column(1).slice(len(got), some.num_rows))
+        got += list(zip(some.column(0).to_pylist(), some.column(2).to_pylist(), strict=True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000  # all pages together have 20 MB
+    want = [(["a"] if i % 3 == 0 and i % 100 else []) + (["b"] if i % 7 and i % 2 else []) for i in range(1_000)]
+    assert [n for n, _ in got] == list(range(1_000))
+    assert [[s for f in found for s in f["signals"]] for _, found in got] == want

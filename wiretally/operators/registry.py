@@ -20,8 +20,12 @@ from wiretally.functions.pages import S
 RULE_SCHEMA = ("pos int, framework string, level string, signal string, place string, text string, fold boolean")
 #: A registry is a table of settings that every task holds; more rows than this are taken for another table.
 MAX_RULES = 100_000
+#: Pages of a batch whose findings are returned together.
+PAGES = 256
 LEVELS = ["high", "medium", "low"]
 FOUND = "array<struct<rank:int,ord:int,name:string,confidence:string,signals:array<string>>>"
+FOUND_TYPE = pa.list_(pa.struct([("rank", pa.int32()), ("ord", pa.int32()), ("name", pa.string()),
+                                 ("confidence", pa.string()), ("signals", pa.list_(pa.string()))]))
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
@@ -100,6 +104,19 @@ def api_paths(name: Column, html: Column) -> Column:
     return F.concat(F.coalesce(F.try_element_at(known, name), F.array().cast("array<string>")), more)
 
 
+def matched(matcher: Matcher, part: pa.RecordBatch, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of pages, headers last, with the frameworks found in place of the headers. One page at a time
+    becomes Python's, because a batch has up to 10,000 of them."""
+    html, headers = part.columns[-2:]
+    for start in range(0, part.num_rows, PAGES):
+        found = []
+        for page, given in zip(html.slice(start, PAGES), headers.slice(start, PAGES), strict=True):
+            entries = [(h["key"], h["value"]) for h in given.as_py() or []]
+            found.append(matcher.frameworks(matcher.conditions(page.as_py(), entries)))
+        yield pa.RecordBatch.from_arrays(
+            [*part.slice(start, PAGES).columns[:-1], pa.array(found, FOUND_TYPE)], names=names)
+
+
 def detect(pages: DataFrame, keep: list[str], rules: DataFrame | None = None) -> DataFrame:
     """The kept columns and ``frameworks`` (rank, ord, name, confidence, signals, api_paths; best confidence first) of
     pages (``html``, ``headers``). A null page or header map has no signals."""
@@ -110,18 +127,11 @@ def detect(pages: DataFrame, keep: list[str], rules: DataFrame | None = None) ->
     table = [tuple(r) for r in rows]
     kept = pages.select(*keep, F.col("html").alias("page_html"), F.map_entries("headers").alias("page_headers"))
     schema = kept.drop("page_headers").withColumn("found", F.lit(None).cast(FOUND)).schema
-    kind = pa.list_(pa.struct([("rank", pa.int32()), ("ord", pa.int32()), ("name", pa.string()),
-                               ("confidence", pa.string()), ("signals", pa.list_(pa.string()))]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(table)
         for part in parts:
-            found = []
-            for html, headers in zip(part.column(len(keep)).to_pylist(), part.column(len(keep) + 1).to_pylist(), strict=True):
-                entries = [(h["key"], h["value"]) for h in headers or []]
-                found.append(matcher.frameworks(matcher.conditions(html, entries)))
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[:len(keep) + 1], pa.array(found, kind)], names=[*schema.names])
+            yield from matched(matcher, part, [*schema.names])
 
     def with_paths(f: Column) -> Column:
         return F.struct(f["rank"].alias("rank"), f["ord"].alias("ord"), f["name"].alias("name"),
