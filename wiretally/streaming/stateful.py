@@ -1,6 +1,7 @@
 """Stateful processors for rules that need their own state and timers.
 
-Each keeps a bounded state per key: at most the accepted calls of one window, or a few numbers.
+Each keeps a bounded state per key: at most the accepted calls of one window, or a few numbers. Where keys are many, a slot
+holds the states of a share of them.
 """
 
 from __future__ import annotations
@@ -8,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,6 +23,21 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields])
 
 
+#: Groups that the keys of a stream share. A call of Python and its trips to the state cost milliseconds, so they are paid
+#: per slot and batch, not per key.
+SLOTS = 4096
+
+
+def _slotted(rows: DataFrame, keys: list[str], slots: int, *columns: Column | str) -> GroupedData:
+    """``columns`` of the rows, grouped by a slot of their keys."""
+    return rows.select(F.pmod(F.xxhash64(*keys), F.lit(slots)).alias("slot"), *columns).groupBy("slot")
+
+
+def _tuples(rows: pd.DataFrame, columns: list[str]) -> Iterator[tuple]:
+    """Rows as plain values, None where one is missing."""
+    return zip(*(rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in columns), strict=True)
+
+
 def _sorted(rows: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
     frames = list(rows)
     if not frames:
@@ -29,36 +46,61 @@ def _sorted(rows: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
 
 
 class FirstSightings(StatefulProcessor):
-    """Rows of a key before which it was not seen for ``forget_s``, by event time, whatever the micro-batches are. State:
-    when the key was seen last; a timer drops it when it is old enough to be forgotten."""
+    """Rows of a key before which it was not seen for ``forget_s``, by event time, whatever the micro-batches are. Input
+    rows are those of a slot, which many keys share; keys are texts. State: when each key of the slot was seen last, a list
+    that batches append to and that is written anew when half of it is outdated or old enough to be forgotten; a timer
+    drops it when all of it is."""
 
     def __init__(self, keys: list[str], forget_s: int) -> None:
         self.keys, self.forget_us = keys, forget_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", _struct(("ts_us", T.LongType())))
+        self.last = handle.getListState(
+            "last", _struct(*((k, T.StringType()) for k in self.keys), ("ts_us", T.LongType())))
 
     def _timer(self, ts: int) -> int:
         return (ts + self.forget_us) // 1000 + 1
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen = sorted({int(t) for r in rows for t in r["ts_us"]})
-        if not seen:
-            return
-        known = last = self.last.get()[0] if self.last.exists() else None
-        new = []
-        for ts in seen:
-            if last is None or ts - last >= self.forget_us:
-                new.append(ts)
-            last = ts if last is None else max(last, ts)
-        if last != known:
-            if known is not None:
-                self.handle.deleteTimer(self._timer(known))
-            self.last.update((last,))
-            self.handle.registerTimer(self._timer(last))
+        met: dict[tuple, set[int]] = {}
+        for r in rows:
+            for *k, ts in _tuples(r, [*self.keys, "ts_us"]):
+                met.setdefault(tuple(k), set()).add(ts)
+        stored = list(self.last.get())
+        last: dict[tuple, int] = {}
+        for *k, ts in stored:
+            last[tuple(k)] = max(ts, last.get(tuple(k), ts))
+        before = max(last.values(), default=None)
+        new, moved = [], {}
+        for k, times in met.items():
+            known = newest = last.get(k)
+            for ts in sorted(times):
+                if newest is None or ts - newest >= self.forget_us:
+                    new.append((*k, ts))
+                newest = ts if newest is None else max(newest, ts)
+            if newest != known:
+                moved[k] = newest
+        past = timerValues.getCurrentWatermarkInMs() * 1000 - self.forget_us
+        alive = {k: ts for k, ts in (last | moved).items() if ts > past}
+        self._store(len(stored), moved, alive)
+        after = max(alive.values(), default=None)
+        if before != after:
+            if before is not None:
+                self.handle.deleteTimer(self._timer(before))
+            if after is not None:
+                self.handle.registerTimer(self._timer(after))
         if new:
-            yield pd.DataFrame([(*key, pd.Timestamp(ts, unit="us"), ts) for ts in new], columns=[*self.keys, "ts", "ts_us"])
+            out = pd.DataFrame(new, columns=[*self.keys, "ts_us"])
+            yield out.assign(ts=pd.to_datetime(out["ts_us"], unit="us", utc=True))[[*self.keys, "ts", "ts_us"]]
+
+    def _store(self, stored: int, moved: dict[tuple, int], alive: dict[tuple, int]) -> None:
+        if not alive:
+            self.last.clear()
+        elif stored + len(moved) > 2 * len(alive):
+            self.last.put([(*k, ts) for k, ts in alive.items()])
+        elif moved:
+            self.last.appendList([(*k, ts) for k, ts in moved.items()])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
@@ -68,14 +110,18 @@ class FirstSightings(StatefulProcessor):
         pass
 
 
-def first_sightings(rows: DataFrame, keys: list[str], forget_s: int) -> DataFrame:
+def first_sightings(rows: DataFrame, keys: list[str], forget_s: int, slots: int = SLOTS) -> DataFrame:
     """``keys, ts, ts_us`` of the rows by which a key is new; ``rows`` has these columns and a watermark on ``ts``, which
-    the result keeps, so that another stateful operator can follow. One key's state is one number: a session of any size
-    is spread over all tasks by its endpoints."""
-    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("ts", T.TimestampType()),
+    the result keeps, so that another stateful operator can follow. Rows without a time are left out. A key's state is one
+    number in one of ``slots`` lists: a session of any size is spread over all tasks by its endpoints. Keys are numbers
+    and texts; they travel as texts, so that missing ones stay apart from all others. A checkpoint holds for one number
+    of slots."""
+    schema = T.StructType([*(T.StructField(k, T.StringType()) for k in keys), T.StructField("ts", T.TimestampType()),
                            T.StructField("ts_us", T.LongType())])
-    return rows.select(*keys, "ts", "ts_us").groupBy(*keys).transformWithStateInPandas(
+    texts = (F.col(k).cast("string").alias(k) for k in keys)
+    new = _slotted(rows.filter(F.col("ts_us").isNotNull()), keys, slots, *texts, "ts", "ts_us").transformWithStateInPandas(
         FirstSightings(keys, forget_s), schema, "Append", "eventTime", eventTimeColumnName="ts")
+    return new.select(*(F.col(k).cast(rows.schema[k].dataType).alias(k) for k in keys), "ts", "ts_us")
 
 
 class RateLimiter(StatefulProcessor):
