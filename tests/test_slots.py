@@ -55,3 +55,26 @@ def test_first_sightings_share_slots(spark, tmp_path, runs):
     assert order((r.session, r.endpoint, r.ts_us) for r in got) == order(want)
     assert any(session is None for session, _, _ in want) and len(want) > len(last) > 700
     assert held(spark, checkpoint, "last") <= 16
+
+
+def test_plateau_shares_slots(spark, tmp_path, runs):
+    idle, most = HOUR, 2 * HOUR
+    got, checkpoint = drain(spark, tmp_path, runs, lambda s: stateful.plateau_stream(s, 3600, 7200, slots=16))
+    rows = sorted((r for run in runs for r in run if r[1] is not None), key=lambda r: (r[1], r[2]))
+    want, seen, open_ = [], set(), {}
+    for session, ts, _, endpoint in rows:
+        if (session, endpoint) in seen:
+            continue
+        seen.add((session, endpoint))
+        start, last, n = open_.get(session, (None, None, 0))
+        if start is not None and ts >= min(last + idle, start + most):
+            want.append((session, start, min(last + idle, start + most), n))
+            start = None
+        open_[session] = (ts, ts, 1) if start is None else (start, ts, n + 1)
+    passed = rows[-1][1] // 1000 - 600_000
+    want += [(s, start, end, n) for s, (start, last, n) in open_.items()
+             for end in [min(last + idle, start + most)] if end // 1000 + 1 < passed]
+    order = lambda rows: sorted(rows, key=str)
+    assert order((r.session, r.start_us, r.end_us, r.endpoints) for r in got) == order(want)
+    assert any(s is None for s, *_ in want) and max(n for *_, n in want) > 1
+    assert held(spark, checkpoint, "seen") <= 16

@@ -164,60 +164,89 @@ LIMIT_OUTPUT = _struct(("key", T.LongType()), ("seq", T.LongType()), ("ts_us", T
 
 class PlateauCapture(StatefulProcessor):
     """Captures that end after ``idle_s`` without a new endpoint or ``max_s`` in total. Input rows are
-    exchanges (session, ts_us, seq, endpoint); an endpoint counts when the session meets it first, so the state holds
-    the session's endpoints. One row per ended capture; a timer ends the open one when the watermark passes."""
+    exchanges (session, ts_us, seq, endpoint) of a slot, which many sessions share; sessions are texts. An endpoint counts
+    when the session meets it first, so the state holds the endpoints of the slot's sessions, a list that batches append to,
+    and their open captures. One row per ended capture; a timer at the first end of open ones ends those that the
+    watermark passed."""
 
     def __init__(self, idle_s: int = K.PLATEAU_IDLE_SECONDS, max_s: int = K.PLATEAU_MAX_SECONDS) -> None:
         self.idle_us, self.max_us = idle_s * 1_000_000, max_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", _struct(("endpoint", T.StringType())), _struct(("n", T.LongType())))
-        self.open = handle.getValueState(
-            "open", _struct(("start_us", T.LongType()), ("last_us", T.LongType()), ("n", T.LongType()),
-                            ("timer_ms", T.LongType())))
+        session = ("session", T.StringType())
+        self.seen = handle.getListState("seen", _struct(session, ("endpoint", T.StringType())))
+        self.open = handle.getListState(
+            "open", _struct(session, ("start_us", T.LongType()), ("last_us", T.LongType()), ("n", T.LongType())))
 
     def _end(self, start: int, last: int) -> int:
         return min(last + self.idle_us, start + self.max_us)
 
+    def _timer(self, start: int, last: int) -> int:
+        return self._end(start, last) // 1000 + 1
+
+    def _first_timer(self, captures: dict[str, tuple]) -> int | None:
+        return min((self._timer(start, last) for start, last, _ in captures.values()), default=None)
+
+    def _captures(self) -> dict[str, tuple]:
+        return {session: capture for session, *capture in self.open.get()}
+
+    def _store(self, captures: dict[str, tuple]) -> None:
+        if captures:
+            self.open.put([(session, *capture) for session, capture in captures.items()])
+        else:
+            self.open.clear()
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows)
+        one = ["session", "endpoint"]
+        firsts = [r.sort_values(["ts_us", "seq"]).drop_duplicates(one) for r in rows]
+        pdf = _sorted(firsts)
         if pdf is None:
             return
-        out = []
-        state = self.open.get() if self.open.exists() else None
-        start, last, n, timer = state if state else (None, None, 0, None)
-        for ts, endpoint in zip(pdf["ts_us"].tolist(), pdf["endpoint"].tolist(), strict=True):
-            if self.seen.containsKey((endpoint,)):
+        seen = set(self.seen.get())
+        captures = self._captures()
+        before = self._first_timer(captures)
+        out, met = [], []
+        for session, endpoint, ts in _tuples(pdf.drop_duplicates(one), [*one, "ts_us"]):
+            if (session, endpoint) in seen:
                 continue
-            self.seen.updateValue((endpoint,), (1,))
+            met.append((session, endpoint))
+            start, last, n = captures.get(session, (None, None, 0))
             if start is not None and ts >= self._end(start, last):
-                out.append((key[0], start, self._end(start, last), n))
+                out.append((session, start, self._end(start, last), n))
                 start = None
             if start is None:
                 start, n = ts, 0
-            last, n = ts, n + 1
-        if start is not None:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            timer = self._end(start, last) // 1000 + 1
-            self.handle.registerTimer(timer)
-            self.open.update((start, last, n, timer))
+            captures[session] = (start, ts, n + 1)
+        if not met:
+            return
+        self.seen.appendList(met)
+        self._store(captures)
+        after = self._first_timer(captures)
+        if before != after:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(after)
         if out:
-            yield pd.DataFrame(out, columns=["session", "start_us", "end_us", "endpoints"])
+            yield pd.DataFrame(out, columns=PLATEAU_OUTPUT.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            start, last, n, _ = self.open.get()
-            self.open.clear()
-            yield pd.DataFrame([(key[0], start, self._end(start, last), n)],
-                               columns=["session", "start_us", "end_us", "endpoints"])
+        captures = self._captures()
+        now = timerValues.getCurrentWatermarkInMs()
+        ended = {s: c for s, c in captures.items() if self._timer(*c[:2]) < now}
+        left = {s: c for s, c in captures.items() if s not in ended}
+        if ended:
+            self._store(left)
+            yield pd.DataFrame([(s, start, self._end(start, last), n) for s, (start, last, n) in ended.items()],
+                               columns=PLATEAU_OUTPUT.names)
+        if left:
+            self.handle.registerTimer(self._first_timer(left))
 
     def close(self) -> None:
         pass
 
 
-PLATEAU_OUTPUT = _struct(("session", T.LongType()), ("start_us", T.LongType()), ("end_us", T.LongType()),
+PLATEAU_OUTPUT = _struct(("session", T.StringType()), ("start_us", T.LongType()), ("end_us", T.LongType()),
                          ("endpoints", T.LongType()))
 
 
@@ -263,10 +292,13 @@ def limit_stream(calls: DataFrame, limit: int = K.RATE_LIMIT, window_ms: int = K
 
 
 def plateau_stream(news: DataFrame, idle_s: int = K.PLATEAU_IDLE_SECONDS,
-                   max_s: int = K.PLATEAU_MAX_SECONDS) -> DataFrame:
-    """``news``: (session, ts, ts_us, seq, endpoint) with a watermark on ``ts``."""
-    return news.groupBy("session").transformWithStateInPandas(
-        PlateauCapture(idle_s, max_s), PLATEAU_OUTPUT, "Append", "eventTime")
+                   max_s: int = K.PLATEAU_MAX_SECONDS, slots: int = SLOTS) -> DataFrame:
+    """``news``: (session, ts, ts_us, seq, endpoint) with a watermark on ``ts``. Rows without a time are left out; sessions
+    are numbers or texts and share ``slots`` lists of state. A checkpoint holds for one number of slots."""
+    session = F.col("session").cast("string").alias("session")
+    ended = _slotted(news.filter(F.col("ts_us").isNotNull()), ["session"], slots, session, "ts", "ts_us", "seq",
+                     "endpoint").transformWithStateInPandas(PlateauCapture(idle_s, max_s), PLATEAU_OUTPUT, "Append", "eventTime")
+    return ended.withColumn("session", F.col("session").cast(news.schema["session"].dataType))
 
 
 def promotion_stream(obs: DataFrame, hits: int) -> DataFrame:
